@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SKETCH_ACCURACY = 10_000
@@ -86,3 +86,26 @@ def running_max(
     return joined.select("l.*", "_carry").select(
         *rows.columns, F.greatest("_carry", F.max(value).over(inside)).alias(out)
     )
+
+
+def bucketed_rank(
+    rows: DataFrame, keys: list[str], bucket: Column, order: list, out: str
+) -> DataFrame:
+    """Row number per group in `order`, computed bucket by bucket.
+
+    `bucket` must rise with `order`; earlier buckets contribute their sizes.
+    """
+    tagged = rows.withColumn("_bucket", bucket)
+    sizes = tagged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    offsets = sizes.withColumn(
+        "_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0))
+    ).drop("_size")
+    on = same_keys(tagged, offsets, [*keys, "_bucket"])
+    joined = tagged.alias("l").join(offsets.alias("r"), on).select("l.*", "_before")
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    return joined.select(
+        *rows.columns, (F.col("_before") + F.row_number().over(inside)).alias(out)
+    )

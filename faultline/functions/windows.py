@@ -19,7 +19,8 @@ def half_open(ts, start, end) -> Column:
 
 def closed(ts, start, end, scale: int = 1) -> Column:
     """C2. Both ends included; bounds in seconds, `scale` units per second."""
-    return _c(ts).between(_c(start) * F.lit(scale), _c(end) * F.lit(scale))
+    low, high = _c(start).cast("bigint"), _c(end).cast("bigint")
+    return _c(ts).between(low * F.lit(scale), high * F.lit(scale))
 
 
 def floor_to(value, width: int) -> Column:

@@ -176,20 +176,34 @@ def first_appearance(rows: DataFrame, keys: list[str], ident: str, ordinal: str)
     return rows.groupBy(*keys, ident).agg(F.min(ordinal).alias("first_ordinal"))
 
 
-def spread_labels(samples: DataFrame, labels: str, names: list[str] | None = None) -> DataFrame:
-    """B19. Label map to columns; a label that collides with a column gets `_` before it.
+def spread_labels(
+    samples: DataFrame, labels: str, names: list[str] | None = None, order: str | None = None
+) -> DataFrame:
+    """B19. Label map to columns, one row per sample.
 
-    Without `names` one distributed pass over the keys finds them; the list of
-    label names is the schema of the result and has to reach the driver.
+    Labels keep their names and come first, in order of first appearance; a
+    sample column of the same name gets a trailing `_`. Without `names` one
+    distributed pass over the keys finds them. They are the schema of the
+    result, so they have to reach the driver.
     """
-    rest = [c for c in samples.columns if c != labels]
     if names is None:
-        keys = samples.select(F.explode(F.map_keys(labels)).alias("k")).distinct()
-        names = sorted(row.k for row in keys.toLocalIterator())
-    return samples.select(
-        *rest,
-        *[F.col(labels)[n].alias(f"_{n}" if n in rest else n) for n in names],
-    )
+        keys = samples.select(
+            F.posexplode(F.map_keys(labels)).alias("at", "name"),
+            (F.col(order) if order else F.lit(0)).alias("row"),
+        )
+        first = keys.groupBy("name").agg(F.min(F.struct("row", "at")).alias("first"))
+        names = [r.name for r in first.orderBy("first", "name").toLocalIterator()]
+    taken = set(names)
+    rest = []
+    for column in samples.columns:
+        if column == labels:
+            continue
+        shown = column
+        while shown in taken:
+            shown += "_"
+        taken.add(shown)
+        rest.append(F.col(column).alias(shown))
+    return samples.select(*[F.col(labels)[n].alias(n) for n in names], *rest)
 
 
 def duplicate_incidents(

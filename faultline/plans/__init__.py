@@ -2,7 +2,11 @@
 
 from faultline.plans import registry
 from faultline.plans import (  # noqa: F401  (imports fill the registry)
+    audits,
     graph,
+    incidents,
+    normalization,
+    surfaces,
 )
 
 QUERIES = registry.QUERIES

@@ -96,6 +96,29 @@ SELECT event_type AS metric, epoch_us(ts) * 1000 AS ts_ns,
        'ns' || (user_id % 2) AS namespace, user_id,
        CAST(json_extract(props, '$.k') AS BIGINT) AS k
 FROM events""",
+    # Node telemetry archived per case, one day being one time unit.
+    "node_telemetry": """
+SELECT l_suppkey AS case_id, l_returnflag AS metric, 'n' || (l_partkey % 5) AS node,
+       date_diff('day', DATE '1970-01-01', l_shipdate::DATE)::BIGINT AS ts, l_quantity AS value
+FROM lineitem""",
+    "node_cases": """
+SELECT s_suppkey AS case_id, ['A', 'N', 'R'][(s_suppkey % 3 + 1)::INTEGER] AS metric,
+       'n' || (s_nationkey % 5) AS node, 49.0 AS threshold,
+       (10000 + (s_suppkey % 10) * 100)::BIGINT AS alert,
+       (10300 + (s_suppkey % 10) * 100)::BIGINT AS window_end
+FROM supplier""",
+    # Aggregates as investigations submit them, with missing columns and units.
+    "submitted": """
+SELECT l_suppkey AS case_id, l_linenumber AS part,
+       CASE WHEN l_linenumber <= 3 THEN 'normal'
+            WHEN l_linenumber = 4 AND l_suppkey % 5 = 0 THEN NULL ELSE 'abnormal' END AS period,
+       count(*) AS n,
+       CASE WHEN l_suppkey % 3 <> 0 THEN min(l_quantity) / 1024 END AS lo,
+       CASE WHEN l_suppkey % 7 <> 0 THEN max(l_quantity) / 1024 END AS hi,
+       CASE WHEN l_suppkey % 4 <> 0 THEN sum(l_quantity) / count(*) / 1024 END AS mean,
+       1024.0::DOUBLE AS scale, (CASE WHEN l_suppkey % 2 = 0 THEN 48 ELSE 50.5 END)::DOUBLE
+         AS threshold
+FROM lineitem GROUP BY l_suppkey, l_linenumber""",
     # Samples with repeated keys: time cut to the hour.
     "samples": """
 SELECT metric, floor(ts_s / 3600)::BIGINT * 3600000 AS ts_ms, container, value, src_order, k
@@ -258,3 +281,50 @@ class Tables:
             "src_order",
             "k",
         )
+
+    @cached_property
+    def node_telemetry(self) -> DataFrame:
+        return self.table("lineitem").select(
+            F.col("l_suppkey").alias("case_id"),
+            F.col("l_returnflag").alias("metric"),
+            F.concat(F.lit("n"), F.col("l_partkey") % 5).alias("node"),
+            _days("l_shipdate").alias("ts"),
+            F.col("l_quantity").alias("value"),
+        )
+
+    @cached_property
+    def node_cases(self) -> DataFrame:
+        key = F.col("s_suppkey")
+        metrics = F.array(F.lit("A"), F.lit("N"), F.lit("R"))
+        return self.table("supplier").select(
+            key.alias("case_id"),
+            F.get(metrics, (key % 3).cast("int")).alias("metric"),
+            F.concat(F.lit("n"), F.col("s_nationkey") % 5).alias("node"),
+            F.lit(49.0).alias("threshold"),
+            (F.lit(10000) + key % 10 * 100).cast("bigint").alias("alert"),
+            (F.lit(10300) + key % 10 * 100).cast("bigint").alias("window_end"),
+        )
+
+    @cached_property
+    def submitted(self) -> DataFrame:
+        case, line, q = F.col("l_suppkey"), F.col("l_linenumber"), F.col("l_quantity")
+        grouped = self.table("lineitem").groupBy("l_suppkey", "l_linenumber").agg(
+            F.count(F.lit(1)).alias("n"),
+            (F.min(q) / 1024).alias("lo"),
+            (F.max(q) / 1024).alias("hi"),
+            (F.sum(q) / F.count(F.lit(1)) / 1024).alias("mean"),
+        )
+        return grouped.select(
+            case.alias("case_id"),
+            line.alias("part"),
+            F.when(line <= 3, "normal")
+            .when((line == 4) & (case % 5 == 0), F.lit(None))
+            .otherwise("abnormal")
+            .alias("period"),
+            "n",
+            F.when(case % 3 != 0, F.col("lo")).alias("lo"),
+            F.when(case % 7 != 0, F.col("hi")).alias("hi"),
+            F.when(case % 4 != 0, F.col("mean")).alias("mean"),
+            F.lit(1024.0).alias("scale"),
+            F.when(case % 2 == 0, 48.0).otherwise(50.5).alias("threshold"),
+        )
