@@ -109,3 +109,30 @@ def bucketed_rank(
     return joined.select(
         *rows.columns, (F.col("_before") + F.row_number().over(inside)).alias(out)
     )
+
+
+def running_sum(
+    rows: DataFrame, keys: list[str], bucket: Column, order: list, value: str, out: str
+) -> DataFrame:
+    """Inclusive running sum per group in `order`, computed bucket by bucket.
+
+    `bucket` must rise with `order`; earlier buckets contribute their totals.
+    """
+    tagged = rows.withColumn("_bucket", bucket)
+    totals = tagged.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_total"))
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    carry = totals.withColumn(
+        "_before", F.coalesce(F.sum("_total").over(earlier), F.lit(0))
+    ).drop("_total")
+    on = same_keys(tagged, carry, [*keys, "_bucket"])
+    joined = tagged.alias("l").join(carry.alias("r"), on).select("l.*", "_before")
+    inside = (
+        Window.partitionBy(*keys, "_bucket")
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    return joined.select(
+        *rows.columns, (F.col("_before") + F.sum(value).over(inside)).alias(out)
+    )

@@ -3,9 +3,11 @@
 from faultline.plans import registry
 from faultline.plans import (  # noqa: F401  (imports fill the registry)
     audits,
+    evaluations,
     graph,
     incidents,
     normalization,
+    statistics,
     surfaces,
 )
 

@@ -119,6 +119,78 @@ SELECT l_suppkey AS case_id, l_linenumber AS part,
        1024.0::DOUBLE AS scale, (CASE WHEN l_suppkey % 2 = 0 THEN 48 ELSE 50.5 END)::DOUBLE
          AS threshold
 FROM lineitem GROUP BY l_suppkey, l_linenumber""",
+    # Evaluated runs of a measurement: model x case x repetition x treatment.
+    "runs": """
+SELECT model, case_id, repetition, treatment,
+       model || '/' || case_id || '/' || repetition || '/' || treatment AS run_id,
+       n AS tool_calls, CASE WHEN p % 17 > 0 THEN q END AS rows_returned,
+       CASE WHEN s % 19 > 0 THEN s END AS input_tokens, p AS output_tokens,
+       CASE WHEN model <> 'm2' OR p % 5 > 0 THEN p / 1000.0::DOUBLE END AS cost,
+       CASE WHEN model = 'm3' THEN 'CNY' ELSE 'USD' END AS currency,
+       s % 10 > 0 AS causal_scope_match, s % 9 > 0 AS causal_locus_match,
+       s % 7 > 0 AS fault_category_match, p % 8 > 0 AS mechanism_code_match,
+       n % 5 AS valid_evidence_count, n % 5 + s % 2 AS cited_evidence_count,
+       s % 23 = 0 AS runner_error, s % 29 = 0 AS tool_budget_exhausted,
+       s % 6 AS failed_queries, s % 4 AS rejected_calls,
+       CASE WHEN treatment <> 'split' THEN p % 2 = 0 END AS required_evidence_covered,
+       s % 10 > 0 AND s % 9 > 0 AND s % 7 > 0 AND p % 8 > 0 AS diagnosis_correct,
+       s % 10 > 0 AND s % 9 > 0 AND s % 7 > 0 AND p % 8 > 0 AND n % 5 > 0 AND s % 23 > 0
+         AND s % 29 > 0 AS eligible,
+       n % 5 > 0 AND s % 2 = 0 AS citations_execution_valid, s % 11 > 0 AS typed_evidence
+FROM (SELECT 'm' || (l_partkey % 4) AS model, l_suppkey AS case_id, l_linenumber AS repetition,
+        CASE l_returnflag WHEN 'A' THEN 'split' WHEN 'N' THEN 'raw' ELSE 'graph' END AS treatment,
+        count(*) AS n, sum(l_quantity)::BIGINT AS q, sum(l_orderkey)::BIGINT AS s,
+        sum(l_partkey)::BIGINT AS p
+      FROM lineitem GROUP BY ALL)""",
+    "case_table": """
+SELECT s_suppkey AS case_id, 'd' || (s_nationkey % 3) AS dataset,
+       ['component', 'dependency_edge', 'infrastructure_node'][(s_suppkey % 3 + 1)::INTEGER]
+         AS causal_scope, 'mech' || (s_suppkey % 6) AS mechanism_code
+FROM supplier""",
+    # Tool calls of recorded runs, from the event stream.
+    "calls": """
+SELECT user_id AS run_id, event_id AS ordinal, 'q' || k AS query_id,
+       CASE event_type WHEN 'view' THEN 'execute_sql' WHEN 'click' THEN 'query_metrics'
+         WHEN 'error' THEN 'query_logs' WHEN 'signup' THEN 'describe_table'
+         ELSE 'query_semantic_graph' END AS tool_name,
+       CASE WHEN k % 2 = 0 THEN 'query_range' ELSE 'labels' END AS operation,
+       k % 9 = 0 AS failed,
+       CASE WHEN event_id % 13 = 0 THEN 'other' ELSE 'q' || k END AS result_query_id,
+       event_id % 11 = 0 AS truncated,
+       CASE WHEN k % 8 = 0 THEN [] WHEN k % 3 = 0 THEN ['logs'] WHEN k % 3 = 1
+         THEN ['logs', 'Traces'] ELSE ['cpu'] END AS base_tables,
+       CASE WHEN event_id % 17 > 0 THEN floor(value)::BIGINT END AS rows_returned,
+       CASE k % 4 WHEN 0 THEN 'SELECT * FROM a JOIN b' WHEN 1 THEN 'show tables'
+         WHEN 2 THEN 'SELECT 1 FROM information_schema.tables' ELSE 'SELECT joined FROM x' END
+         AS sql_text,
+       CASE user_id % 3 WHEN 0 THEN 'split' WHEN 1 THEN 'raw' ELSE 'graph' END AS treatment,
+       floor(epoch_us(ts) / 1000000)::BIGINT AS started, floor(value)::BIGINT * 60 AS elapsed
+FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)""",
+    # Citations of the same runs, from the documents.
+    "citations": """
+SELECT doc_id % 150 AS run_id, doc_id AS ordinal, 'q' || (n_chars % 100) AS query_id,
+       CASE WHEN doc_id % 10 = 0 THEN '   ' ELSE text END AS claim,
+       CASE doc_id % 8 WHEN 3 THEN ['causal_locus', 'causal_locus'] WHEN 7 THEN []
+         WHEN 1 THEN ['causal_locus', 'fault_mechanism'] WHEN 2 THEN ['causal_locus']
+         ELSE ['fault_mechanism'] END AS claim_types
+FROM documents""",
+    # The folded calls and the resolved citations, used by several queries.
+    "folded_calls": """
+SELECT run_id, query_id, count(*) AS n, min(ordinal) AS ordinal, min(tool_name) AS tool,
+       bool_and((CASE tool_name WHEN 'query_metrics' THEN operation IN ('query', 'query_range')
+                  WHEN 'query_logs' THEN operation = 'query_range'
+                  WHEN 'execute_sql' THEN len(base_tables) > 0
+                  WHEN 'query_semantic_graph' THEN true ELSE false END)
+                AND NOT failed AND result_query_id = query_id AND NOT truncated) AS valid
+FROM calls GROUP BY run_id, query_id""",
+    "resolved": """
+SELECT c.*, coalesce(f.n, 0) AS matches,
+       CASE WHEN f.n IS NULL THEN 'missing' WHEN f.n = 1 THEN 'unique' ELSE 'ambiguous' END
+         AS resolution,
+       coalesce(f.n = 1 AND f.valid, false) AND trim(claim) <> '' AS execution_valid,
+       coalesce(f.n = 1 AND f.valid, false) AS call_valid,
+       CASE WHEN f.n = 1 THEN f.ordinal END AS call_ordinal, CASE WHEN f.n = 1 THEN f.tool END AS tool
+FROM citations c LEFT JOIN folded_calls f ON c.run_id = f.run_id AND c.query_id = f.query_id""",
     # Samples with repeated keys: time cut to the hour.
     "samples": """
 SELECT metric, floor(ts_s / 3600)::BIGINT * 3600000 AS ts_ms, container, value, src_order, k
@@ -328,3 +400,116 @@ class Tables:
             F.lit(1024.0).alias("scale"),
             F.when(case % 2 == 0, 48.0).otherwise(50.5).alias("threshold"),
         )
+
+    @cached_property
+    def runs(self) -> DataFrame:
+        flag = F.col("l_returnflag")
+        grouped = self.table("lineitem").groupBy(
+            F.concat(F.lit("m"), F.col("l_partkey") % 4).alias("model"),
+            F.col("l_suppkey").alias("case_id"),
+            F.col("l_linenumber").alias("repetition"),
+            F.when(flag == "A", "split").when(flag == "N", "raw").otherwise("graph").alias(
+                "treatment"
+            ),
+        ).agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum("l_quantity").cast("bigint").alias("q"),
+            F.sum("l_orderkey").alias("s"),
+            F.sum("l_partkey").alias("p"),
+        )
+        n, q, s, p = (F.col(c) for c in "nqsp")
+        correct = (s % 10 > 0) & (s % 9 > 0) & (s % 7 > 0) & (p % 8 > 0)
+        key = ["model", "case_id", "repetition", "treatment"]
+        return grouped.select(
+            *key,
+            F.concat_ws("/", *[F.col(c).cast("string") for c in key]).alias("run_id"),
+            n.alias("tool_calls"),
+            F.when(p % 17 > 0, q).alias("rows_returned"),
+            F.when(s % 19 > 0, s).alias("input_tokens"),
+            p.alias("output_tokens"),
+            F.when((F.col("model") != "m2") | (p % 5 > 0), p / 1000.0).alias("cost"),
+            F.when(F.col("model") == "m3", "CNY").otherwise("USD").alias("currency"),
+            (s % 10 > 0).alias("causal_scope_match"),
+            (s % 9 > 0).alias("causal_locus_match"),
+            (s % 7 > 0).alias("fault_category_match"),
+            (p % 8 > 0).alias("mechanism_code_match"),
+            (n % 5).alias("valid_evidence_count"),
+            (n % 5 + s % 2).alias("cited_evidence_count"),
+            (s % 23 == 0).alias("runner_error"),
+            (s % 29 == 0).alias("tool_budget_exhausted"),
+            (s % 6).alias("failed_queries"),
+            (s % 4).alias("rejected_calls"),
+            F.when(F.col("treatment") != "split", p % 2 == 0).alias("required_evidence_covered"),
+            correct.alias("diagnosis_correct"),
+            (correct & (n % 5 > 0) & (s % 23 > 0) & (s % 29 > 0)).alias("eligible"),
+            ((n % 5 > 0) & (s % 2 == 0)).alias("citations_execution_valid"),
+            (s % 11 > 0).alias("typed_evidence"),
+        )
+
+    @cached_property
+    def case_table(self) -> DataFrame:
+        key = F.col("s_suppkey")
+        scopes = F.array(
+            F.lit("component"), F.lit("dependency_edge"), F.lit("infrastructure_node")
+        )
+        return self.table("supplier").select(
+            key.alias("case_id"),
+            F.concat(F.lit("d"), F.col("s_nationkey") % 3).alias("dataset"),
+            F.get(scopes, (key % 3).cast("int")).alias("causal_scope"),
+            F.concat(F.lit("mech"), key % 6).alias("mechanism_code"),
+        )
+
+    @cached_property
+    def calls(self) -> DataFrame:
+        k, kind, at = F.col("k"), F.col("event_type"), F.col("event_id")
+        query_id = F.concat(F.lit("q"), k)
+        none = F.array().cast("array<string>")
+        return self.events.select(
+            F.col("user_id").alias("run_id"),
+            at.alias("ordinal"),
+            query_id.alias("query_id"),
+            F.when(kind == "view", "execute_sql")
+            .when(kind == "click", "query_metrics")
+            .when(kind == "error", "query_logs")
+            .when(kind == "signup", "describe_table")
+            .otherwise("query_semantic_graph")
+            .alias("tool_name"),
+            F.when(k % 2 == 0, "query_range").otherwise("labels").alias("operation"),
+            (k % 9 == 0).alias("failed"),
+            F.when(at % 13 == 0, "other").otherwise(query_id).alias("result_query_id"),
+            (at % 11 == 0).alias("truncated"),
+            F.when(k % 8 == 0, none)
+            .when(k % 3 == 0, F.array(F.lit("logs")))
+            .when(k % 3 == 1, F.array(F.lit("logs"), F.lit("Traces")))
+            .otherwise(F.array(F.lit("cpu")))
+            .alias("base_tables"),
+            F.when(at % 17 > 0, F.floor("value").cast("bigint")).alias("rows_returned"),
+            F.when(k % 4 == 0, "SELECT * FROM a JOIN b")
+            .when(k % 4 == 1, "show tables")
+            .when(k % 4 == 2, "SELECT 1 FROM information_schema.tables")
+            .otherwise("SELECT joined FROM x")
+            .alias("sql_text"),
+            F.when(F.col("user_id") % 3 == 0, "split")
+            .when(F.col("user_id") % 3 == 1, "raw")
+            .otherwise("graph")
+            .alias("treatment"),
+            F.floor(F.col("ts_us") / 1_000_000).cast("bigint").alias("started"),
+            (F.floor("value").cast("bigint") * 60).alias("elapsed"),
+        )
+
+    @cached_property
+    def citations(self) -> DataFrame:
+        doc = F.col("doc_id")
+        locus, mechanism = F.lit("causal_locus"), F.lit("fault_mechanism")
+        return self.table("documents").select(
+            (doc % 150).alias("run_id"),
+            doc.alias("ordinal"),
+            F.concat(F.lit("q"), F.col("n_chars") % 100).alias("query_id"),
+            F.when(doc % 10 == 0, "   ").otherwise(F.col("text")).alias("claim"),
+            F.when(doc % 8 == 3, F.array(locus, locus))
+            .when(doc % 8 == 7, F.array().cast("array<string>"))
+            .when(doc % 8 == 1, F.array(locus, mechanism))
+            .when(doc % 8 == 2, F.array(locus))
+            .otherwise(F.array(mechanism))
+            .alias("claim_types"),
+        )
