@@ -2,12 +2,14 @@
 
 from faultline.plans import registry
 from faultline.plans import (  # noqa: F401  (imports fill the registry)
+    archives,
     audits,
     evaluations,
     graph,
     incidents,
     normalization,
     statistics,
+    streams,
     surfaces,
 )
 
