@@ -126,19 +126,20 @@ def metric_stream(points: DataFrame, keys: list[str], ts_s: str, start: int, end
     )
 
 
-def scope_declarations(catalog: DataFrame, declarations: str) -> DataFrame:
-    """F84. Declared entities with a scope; one malformed document makes the count null."""
+def scope_declarations(catalog: DataFrame, keys: list[str], declarations: str) -> DataFrame:
+    """F84. Declared entities with a scope per key; a malformed document makes the count null."""
     items = F.try_variant_get(F.try_parse_json(declarations), "$", "array<variant>")
     scoped = F.size(
         F.filter(
             items, lambda d: F.coalesce(F.try_variant_get(d, "$.scope", "string"), F.lit("")) != ""
         )
     )
-    read = catalog.where(F.col(declarations).isNotNull()).select(
-        F.when(items.isNotNull(), scoped).alias("n")
+    declared = F.col(declarations).isNotNull()
+    read = catalog.select(
+        *keys, declared.alias("_d"), F.when(declared & items.isNotNull(), scoped).alias("_n")
     )
-    return read.agg(
-        F.when(F.count("n") == F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).alias(
+    return read.groupBy(*keys).agg(
+        F.when(F.count("_n") == F.count_if("_d"), F.coalesce(F.sum("_n"), F.lit(0))).alias(
             "scope_declaration_count"
         )
     )

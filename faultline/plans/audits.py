@@ -165,27 +165,27 @@ CATALOG = """cat AS (SELECT lower(replace(p_name, ' ', '_')) || '_' || p_partkey
        FROM (SELECT p_type AS source, p_partkey AS n FROM part) GROUP BY source""",
 )
 def scope_declarations(t):
-    rows = catalog(t)
-    parts = None
-    # One document list per source system; the sources of the catalog are a fixed set.
-    for source in ("ECONOMY", "STANDARD", "PROMO", "LARGE", "MEDIUM", "SMALL"):
-        one = A.scope_declarations(
-            rows.where(F.col("source") == source), "entity_declarations"
-        ).select(F.lit(source).alias("source"), "scope_declaration_count")
-        parts = one if parts is None else parts.unionByName(one)
-    present = rows.select("source").distinct()
-    return parts.join(present, "source")
+    return A.scope_declarations(catalog(t), ["source"], "entity_declarations")
 
 
 @query(
     "f84_malformed_declarations",
     "",
-    "SELECT NULL::BIGINT AS scope_declaration_count",
+    """SELECT source, CASE WHEN count(CASE WHEN n % 28 = 1 THEN 1 END) = 0
+         THEN count(CASE WHEN n % 4 = 1 THEN 1 END) END AS scope_declaration_count
+       FROM (SELECT 'b' || (p_partkey % 91) AS source, p_partkey AS n FROM part) GROUP BY source""",
 )
 def malformed(t):
-    broken = F.when(F.col("p_partkey") % 7 == 1, "[{broken").otherwise(F.col("entity_declarations"))
-    rows = catalog(t).withColumn("entity_declarations", broken)
-    return A.scope_declarations(rows, "entity_declarations")
+    broken = F.when(F.col("p_partkey") % 28 == 1, "[{broken").otherwise(
+        F.col("entity_declarations")
+    )
+    rows = catalog(t).withColumns(
+        {
+            "entity_declarations": broken,
+            "source": F.concat(F.lit("b"), F.col("p_partkey") % 91),
+        }
+    )
+    return A.scope_declarations(rows, ["source"], "entity_declarations")
 
 
 @query(
@@ -486,8 +486,15 @@ def union(t):
 @query(
     "i10_gate_table",
     f"{SPANS} pairs",
-    """SELECT * FROM (VALUES ('spans_unique', false), ('edges_exact', true),
-         ('service_names_declared', true), ('all_passed', false)) g(gate, passed)""",
+    """, ed AS (SELECT src_id, dst_id, count(*) AS n FROM pairs WHERE src_id <> dst_id GROUP BY ALL),
+       mi AS (SELECT src_id, dst_id, sum(n) AS n FROM (SELECT client_ns // 60000000000 AS m, src_id, dst_id,
+                count(*) AS n FROM pairs WHERE src_id <> dst_id GROUP BY ALL) GROUP BY src_id, dst_id),
+       g AS (SELECT 'spans_unique' AS gate, count(*) = count(DISTINCT (trace_id, span_id)) AS passed FROM spans
+             UNION ALL SELECT 'edges_exact', count(*) = count(CASE WHEN ed.n = mi.n THEN 1 END)
+               FROM ed FULL OUTER JOIN mi ON ed.src_id = mi.src_id AND ed.dst_id = mi.dst_id
+             UNION ALL SELECT 'service_names_declared',
+               count(*) = count(CASE WHEN service_name NOT IN ('', 'unknown') THEN 1 END) FROM spans)
+       SELECT * FROM g UNION ALL SELECT 'all_passed', bool_and(passed) FROM g""",
 )
 def gates(t):
     identity = trace_identity(t).select("span_identity_unique")

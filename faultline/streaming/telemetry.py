@@ -132,14 +132,16 @@ def detect_transitions(
     facts = stream_period_facts(samples, keys, boundary, threshold)
     spark = samples.sparkSession
     reported = f"{path}/reported"
-    schema = spark.createDataFrame([], facts.schema).select(*keys).schema
+    schema = facts.select(*keys).schema
+    with_batch = facts.select(*keys, F.lit(0).cast("long").alias("batch")).schema
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         proven = batch.where(transition_proven()).select(*keys)
-        earlier = [f"{reported}/batch={b}" for b in range(batch_id)]
-        known = session.read.schema(schema).parquet(*earlier) if earlier else None
-        fresh = proven if known is None else proven.join(known, keys, "left_anti")
+        fresh = proven
+        if batch_id > 0:
+            known = session.read.schema(with_batch).parquet(reported)
+            fresh = proven.join(known.where(F.col("batch") < batch_id), keys, "left_anti")
         fresh.write.mode("overwrite").parquet(f"{reported}/batch={batch_id}")
 
     query = (
@@ -150,7 +152,7 @@ def detect_transitions(
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{reported}/batch=*")
+    return spark.read.schema(with_batch).parquet(reported).select(*keys)
 
 
 # The sliding input budget of a provider.
@@ -188,24 +190,22 @@ def count_late_rows(rows: DataFrame, delay_seconds: int, path: str) -> DataFrame
     against the newest time of the batches before it, as the watermark does.
     """
     ledger = f"{path}/ledger"
-    schema = "batch_id long, rows long, late_rows long, newest long"
+    schema = "rows long, late_rows long, newest long, batch long"
     spark = rows.sparkSession
 
     def account(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        earlier = [f"{ledger}/batch={b}" for b in range(batch_id)]
         at = F.unix_micros("ts")
         counted = batch.select(at.alias("at"))
-        if earlier:
-            before = session.read.schema(schema).parquet(*earlier)
-            limit = before.agg(F.max("newest").alias("m")).first().m
+        if batch_id > 0:
+            before = session.read.schema(schema).parquet(ledger)
+            limit = before.where(F.col("batch") < batch_id).agg(F.max("newest")).first()[0]
             late = F.lit(False) if limit is None else (
                 F.col("at") < F.lit(limit - delay_seconds * 1_000_000)
             )
         else:
             late = F.lit(False)
         counted.agg(
-            F.lit(batch_id).cast("long").alias("batch_id"),
             F.count(F.lit(1)).alias("rows"),
             F.count_if(late).alias("late_rows"),
             F.max("at").alias("newest"),
@@ -218,4 +218,4 @@ def count_late_rows(rows: DataFrame, delay_seconds: int, path: str) -> DataFrame
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{ledger}/batch=*")
+    return spark.read.schema(schema).parquet(ledger)

@@ -49,8 +49,32 @@ def rows_of(columns, rows):
     return sorted("\x1f".join(canonical(row[i]) for i in order) for row in rows)
 
 
+KINDS = {
+    "int": ("tinyint", "smallint", "integer", "bigint", "int", "uinteger", "utinyint"),
+    "float": ("double", "float"),
+    "text": ("varchar", "string"),
+    "bool": ("boolean",),
+}
+
+
+def kind_of(name):
+    name = name.lower()
+    return next((k for k, names in KINDS.items() if name in names), name)
+
+
+def type_problem(df, con, sql):
+    """Columns whose type class differs between both sides."""
+    theirs = {r[0]: kind_of(r[1]) for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    mine = {f.name: kind_of(f.dataType.simpleString()) for f in df.schema.fields}
+    wrong = {c: (mine[c], theirs.get(c)) for c in mine if mine[c] != theirs.get(c)}
+    return f"types {wrong}" if wrong else None
+
+
 def compare(df, con, sql):
     """None when equal, otherwise a short text with the difference."""
+    problem = type_problem(df, con, sql)
+    if problem:
+        return problem
     mine = [tuple(r) for r in df.collect()]
     cursor = con.execute(sql)
     columns = [d[0] for d in cursor.description]
