@@ -114,8 +114,11 @@ PROFILE_FIELDS = ("normal_max", "abnormal_max", "peer_abnormal_max")
 def typical_cases(profiles: DataFrame, kind: str, case: str) -> DataFrame:
     """G5. Per fault kind the case nearest to the kind's medians (L1 over three fields).
 
-    Ties go to the smaller id; a kind without measured cases takes its smallest id.
+    Rejected profiles (a `rejection` column) take no part. Ties go to the smaller
+    id; a kind without measured cases takes its smallest id.
     """
+    if "rejection" in profiles.columns:
+        profiles = profiles.where(F.col("rejection").isNull())
     measured = profiles.where(F.col(PROFILE_FIELDS[0]).isNotNull())
     joined = measured
     for field in PROFILE_FIELDS:

@@ -898,7 +898,23 @@ def incident_windows(t):
     )
 
 
-@query("d7_duplicate_incidents")
+@query(
+    "d7_duplicate_incidents",
+    "",
+    """WITH RECURSIVE c AS (SELECT o_custkey % 40 AS node, o_orderkey AS case_id,
+           date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::BIGINT AS s,
+           date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::BIGINT + 1 + o_orderkey % 4 AS e,
+           row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderkey) AS i FROM orders),
+       r AS (SELECT DISTINCT node, 0::BIGINT AS i, NULL::BIGINT AS case_id, NULL::BIGINT AS s,
+               NULL::BIGINT AS e, false AS dup, []::STRUCT(s BIGINT, e BIGINT)[] AS kept FROM c
+             UNION ALL
+             SELECT node, i, case_id, s, e, dup,
+               CASE WHEN dup THEN kept ELSE list_append(kept, {'s': s, 'e': e}) END
+             FROM (SELECT c.node, c.i, c.case_id, c.s, c.e, r.kept,
+                     len(list_filter(r.kept, lambda k: c.s < k.e AND k.s < c.e)) > 0 AS dup
+                   FROM r JOIN c ON c.node = r.node AND c.i = r.i + 1))
+       SELECT node, case_id, s AS start, e AS "end", dup AS duplicate FROM r WHERE i > 0""",
+)
 def duplicates(t):
     return C.duplicate_incidents(incident_windows(t), "node", "case_id", "start", "end", 30)
 
