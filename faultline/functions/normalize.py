@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from faultline.functions.windows import floor_div
+
 NANOS_PER_SECOND = 1_000_000_000
 
 # Span kinds and status codes of the tracing data model.
@@ -98,10 +100,7 @@ def iso_to_nanoseconds(text: Column | str, strict: bool = True) -> Column:
 
 def iso_to_seconds(text: Column | str, strict: bool = True) -> Column:
     """B2. Whole epoch seconds, rounded toward minus infinity."""
-    nanos = iso_to_nanoseconds(text, strict)
-    return ((nanos - F.pmod(nanos, F.lit(NANOS_PER_SECOND))) / F.lit(NANOS_PER_SECOND)).cast(
-        "bigint"
-    )
+    return floor_div(iso_to_nanoseconds(text, strict), NANOS_PER_SECOND)
 
 
 def fold_metric_name(name: Column | str) -> Column:

@@ -12,6 +12,15 @@ def _c(value) -> Column:
     )
 
 
+def floor_div(value, width: int) -> Column:
+    """Whole-number division toward minus infinity.
+
+    Stays in 64-bit integers: a double cannot hold a nanosecond timestamp.
+    """
+    v = _c(value).cast("bigint")
+    return F.call_function("div", v - F.pmod(v, F.lit(width)), F.lit(width).cast("bigint"))
+
+
 def half_open(ts, start, end) -> Column:
     """C1. `start <= ts < end`; use it on the raw column so that the scan can skip row groups."""
     return (_c(ts) >= _c(start)) & (_c(ts) < _c(end))

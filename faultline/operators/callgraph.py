@@ -165,7 +165,7 @@ def edge_observations(
             F.lit(None).cast("double").alias("duration_max"),
         )
         paired = paired.unionByName(virtual)
-    start = (F.col("window_ns") / SECOND).cast("bigint")
+    start = W.floor_div("window_ns", SECOND)
     return paired.select(
         start.alias("window_start"),
         (start + bin_seconds).alias("window_end"),
@@ -265,7 +265,7 @@ def virtual_edges(observations: DataFrame) -> DataFrame:
 
 def client_minutes(spans: DataFrame) -> DataFrame:
     """F8. Client spans per minute."""
-    minute = (W.floor_to("ts_ns", 60 * SECOND) / SECOND).cast("bigint")
+    minute = W.floor_div(W.floor_to("ts_ns", 60 * SECOND), SECOND)
     return clients(spans).groupBy(minute.alias("minute")).agg(
         F.count(F.lit(1)).alias("client_spans")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions import normalize as N
+from faultline.functions import windows as W
 from faultline.functions.skew import running_max
 
 
@@ -219,7 +220,7 @@ def duplicate_incidents(
     with the kept windows as the only state.
     """
     columns = cases.columns
-    timed = cases.withColumn("_bucket", F.floor(F.col(start) / bucket_width))
+    timed = cases.withColumn("_bucket", W.floor_div(start, bucket_width))
     order = [start, end, case]
     opened = running_max(timed, [node], "_bucket", order, end, "_open_until", inclusive=False)
     opens = F.when(

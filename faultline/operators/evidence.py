@@ -498,7 +498,7 @@ def boundary_split(spans: DataFrame, cases: DataFrame) -> DataFrame:
     minute = W.floor_to("boundary", 60)
     per_second = (
         spans.where(F.col("span_kind") == "SPAN_KIND_CLIENT")
-        .groupBy((W.floor_to("ts_ns", 1_000_000_000) / 1_000_000_000).cast("bigint").alias("s"))
+        .groupBy(W.floor_div("ts_ns", 1_000_000_000).alias("s"))
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("minute", W.floor_to("s", 60))
     )

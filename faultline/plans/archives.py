@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faultline.functions import normalize as N
+from faultline.functions import windows as W
 from faultline.operators import collapse as C
 from faultline.plans.registry import query
 from faultline.plans.views import EVENTS_BOUNDARY, SECOND
@@ -133,7 +134,7 @@ def projected(t):
     )
     keyed = samples.select(
         N.fold_metric_name("metric").alias("metric"), container.alias("container"),
-        F.floor(F.col("ts_ns") / 1_000_000).cast("bigint").alias("ts_ms"), "value", *order,
+        W.floor_div("ts_ns", 1_000_000).alias("ts_ms"), "value", *order,
     )
     kept = C.last_observation(keyed, ["metric", "container", "ts_ms"], "value", order)
     return kept.groupBy("metric").agg(
@@ -327,7 +328,7 @@ def csv_spans(t):
     client = F.col("span_kind") == "SPAN_KIND_CLIENT"
     rows = t.spans.select(
         F.lit("RPC").alias("callType"),
-        F.floor(F.col("ts_ns") / 1_000_000).cast("bigint").alias("startTime"),
+        W.floor_div("ts_ns", 1_000_000).alias("startTime"),
         F.lit("1.5").alias("elapsedTime"), F.lit("True").alias("success"),
         F.col("trace_id").alias("traceId"), F.col("span_id").alias("id"),
         F.when(client, "None").otherwise(F.col("parent_span_id")).alias("pid"),
@@ -349,7 +350,7 @@ def csv_spans(t):
 )
 def node_metrics(t):
     rows = t.points.select(
-        F.floor(F.col("ts_ns") / 1000).cast("bigint").alias("time"), "metric",
+        W.floor_div("ts_ns", 1000).alias("time"), "metric",
         F.when(F.col("k") % 18 == 0, F.lit(None)).when(F.col("k") % 9 == 0, float("inf"))
         .otherwise(F.col("value")).alias("value"),
         F.lit("k8s").alias("domain"), F.lit("").alias("entity_set"),
@@ -549,7 +550,7 @@ def run_records(t):
     The gathered array is the record's own content, not a grouping of this engine;
     runs of a user are cut by day so that a record stays small.
     """
-    day = F.floor(F.col("started") / 86400)
+    day = W.floor_div("started", 86400)
     call = F.struct(
         "ordinal", "query_id", "tool_name",
         F.create_map(F.lit("query"), "sql_text", F.lit("operation"), "operation").alias("input"),

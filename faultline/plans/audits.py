@@ -120,7 +120,7 @@ def window_rows(t):
 def metric_stream(t):
     value = F.when(F.col("k") % 8 == 0, float("nan")).otherwise(F.col("value"))
     rows = t.samples.withColumn("value", value).withColumn(
-        "s", (F.col("ts_ms") / 1000).cast("bigint")
+        "s", W.floor_div("ts_ms", 1000)
     )
     return A.metric_stream(rows, ["container", "ts_ms"], "s", 1704412800, 1705276800)
 
@@ -538,7 +538,7 @@ def surface(t):
     rows = t.points.select(
         F.concat_ws("_", "metric", (F.col("user_id") % 30).cast("string")).alias("metric"),
         F.create_map(F.lit("container"), "container").alias("labels"),
-        F.floor(F.col("ts_ns") / 1_000_000).cast("bigint").alias("ts_ms"),
+        W.floor_div("ts_ns", 1_000_000).alias("ts_ms"),
         "k",
     )
     stored = rows.where(F.col("k") % 3 != 0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from faultline.functions import windows as W
 from faultline.operators import evaluate as V
 from faultline.plans.registry import query
 
@@ -305,7 +306,7 @@ def failed_calls(t):
        FROM events""",
 )
 def onset(t):
-    second = F.floor(F.col("ts_us") / 1_000_000)
+    second = W.floor_div("ts_us", 1_000_000)
     iso = F.date_format(F.timestamp_seconds(second), "yyyy-MM-dd'T'HH:mm:ss")
     k = F.col("event_id") % 4
     text = (

@@ -24,8 +24,8 @@ from faultline.plans.registry import query
 def to_nanoseconds(t):
     us, k = F.col("ts_us"), F.col("event_id") % 4
     raw = (
-        F.when(k == 0, F.floor(us / 1_000_000).cast("bigint"))
-        .when(k == 1, F.floor(us / 1000).cast("bigint"))
+        F.when(k == 0, W.floor_div(us, 1_000_000))
+        .when(k == 1, W.floor_div(us, 1000))
         .when(k == 2, us)
         .otherwise(us * 1000)
     )
@@ -43,7 +43,7 @@ def to_nanoseconds(t):
        FROM events""",
 )
 def iso_nanoseconds(t):
-    second = F.timestamp_seconds(F.floor(F.col("ts_us") / 1_000_000))
+    second = F.timestamp_seconds(W.floor_div("ts_us", 1_000_000))
     micros = F.lpad((F.col("ts_us") % 1_000_000).cast("string"), 6, "0")
     nanos = F.lpad((F.col("event_id") % 1000).cast("string"), 3, "0")
     k = F.col("event_id") % 3
@@ -583,7 +583,7 @@ def half_open(t):
        WHERE ts_ns // 1000000 BETWEEN 1704412800000 AND 1705276800000 GROUP BY metric""",
 )
 def closed(t):
-    ms = F.floor(F.col("ts_ns") / 1_000_000).cast("bigint")
+    ms = W.floor_div("ts_ns", 1_000_000)
     rows = t.points.where(W.closed(ms, 1704412800, 1705276800, 1000))
     return rows.groupBy("metric").agg(F.count(F.lit(1)).alias("rows"))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from faultline.functions import windows as W
 from faultline.plans.registry import query
 from faultline.plans.views import EVENTS_BOUNDARY, SECOND, WINDOW
 from faultline.session import work_dir
@@ -41,7 +42,7 @@ def closing(rows, **overrides):
 
 def span_stream(t):
     rows = t.spans.select(
-        F.timestamp_micros((F.col("ts_ns") / 1000).cast("bigint")).alias("ts"),
+        F.timestamp_micros(W.floor_div("ts_ns", 1000)).alias("ts"),
         "trace_id", "span_id", "parent_span_id", "service_name", "span_kind", "status_code",
         (F.col("end_ns") - F.col("ts_ns")).alias("duration_ns"),
     )
@@ -88,9 +89,9 @@ def unmatched(t):
 
 def sample_rows(t):
     return t.points.select(
-        F.timestamp_micros((F.col("ts_ns") / 1000).cast("bigint")).alias("ts"),
+        F.timestamp_micros(W.floor_div("ts_ns", 1000)).alias("ts"),
         "metric", "container", "value", "k",
-        (F.floor(F.col("ts_s") / 3600).cast("bigint") * 3_600_000).alias("ts_ms"),
+        (W.floor_div("ts_s", 3600) * 3_600_000).alias("ts_ms"),
     )
 
 
@@ -133,7 +134,7 @@ def transitions(t):
 )
 def token_use(t):
     rows = t.points.select(
-        F.timestamp_micros((F.col("ts_ns") / 1000).cast("bigint")).alias("ts"),
+        F.timestamp_micros(W.floor_div("ts_ns", 1000)).alias("ts"),
         F.col("service_name").alias("provider"), F.col("src_order").alias("tokens"),
     )
     stream = replay(t, rows.unionByName(closing(rows, provider="end", tokens=0)))

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faultline.functions import normalize as N
+from faultline.functions import windows as W
 from faultline.operators import surface as S
 from faultline.plans.audits import CATALOG, catalog
 from faultline.plans.graph import EDGE_SQL, ENTITY_SQL, MAXES, RANGE
@@ -211,7 +212,7 @@ SAMPLES_MS = """s AS (SELECT metric, container, ts_ns // 1000000 AS ts_ms, value
 def samples_ms(t):
     return t.points.select(
         "metric", "container",
-        F.floor(F.col("ts_ns") / 1_000_000).cast("bigint").alias("ts_ms"), "value", "src_order",
+        W.floor_div("ts_ns", 1_000_000).alias("ts_ms"), "value", "src_order",
     )
 
 

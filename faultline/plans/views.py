@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.functions import windows as W
 SECOND = 1_000_000_000
 # One calendar day of the order tables is one minute of span time, so that the
 # server bounds of five minutes and one hour apply as they are.
@@ -64,9 +65,9 @@ WHERE c.span_kind = 'SPAN_KIND_CLIENT' AND s.span_kind = 'SPAN_KIND_SERVER'
   AND s.ts_ns >= (560000 - 300) * 1000000000::BIGINT AND s.ts_ns < (680000 + 3600) * 1000000000::BIGINT""",
     # Observations with repeats per window and edge, from the event stream.
     "observations": """
-SELECT floor(epoch_us(ts) / 3600000000)::BIGINT * 3600 AS window_start,
-       floor(epoch_us(ts) / 3600000000)::BIGINT * 3600 + 3600 AS window_end,
-       floor(epoch_us(ts) / 1000000)::BIGINT AS observed_at,
+SELECT (epoch_us(ts) // 3600000000) * 3600 AS window_start,
+       (epoch_us(ts) // 3600000000) * 3600 + 3600 AS window_end,
+       (epoch_us(ts) // 1000000) AS observed_at,
        'service' AS src_type, 'svc' || (user_id % 9) AS src_id,
        CASE WHEN k % 11 = 0 THEN 'database' ELSE 'service' END AS dst_type,
        'svc' || (k % 7) AS dst_id,
@@ -79,18 +80,18 @@ SELECT floor(epoch_us(ts) / 3600000000)::BIGINT * 3600 AS window_start,
        (k + 1)::BIGINT AS duration_count, value / 2 AS duration_max
 FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)""",
     "entities": """
-SELECT floor(epoch_us(ts) / 3600000000)::BIGINT * 3600 AS window_start,
-       floor(epoch_us(ts) / 3600000000)::BIGINT * 3600 + 3600 AS window_end,
+SELECT (epoch_us(ts) // 3600000000) * 3600 AS window_start,
+       (epoch_us(ts) // 3600000000) * 3600 + 3600 AS window_end,
        event_type AS entity_type, 'e' || (user_id % 40) AS entity_id,
        'id' AS entity_id_attrs, CASE WHEN user_id % 3 = 0 THEN 'ns' || (user_id % 2) END AS scope,
        'v' || (k % 2) AS descriptive, 'metrics_' || event_type AS source_tables,
-       floor(epoch_us(ts) / 1000000)::BIGINT AS observed_at,
-       floor(epoch_us(ts) / 1000000)::BIGINT + 600 AS fresh_until
+       (epoch_us(ts) // 1000000) AS observed_at,
+       (epoch_us(ts) // 1000000) + 600 AS fresh_until
 FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)""",
     # Metric points with workload identities, from the event stream.
     "points": """
 SELECT event_type AS metric, epoch_us(ts) * 1000 AS ts_ns,
-       floor(epoch_us(ts) / 1000000)::BIGINT AS ts_s, value, event_id AS src_order,
+       (epoch_us(ts) // 1000000) AS ts_s, value, event_id AS src_order,
        'c' || (user_id % 20) AS container, 'p' || (user_id % 20) AS pod,
        'd' || (user_id % 10) AS deployment, 'svc' || (user_id % 5) AS service_name,
        'ns' || (user_id % 2) AS namespace, user_id,
@@ -164,7 +165,7 @@ SELECT user_id AS run_id, event_id AS ordinal, 'q' || k AS query_id,
          WHEN 2 THEN 'SELECT 1 FROM information_schema.tables' ELSE 'SELECT joined FROM x' END
          AS sql_text,
        CASE user_id % 3 WHEN 0 THEN 'split' WHEN 1 THEN 'raw' ELSE 'graph' END AS treatment,
-       floor(epoch_us(ts) / 1000000)::BIGINT AS started, floor(value)::BIGINT * 60 AS elapsed
+       (epoch_us(ts) // 1000000) AS started, floor(value)::BIGINT * 60 AS elapsed
 FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)""",
     # Citations of the same runs, from the documents.
     "citations": """
@@ -193,7 +194,7 @@ SELECT c.*, coalesce(f.n, 0) AS matches,
 FROM citations c LEFT JOIN folded_calls f ON c.run_id = f.run_id AND c.query_id = f.query_id""",
     # Samples with repeated keys: time cut to the hour.
     "samples": """
-SELECT metric, floor(ts_s / 3600)::BIGINT * 3600000 AS ts_ms, container, value, src_order, k
+SELECT metric, (ts_s // 3600) * 3600000 AS ts_ms, container, value, src_order, k
 FROM points""",
 }
 
@@ -284,12 +285,12 @@ class Tables:
 
     @cached_property
     def observations(self) -> DataFrame:
-        start = F.floor(F.col("ts_us") / 3_600_000_000).cast("bigint") * 3600
+        start = W.floor_div("ts_us", 3_600_000_000) * 3600
         k = F.col("k")
         return self.events.select(
             start.alias("window_start"),
             (start + 3600).alias("window_end"),
-            F.floor(F.col("ts_us") / 1_000_000).cast("bigint").alias("observed_at"),
+            W.floor_div("ts_us", 1_000_000).alias("observed_at"),
             F.lit("service").alias("src_type"),
             F.concat(F.lit("svc"), F.col("user_id") % 9).alias("src_id"),
             F.when(k % 11 == 0, "database").otherwise("service").alias("dst_type"),
@@ -308,8 +309,8 @@ class Tables:
 
     @cached_property
     def entities(self) -> DataFrame:
-        start = F.floor(F.col("ts_us") / 3_600_000_000).cast("bigint") * 3600
-        second = F.floor(F.col("ts_us") / 1_000_000).cast("bigint")
+        start = W.floor_div("ts_us", 3_600_000_000) * 3600
+        second = W.floor_div("ts_us", 1_000_000)
         return self.events.select(
             start.alias("window_start"),
             (start + 3600).alias("window_end"),
@@ -331,7 +332,7 @@ class Tables:
         return self.events.select(
             F.col("event_type").alias("metric"),
             (F.col("ts_us") * 1000).alias("ts_ns"),
-            F.floor(F.col("ts_us") / 1_000_000).cast("bigint").alias("ts_s"),
+            W.floor_div("ts_us", 1_000_000).alias("ts_s"),
             "value",
             F.col("event_id").alias("src_order"),
             F.concat(F.lit("c"), user % 20).alias("container"),
@@ -347,7 +348,7 @@ class Tables:
     def samples(self) -> DataFrame:
         return self.points.select(
             "metric",
-            (F.floor(F.col("ts_s") / 3600).cast("bigint") * 3_600_000).alias("ts_ms"),
+            (W.floor_div("ts_s", 3600) * 3_600_000).alias("ts_ms"),
             "container",
             "value",
             "src_order",
@@ -493,7 +494,7 @@ class Tables:
             .when(F.col("user_id") % 3 == 1, "raw")
             .otherwise("graph")
             .alias("treatment"),
-            F.floor(F.col("ts_us") / 1_000_000).cast("bigint").alias("started"),
+            W.floor_div("ts_us", 1_000_000).alias("started"),
             (F.floor("value").cast("bigint") * 60).alias("elapsed"),
         )
 

@@ -48,7 +48,7 @@ def read_node_metrics(
     return rows.where(N.is_finite("value")).select(
         N.fold_metric_name(F.coalesce("metric", F.lit(""))).alias("metric"),
         F.col("metric").alias("source_name"),
-        F.floor(F.col("time") / 1000).cast("bigint").alias("ts_ms"),
+        W.floor_div("time", 1000).alias("ts_ms"),
         F.col("value").cast("double").alias("value"),
         _labels(rows, {n: n for n in NODE_LABELS}).alias("labels"),
     )

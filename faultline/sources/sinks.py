@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.functions import windows as W
 from faultline.operators.audit import dataset_digest
 
 
@@ -15,7 +16,7 @@ def write_telemetry(rows: DataFrame, path: str, signal: str, ts_ns: str = "ts_ns
     rebalance lets the adaptive planner split a busy day over several writers
     and merge quiet ones, so files have an even size.
     """
-    day = F.to_date(F.timestamp_seconds(F.floor(F.col(ts_ns) / 1_000_000_000)))
+    day = F.to_date(F.timestamp_seconds(W.floor_div(ts_ns, 1_000_000_000)))
     placed = rows.withColumn("signal", F.lit(signal)).withColumn("date", day)
     (
         placed.hint("rebalance", "date")

@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from faultline.functions import windows as W
 from faultline.operators import collapse as C
 from faultline.sources import case_files, csv_archive, node_archive, responses, sinks, wide_archive
 
@@ -38,7 +39,7 @@ def test_nanoseconds_and_conflicts(spark, tmp_path):
     labelled = wide_archive.point_labels(rows)
     assert labelled.first().labels == {
         "service_name": "shipping", "destination": "quote", "job": "shipping"}
-    keyed = labelled.withColumn("ts_ms", F.floor(F.col("ts_ns") / 1_000_000)).withColumn(
+    keyed = labelled.withColumn("ts_ms", W.floor_div("ts_ns", 1_000_000)).withColumn(
         "key", F.to_json("labels"))
     kept = C.last_observation(keyed, ["metric", "key", "ts_ms"], "value", wide_archive.SOURCE_ORDER)
     # All three fall on one millisecond; the incident period comes last.
