@@ -24,24 +24,34 @@ def same_keys(left: DataFrame, right: DataFrame, keys: list[str]):
     )
 
 
-def exact_median(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+def exact_median(
+    rows: DataFrame, keys: list[str], value: str, out: str, extra: dict[str, Column] | None = None
+) -> DataFrame:
     """Exact median per group, the mean of the middle two for an even count.
 
-    Groups without a non-null value are absent from the result.
+    Groups without a non-null value are absent from the result. `extra` names
+    further aggregates over the non-null values, as column `_v`; they ride along
+    in the pass that sizes the groups.
     """
+    extra = extra or {}
     values = rows.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null")
-    bracket = F.percentile_approx("_v", F.array(F.lit(0.5 - BRACKET), F.lit(0.5 + BRACKET)),
-                                  SKETCH_ACCURACY)
-    sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"), bracket.alias("_b"))
+    bracket = F.percentile_approx(
+        "_v", F.array(F.lit(0.5 - BRACKET), F.lit(0.5 + BRACKET)), SKETCH_ACCURACY
+    )
+    sizes = values.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_total"),
+        bracket.alias("_b"),
+        *[column.alias(name) for name, column in extra.items()],
+    )
     joined = values.alias("l").join(sizes.alias("r"), same_keys(values, sizes, keys)).select(
-        *[F.col(f"l.{k}").alias(k) for k in keys], "_v", "_total",
+        *[F.col(f"l.{k}").alias(k) for k in keys], "_v", "_total", *extra,
         F.col("_b")[0].alias("_low"), F.col("_b")[1].alias("_high"),
     )
     # Rows below the bracket only count; equal values inside of it fold into one row.
     below = F.col("_v") < F.col("_low")
     folded = (
         joined.where(F.col("_v") <= F.col("_high"))
-        .groupBy(*keys, "_total", F.when(~below, F.col("_v")).alias("_slot"))
+        .groupBy(*keys, "_total", *extra, F.when(~below, F.col("_v")).alias("_slot"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     order = Window.partitionBy(*keys).orderBy(F.col("_slot").asc_nulls_first())
@@ -55,7 +65,8 @@ def exact_median(rows: DataFrame, keys: list[str], value: str, out: str) -> Data
                 + F.min(F.when(F.col("_cum") >= second, F.col("_slot")))
             )
             / 2
-        ).alias(out)
+        ).alias(out),
+        *[F.max(name).alias(name) for name in extra],
     )
 
 

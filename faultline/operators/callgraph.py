@@ -136,35 +136,46 @@ def edge_observations(
     peer they name, with a lower confidence and an unmatched count.
     """
     width = bin_seconds * SECOND
-    pairs = span_pairs(spans, window)
-    duration = F.col("server_end_ns") - F.col("server_ns")
-    paired = pairs.groupBy(
-        W.floor_to("client_ns", width).alias("window_ns"), "src_id", "dst_id"
-    ).agg(
-        F.lit(1.0).alias("confidence"),
+    kept = ["trace_id", "span_id", "service_name", "ts_ns"] + ([peer] if peer else [])
+    # One join serves both kinds of edges: an outer row without a server is an
+    # unmatched client. A child in its own service matches, but is no call.
+    joined = (
+        clients(spans, window)
+        .select(*kept)
+        .alias("c")
+        .join(
+            servers(spans, window)
+            .select(
+                "trace_id", "parent_span_id", "service_name", "ts_ns", "end_ns", "status_code"
+            )
+            .alias("s"),
+            _child() & _in_reach(),
+            "left" if peer else "inner",
+        )
+    )
+    matched = F.col("s.trace_id").isNotNull()
+    callee = F.col("s.service_name")
+    if peer:
+        callee = F.when(matched, callee).otherwise(F.col(f"c.{peer}"))
+    duration = F.when(matched, F.col("s.end_ns") - F.col("s.ts_ns"))
+    calls = joined.select(
+        W.floor_to("c.ts_ns", width).alias("window_ns"),
+        F.col("c.service_name").alias("src_id"),
+        callee.alias("dst_id"),
+        matched.alias("matched"),
+        (F.col("s.status_code") == ERROR).alias("error"),
+        duration.alias("duration"),
+    ).where(
+        F.col("dst_id").isNotNull() & (~F.col("matched") | (F.col("src_id") != F.col("dst_id")))
+    )
+    paired = calls.groupBy("window_ns", "src_id", "dst_id", "matched").agg(
         F.count(F.lit(1)).alias("request_count"),
-        F.lit(0).cast("bigint").alias("unmatched_count"),
+        F.count_if(~F.col("matched")).alias("unmatched_count"),
         F.count_if("error").alias("error_count"),
-        F.sum(duration.cast("decimal(38,0)")).cast("double").alias("duration_sum"),
-        F.count(duration).alias("duration_count"),
-        F.max(duration).cast("double").alias("duration_max"),
-    )
-    if peer is not None:
-        lonely = unpaired_clients(spans, window).where(F.col(peer).isNotNull())
-        virtual = lonely.groupBy(
-            W.floor_to("ts_ns", width).alias("window_ns"),
-            F.col("service_name").alias("src_id"),
-            F.col(peer).alias("dst_id"),
-        ).agg(
-            F.lit(peer_confidence).alias("confidence"),
-            F.count(F.lit(1)).alias("request_count"),
-            F.count(F.lit(1)).alias("unmatched_count"),
-            F.lit(0).cast("bigint").alias("error_count"),
-            F.lit(None).cast("double").alias("duration_sum"),
-            F.lit(0).cast("bigint").alias("duration_count"),
-            F.lit(None).cast("double").alias("duration_max"),
-        )
-        paired = paired.unionByName(virtual)
+        F.sum(F.col("duration").cast("decimal(38,0)")).cast("double").alias("duration_sum"),
+        F.count("duration").alias("duration_count"),
+        F.max("duration").cast("double").alias("duration_max"),
+    ).withColumn("confidence", F.when(F.col("matched"), 1.0).otherwise(F.lit(peer_confidence)))
     start = W.floor_div("window_ns", SECOND)
     return paired.select(
         start.alias("window_start"),

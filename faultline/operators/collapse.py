@@ -66,6 +66,14 @@ def histogram_samples(points: DataFrame) -> DataFrame:
     return points.select(*_cols(rest), F.explode(kept).alias("p")).select(*_cols(rest), "p.*")
 
 
+def union_sources(*sources: DataFrame) -> DataFrame:
+    """I9. Rows of several sources or periods; a column only one of them has is null elsewhere."""
+    merged = sources[0]
+    for source in sources[1:]:
+        merged = merged.unionByName(source, allowMissingColumns=True)
+    return merged
+
+
 def last_observation(
     samples: DataFrame, keys: list[str], value: str, order: list[str]
 ) -> DataFrame:

@@ -171,6 +171,16 @@ def transition_proven(minimum: int = 2) -> Column:
     )
 
 
+DELAY_THRESHOLD_NS = 500_000_000
+
+
+def delay_facts(gaps: DataFrame, threshold_ns: int = DELAY_THRESHOLD_NS) -> DataFrame:
+    """F25. Threshold facts of call-path start gaps (E5) per directed edge; empty periods are 0."""
+    return threshold_facts(
+        gaps, ["src_id", "dst_id"], F.col("period"), "gap_ns", threshold_ns, empty_as_zero=True
+    )
+
+
 def peer_maximum(
     telemetry: DataFrame, cases: DataFrame, start: str = "alert", end: str = "window_end"
 ) -> DataFrame:

@@ -86,23 +86,25 @@ def case_effects(deltas: DataFrame, keys: list[str], metrics: list[str]) -> Data
     )
 
 
-def directions(value: Column | str) -> list[Column]:
+def directions(value: Column | str) -> dict[str, Column]:
     """F61. Aggregates: negative, tied and positive values."""
     v = F.col(value) if isinstance(value, str) else value
-    return [
-        F.count(v).alias("eligible_cases"),
-        F.count_if(v < 0).alias("negative_cases"),
-        F.count_if(v == 0).alias("tied_cases"),
-        F.count_if(v > 0).alias("positive_cases"),
-    ]
+    return {
+        "eligible_cases": F.count(v),
+        "negative_cases": F.count_if(v < 0),
+        "tied_cases": F.count_if(v == 0),
+        "positive_cases": F.count_if(v > 0),
+    }
+
+
+def described(effects: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """F60/F61. Median and direction counts per group, from one sizing pass."""
+    return exact_median(effects, groups, value, "case_median_delta", directions("_v"))
 
 
 def effect_summary(effects: DataFrame, keys: list[str], value: str = "case_median") -> DataFrame:
     """F60-F62. Median over the cases, direction counts and the sign test."""
-    groups = [*keys, "metric"]
-    counts = effects.groupBy(*groups).agg(*directions(value))
-    middle = exact_median(effects, groups, value, "case_median_delta")
-    return counts.join(middle, groups).withColumn(
+    return described(effects, [*keys, "metric"], value).withColumn(
         "sign_test_p", sign_test("negative_cases", "positive_cases")
     )
 
@@ -138,11 +140,8 @@ def holm(tests: DataFrame, family: list[str], p: str, size: Column | int) -> Dat
 def relative_by_model(effects: DataFrame, keys: list[str], metric: str) -> DataFrame:
     """F94. Median relative change in percent per model, with the case count."""
     rows = effects.where(F.col("metric") == f"{metric}_relative")
-    counts = rows.groupBy(*keys).agg(F.count("case_median").alias("cases"))
-    middle = exact_median(rows, keys, "case_median", "_median")
-    return counts.join(middle, keys).select(
-        *keys, "cases", (F.col("_median") * 100.0).alias("percent")
-    )
+    middle = exact_median(rows, keys, "case_median", "_median", {"cases": F.count("_v")})
+    return middle.select(*keys, "cases", (F.col("_median") * 100.0).alias("percent"))
 
 
 def reduction_counts(rows: DataFrame, keys: list[str]) -> DataFrame:

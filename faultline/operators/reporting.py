@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.functions.skew import exact_median
 from faultline.functions.statistics import null_strict_sum, only_value
 from faultline.operators.evaluate import GRAPH_TOOL, SQL_TOOL
-from faultline.operators.pairing import arm_pairs, case_effects, directions, pair_deltas
+from faultline.operators.pairing import arm_pairs, case_effects, described, pair_deltas
 
 # Points per matched dimension and the dimension they belong to.
 RUBRIC = {
@@ -38,9 +37,7 @@ def rejection_counts(citations: DataFrame, claim: str = "fault_mechanism") -> Da
 
 def grouped_effects(effects: DataFrame, keys: list[str], value: str = "case_median") -> DataFrame:
     """F66. Median and direction counts of case effects per group and metric."""
-    groups = [*keys, "metric"]
-    counts = effects.groupBy(*groups).agg(*directions(value))
-    return counts.join(exact_median(effects, groups, value, "case_median_delta"), groups)
+    return described(effects, [*keys, "metric"], value)
 
 
 def group_currency(effects: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from faultline.functions import normalize as N
 from faultline.functions import windows as W
 from faultline.operators import audit as A
 from faultline.operators import callgraph as G
+from faultline.operators import collapse as C
 from faultline.operators import surface as S
 from faultline.plans.normalization import STORED, record_labels, stored_copy
 from faultline.plans.registry import query
@@ -479,7 +480,7 @@ def union(t):
     histograms = t.points.where(k % 3 == 0).withColumns(
         {"kind": F.lit("histogram"), "le": F.lit("inf")}
     )
-    rows = gauges.unionByName(sums).unionByName(histograms, allowMissingColumns=True)
+    rows = C.union_sources(gauges, sums, histograms)
     return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), F.count("le").alias("bounded"))
 
 

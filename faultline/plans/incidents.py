@@ -139,9 +139,7 @@ def proven(t):
 def delay(t):
     period = W.period_of("ts_ns", WINDOW[0] * SECOND, BOUNDARY * SECOND, WINDOW[1] * SECOND)
     gaps = G.sole_server_gaps(t.spans, period)
-    return E.threshold_facts(
-        gaps, ["src_id", "dst_id"], F.col("period"), "gap_ns", 500_000_000, empty_as_zero=True
-    )
+    return E.delay_facts(gaps)
 
 
 @query(

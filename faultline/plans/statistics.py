@@ -169,7 +169,9 @@ def effect_medians(t):
         SELECT model, metric, eligible_cases, negative_cases, tied_cases, positive_cases FROM su""",
 )
 def directions(t):
-    return effects(t).groupBy("model", "metric").agg(*P.directions("case_median"))
+    return effects(t).groupBy("model", "metric").agg(
+        *[c.alias(n) for n, c in P.directions("case_median").items()]
+    )
 
 
 @query(

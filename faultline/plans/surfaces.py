@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from faultline.functions import normalize as N
 from faultline.functions import windows as W
 from faultline.operators import surface as S
+from faultline.operators.callgraph import EDGE, distinct_edges
 from faultline.plans.audits import CATALOG, catalog
 from faultline.plans.graph import EDGE_SQL, ENTITY_SQL, MAXES, RANGE
 from faultline.plans.normalization import labelled, record_labels
@@ -24,7 +25,7 @@ ALLOWED = (EVENTS_START, EVENTS_BOUNDARY)
         GROUP BY signal_type, source""",
 )
 def catalog_groups(t):
-    return catalog(t).groupBy("signal_type", "source").agg(F.count(F.lit(1)).alias("table_count"))
+    return S.catalog_groups(catalog(t))
 
 
 @query(
@@ -152,11 +153,7 @@ def newest(t):
         FROM (SELECT DISTINCT {EDGE_SQL} FROM observations)""",
 )
 def ordered(t):
-    from faultline.functions.skew import bucketed_rank
-    from faultline.operators.callgraph import EDGE, distinct_edges
-
-    part = F.struct("src_type", "src_id")
-    return bucketed_rank(distinct_edges(t.observations), [], part, EDGE, "position")
+    return S.ordered(distinct_edges(t.observations), EDGE)
 
 
 @query(

@@ -17,6 +17,8 @@ def spark():
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        # Whole scan descriptions in plans.
+        .config("spark.sql.maxMetadataStringLength", "4000")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
