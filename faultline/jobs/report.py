@@ -1,7 +1,8 @@
 """Report from evaluated runs: pairs to case effects to exact statistics.
 
-The case effects are written once to the shared work folder, because every
-summary starts from them; all other steps stay lazy until their table is written.
+The case effects and the endpoints are written once to the shared work folder,
+because several tables start from them; all other steps stay lazy until their
+table is written.
 """
 
 from __future__ import annotations
@@ -35,9 +36,8 @@ def measurement_report(
     pairs = P.arm_pairs(runs, PAIR, "treatment", baseline, treatment, [*metrics, "eligible"])
     deltas = P.pair_deltas(pairs, PAIR, metrics, "eligible", baseline, treatment, zero_for_null)
     effects = cut_lineage(P.case_effects(deltas, ["model", "case_id"], metrics), "case-effects")
-    endpoints = P.effect_summary(
-        effects.where(effects.metric.isin(*metrics)), ["model"]
-    )
+    tested = effects.where(effects.metric.isin(*metrics))
+    endpoints = cut_lineage(P.effect_summary(tested, ["model"]), "endpoints")
     adjusted = P.holm(endpoints, ["metric"], "sign_test_p", family_size)
     named = R.with_context(effects, cases)
     tables = {

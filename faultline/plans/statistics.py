@@ -8,6 +8,7 @@ from faultline.operators import pairing as P
 from faultline.operators import reporting as R
 from faultline.operators import usage as U
 from faultline.plans.registry import query
+from faultline.session import cut_lineage
 
 KEYS = ["model", "case_id", "repetition"]
 METRICS = ["rows_returned", "tool_calls", "input_tokens", "reported_tokens"]
@@ -189,6 +190,12 @@ HOLM = f"""te AS (SELECT model, metric, {TAIL} AS p FROM su WHERE metric NOT LIK
     FROM rk)"""
 
 
+def endpoints(t):
+    """Tested endpoints, written once: the adjustment reads them twice."""
+    tests = summary(t).where(~F.col("metric").endswith("relative"))
+    return cut_lineage(tests, "endpoints")
+
+
 @query(
     "f63_holm",
     "runs",
@@ -197,8 +204,7 @@ HOLM = f"""te AS (SELECT model, metric, {TAIL} AS p FROM su WHERE metric NOT LIK
         FROM te LEFT JOIN hm ON hm.model = te.model AND hm.metric = te.metric""",
 )
 def holm(t):
-    tests = summary(t).where(~F.col("metric").endswith("relative"))
-    return P.holm(tests, ["metric"], "sign_test_p", 6).select(
+    return P.holm(endpoints(t), ["metric"], "sign_test_p", 6).select(
         "model", "metric", F.round("sign_test_p", 9).alias("sign_test_p"),
         F.round("holm_adjusted_p", 9).alias("holm_adjusted_p"),
     )
@@ -775,8 +781,7 @@ def capability_ranking(t):
             AS status FROM en GROUP BY metric""",
 )
 def tally(t):
-    tests = summary(t).where(~F.col("metric").endswith("relative"))
-    return R.family_tally(P.holm(tests, ["metric"], "sign_test_p", 6), "metric")
+    return R.family_tally(P.holm(endpoints(t), ["metric"], "sign_test_p", 6), "metric")
 
 
 def arm_values(t):
