@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,17 +27,15 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the shared checkpoint folder of the cluster.
+#: Names the shared folder where the cluster does not; callers on one machine set it.
+WORK_SETTING = "faultline.work.dir"
+
 
-    The machine-local fallback is only reached in tests on one machine, where
-    no `spark.checkpoint.dir` is set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+def work_dir(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder below the shared folder of the cluster (`spark.checkpoint.dir`)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(WORK_SETTING, None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="run-")
+        raise ValueError(f"set spark.checkpoint.dir or {WORK_SETTING} to a folder all executors can reach")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -6,11 +6,11 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from faultline.session import configure  # noqa: E402
+from faultline.session import WORK_SETTING, configure  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[8]")
         .appName("tests")
@@ -22,5 +22,6 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set(WORK_SETTING, str(tmp_path_factory.mktemp("work")))
     yield configure(session)
     session.stop()
