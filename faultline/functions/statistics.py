@@ -7,25 +7,25 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EXACT_LIMIT = 1000
-
-
 def _log_factorial(n: Column) -> Column:
-    """ln(n!) by the Stirling series; exact to double precision beyond a few hundred."""
-    x = n.cast("double") + 1.0
-    return (
+    """ln(n!) by the Stirling series at n + 11, and the factors in between divided out."""
+    x = n.cast("double") + 11.0
+    series = (
         (x - 0.5) * F.log(x) - x + F.lit(0.5 * math.log(2 * math.pi))
-        + 1.0 / (12.0 * x) - 1.0 / (360.0 * x * x * x) + 1.0 / (1260.0 * F.pow(x, F.lit(5.0)))
+        + 1.0 / (12.0 * x) - 1.0 / (360.0 * F.pow(x, F.lit(3.0)))
+        + 1.0 / (1260.0 * F.pow(x, F.lit(5.0))) - 1.0 / (1680.0 * F.pow(x, F.lit(7.0)))
     )
+    factors = F.lit(1.0)
+    for i in range(1, 11):
+        factors = factors * (n.cast("double") + float(i))
+    return series - F.log(factors)
 
 
 def sign_test(negative: Column | str, positive: Column | str) -> Column:
     """F62. Exact two-sided sign test; ties are already dropped, null without observations.
 
-    The lower binomial tail is summed by the ratio of neighbouring terms. Up to
-    a thousand observations the terms are plain doubles; beyond, the largest term
-    comes from logarithms and only the terms which can still change the sum are
-    visited, so the work grows with the square root of the observations.
+    The largest term of the lower binomial tail comes from logarithms and all terms below it from
+    the ratio of neighbours, for any number of observations.
     """
     neg = F.col(negative) if isinstance(negative, str) else negative
     pos = F.col(positive) if isinstance(positive, str) else positive
@@ -33,31 +33,18 @@ def sign_test(negative: Column | str, positive: Column | str) -> Column:
     k = F.least(neg, pos).cast("bigint")
     start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
 
-    def up(acc: Column, i: Column) -> Column:
-        term = acc["term"] * (n - i + 1) / i
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
-
-    steps = F.when(k > 0, F.sequence(F.lit(1).cast("bigint"), k)).otherwise(
-        F.array().cast("array<bigint>")
-    )
-    small = F.aggregate(steps, start, up, lambda acc: acc["total"]) * F.pow(
-        F.lit(2.0), F.lit(1.0) - n
-    )
-
     def down(acc: Column, i: Column) -> Column:
         term = acc["term"] * i / (n - i + 1)
         return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
 
+    steps = F.when(k > 0, F.sequence(k, F.lit(1).cast("bigint"), F.lit(-1).cast("bigint"))).otherwise(
+        F.array().cast("array<bigint>")
+    )
     peak = F.exp(
         _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k)
         - (n.cast("double") - 1.0) * F.lit(math.log(2.0))
     )
-    reach = F.least(k, F.ceil(F.sqrt(n.cast("double")) * 12.0).cast("bigint") + 64)
-    visited = F.when(reach > 0, F.sequence(k, k - reach + 1, F.lit(-1).cast("bigint"))).otherwise(
-        F.array().cast("array<bigint>")
-    )
-    large = peak * F.aggregate(visited, start, down, lambda acc: acc["total"])
-    tail = F.when(n <= EXACT_LIMIT, small).otherwise(large)
+    tail = peak * F.aggregate(steps, start, down, lambda acc: acc["total"])
     return F.when(n > 0, F.least(F.lit(1.0), tail))
 
 

@@ -394,9 +394,15 @@ def dataset_digest(rows: DataFrame, columns: list[Column]) -> DataFrame:
     A sum keeps multiplicity and combines before the shuffle, so the digest of
     any number of rows is one row per task.
     """
-    text = F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("\x00")) for c in columns])
-    part = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(20,0)")
-    return rows.select(part.alias("h")).agg(
+    chosen = rows.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
+    plain = [
+        canonical_double(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name).cast("string")
+        for f in chosen.schema.fields
+    ]
+    text = F.concat_ws("\x1f", *[F.coalesce(c, F.lit("\x00")) for c in plain])
+    # 60 bits are 19 digits: the sum of 10^19 rows fits.
+    part = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return chosen.select(part.alias("h")).agg(
         F.count(F.lit(1)).alias("rows"),
         F.coalesce(F.sum("h"), F.lit(0)).cast("string").alias("digest"),
     )
@@ -414,10 +420,10 @@ def gate_table(gates: dict[str, DataFrame]) -> DataFrame:
             F.lit(name).alias("gate"), "passed"
         )
         table = row if table is None else table.unionByName(row)
-    total = table.agg(F.bool_and("passed").alias("passed")).select(
-        F.lit("all_passed").alias("gate"), "passed"
+    # The grand total of the same aggregate, so that no gate is computed twice.
+    return table.rollup("gate").agg(F.bool_and("passed").alias("passed")).select(
+        F.coalesce("gate", F.lit("all_passed")).alias("gate"), "passed"
     )
-    return table.unionByName(total)
 
 
 def count_agreement(expected: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:

@@ -156,23 +156,30 @@ def reduction_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def overlay(base: DataFrame, replacements: DataFrame, key: str, schedule: list[str]) -> DataFrame:
-    """E12. Rerun cells replace old ones; the schedule fields must agree, or the job ends."""
-    marked = replacements.withColumn("_new", F.lit(True))
-    joined = base.alias("o").join(marked.alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}"), "left")
-    replaced = F.coalesce(F.col("n._new"), F.lit(False))
+    """E12. Rerun cells replace old ones.
+
+    The job ends if a cell has several replacements, if its cell is unknown, or if a schedule field
+    differs between both.
+    """
+    new = replacements.groupBy(key).agg(
+        F.count(F.lit(1)).alias("_times"), F.first(F.struct(*base.columns)).alias("_new")
+    )
+    joined = base.alias("o").join(new.alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
+    replaced = F.col("n._times").isNotNull()
+    known = F.col(f"o.{key}").isNotNull()
     drift = F.lit(False)
     for field in schedule:
-        drift = drift | ~F.col(f"o.{field}").eqNullSafe(F.col(f"n.{field}"))
-    kept = []
-    for column in base.columns:
-        value = F.when(replaced, F.col(f"n.{column}")).otherwise(F.col(f"o.{column}"))
-        if column == key:
-            problem = F.raise_error(F.lit("replacement schedule differs"))
-            value = F.when(
-                replaced & drift, problem.cast(base.schema[column].dataType)
-            ).otherwise(value)
-        kept.append(value.alias(column))
-    return joined.select(*kept, replaced.alias("replaced"))
+        drift = drift | ~F.col(f"o.{field}").eqNullSafe(F.col(f"n._new.{field}"))
+    problem = (
+        F.when(replaced & ~known, "replacement of an unknown cell")
+        .when(F.col("n._times") > 1, "several replacements of one cell")
+        .when(replaced & drift, "replacement schedule differs")
+    )
+    sound = F.when(problem.isNull(), F.lit(True)).otherwise(F.raise_error(problem).cast("boolean"))
+    kept = [
+        F.when(replaced, F.col(f"n._new.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in base.columns
+    ]
+    return joined.where(sound).select(*kept, replaced.alias("replaced"))
 
 
 def disposition(deltas: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -459,12 +461,67 @@ def retained_failures(failed_cells: DataFrame, retained: DataFrame) -> DataFrame
     )
 
 
+def _count_of(text: Column, kind: str) -> Column:
+    """How many characters of a class a text has."""
+    return F.length(F.regexp_replace(text, f"[^{kind}]", ""))
+
+
+def _json_text_bytes(text: Column) -> Column:
+    """Bytes of a text as an ASCII JSON string: two for short escapes, six for a \\u escape, and
+    two of these beyond the basic plane."""
+    short = _count_of(text, r'"\\\n\r\t\x08\x0c')
+    long = _count_of(text, r"\x00-\x07\x0b\x0e-\x1f\x7f-\x{ffff}")
+    pairs = _count_of(text, r"\x{10000}-\x{10ffff}")
+    return 2 + F.length(text) + short + 5 * long + 11 * pairs
+
+
+def _json_double_bytes(value: Column) -> Column:
+    """Bytes of a double in shortest form: positional from 1e-4 to below 1e16, else with exponent."""
+    text = F.abs(value).cast("string")
+    digits = F.regexp_replace(F.regexp_replace(text, r"E.*$", ""), r"\.0$|\.", "")
+    exponent = F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int")
+    n = F.length(digits)
+    positional = (
+        F.when(exponent < 0, 1 - exponent + n)
+        .when(n <= exponent + 1, exponent + 3)
+        .otherwise(n + 1)
+    )
+    scientific = (
+        F.when(n > 1, n + 1).otherwise(n) + 2 + F.greatest(F.length(F.abs(exponent).cast("string")), F.lit(2))
+    )
+    size = (
+        F.when(exponent.isNull(), F.length(text))
+        .when(exponent.between(-4, 15), positional)
+        .otherwise(scientific)
+    )
+    return size + F.when(value.cast("string").startswith("-"), 1).otherwise(0)
+
+
+def _json_bytes(field, column: Column) -> Column:
+    kind = field.dataType.typeName()
+    if kind in ("double", "float"):
+        size = _json_double_bytes(column.cast("double"))
+    elif kind in ("byte", "short", "integer", "long", "boolean"):
+        size = F.length(column.cast("string"))
+    else:
+        size = _json_text_bytes(column.cast("string"))
+    return F.coalesce(size, F.lit(len("null")))
+
+
 def result_sizes(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """F93. Items and bytes of the rows' JSON per query result."""
-    text = F.to_json(F.array(*[F.col(c).cast("string") for c in columns]))
+    """F93. Items and bytes of the canonical JSON per query result.
+
+    The document is {"columns":[...],"rows":[[...],...]} without blanks and in ASCII: the envelope,
+    one sum of row sizes that combines map-side, and a comma between rows.
+    """
+    fields = {f.name: f for f in rows.schema.fields}
+    row = sum((_json_bytes(fields[c], F.col(c)) for c in columns), F.lit(2 + len(columns) - 1))
+    names = json.dumps(columns, separators=(",", ":"))
+    envelope = len('{"columns":,"rows":[]}') + len(names)
+    count = F.count(F.lit(1))
     return rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("returned_items"),
-        F.sum(F.octet_length(text)).alias("result_bytes"),
+        count.alias("returned_items"),
+        (F.sum(row.cast("bigint")) + count - 1 + envelope).alias("result_bytes"),
     )
 
 
@@ -482,6 +539,7 @@ def scope_contrast(cells: DataFrame, treatment: str, baseline: str) -> DataFrame
 
 
 def with_context(runs: DataFrame, cases: DataFrame, key: str = "case_id") -> DataFrame:
-    """E11. Runs with the attributes of their case; the case table is small by its size, which
-    the optimizer checks before it broadcasts."""
-    return runs.join(cases, key)
+    """E11. Runs with the attributes of their case; a run of an unknown case ends the job."""
+    found = runs.join(cases.withColumn("_known", F.lit(True)), key, "left")
+    lost = F.raise_error(F.concat(F.lit("no context for case "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return found.where(F.when(F.col("_known"), F.lit(True)).otherwise(lost.cast("boolean"))).drop("_known")

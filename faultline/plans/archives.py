@@ -238,7 +238,7 @@ def bank_metrics(t):
           UNION ALL SELECT metric || '_value', 'metric_node', metric || '.value', value, ts_s FROM points
             WHERE metric = 'click'
           UNION ALL SELECT metric || '_value', 'metric_mesh', metric || '.value', value, ts_s FROM points
-            WHERE metric = 'error') WHERE {IN_WINDOW} GROUP BY metric""",
+            WHERE metric NOT IN ('view', 'click')) WHERE {IN_WINDOW} GROUP BY metric""",
 )
 def market_metrics(t):
     archive = Archive(t)
@@ -248,15 +248,18 @@ def market_metrics(t):
         F.col("src_order").alias("count"),
     )
 
-    def kpis(metric):
-        return t.points.where(F.col("metric") == metric).select(
+    def kpis(which, *order):
+        return t.points.where(which).select(
             F.col("ts_s").alias("timestamp"), F.col("container").alias("cmdb_id"),
             F.concat("metric", F.lit(".value")).alias("kpi_name"), "value",
-        )
+        ).select(*order)
 
+    # The two files have their columns in another order.
+    node = kpis(F.col("metric") == "click", "timestamp", "cmdb_id", "kpi_name", "value")
+    mesh = kpis(~F.col("metric").isin("view", "click"), "value", "kpi_name", "timestamp", "cmdb_id")
     read = csv_archive.read_market_metrics(
         t.spark, archive.csv("metric_service.csv", service),
-        [archive.csv("metric_node.csv", kpis("click")), archive.csv("metric_mesh.csv", kpis("error"))],
+        [archive.csv("metric_node.csv", node), archive.csv("metric_mesh.csv", mesh)],
         WINDOW,
     )
     return read.groupBy("metric").agg(
@@ -302,7 +305,7 @@ def telecom_metrics(t):
     "a8_read_csv_logs",
     "",
     """SELECT (doc_id + 1704412800) * 1000000000 AS ts_ns, text AS message, source AS cmdb_id,
-         'log_proxy' AS log_source FROM documents WHERE doc_id <= 700""",
+         'log_proxy' AS log_source FROM documents WHERE doc_id >= 100""",
 )
 def csv_logs(t):
     rows = t.table("documents").select(
@@ -310,7 +313,7 @@ def csv_logs(t):
         F.col("source").alias("cmdb_id"), F.col("lang").alias("log_name"), F.col("text").alias("value"),
     )
     path = Archive(t).csv("log_proxy.csv", rows)
-    read = csv_archive.read_csv_logs(t.spark, path, (1704412800, 1704413500), with_source=True)
+    read = csv_archive.read_csv_logs(t.spark, path, (1704412900, 10**12), with_source=True, multiline=True)
     return read.select(
         "ts_ns", "message", F.col("labels")["cmdb_id"].alias("cmdb_id"),
         F.col("labels")["log_source"].alias("log_source"),
@@ -469,14 +472,15 @@ def json_spans(t):
 @query(
     "a15_read_topology",
     "",
-    """SELECT 'entity' AS kind, c_custkey::VARCHAR AS a, c_name AS b FROM customer
+    """SELECT 'entity' AS kind, c_custkey::VARCHAR AS a, c_name AS b FROM customer WHERE c_custkey % 10 > 0
        UNION ALL SELECT 'edge', o_custkey::VARCHAR, 'calls' FROM orders""",
 )
 def topology(t):
-    """One snapshot document per nation and per customer, as a folder of snapshots has them."""
+    """A folder of snapshot documents; an entity without id is left out."""
     entities = t.table("customer").select(
         F.struct(
-            F.col("c_custkey").cast("string").alias("id"), F.lit("apm.service").alias("type"),
+            F.when(F.col("c_custkey") % 10 > 0, F.col("c_custkey").cast("string")).otherwise("").alias("id"),
+            F.lit("apm.service").alias("type"),
             F.col("c_name").alias("name"),
         ).alias("e"),
         F.lit(None).cast("struct<src:string,dst:string,relation:string>").alias("d"),
@@ -491,16 +495,13 @@ def topology(t):
     documents = entities.unionByName(edges).select(
         F.array_compact(F.array("e")).alias("entities"), F.array_compact(F.array("d")).alias("edges")
     )
-    # Line-delimited snapshots; a folder of pretty-printed documents reads the same way.
     path = Archive(t).json("topology", documents)
-    snapshot = t.spark.read.schema(case_files.TOPOLOGY).json(path)
-    named = snapshot.select(F.explode("entities").alias("e")).select(
-        F.lit("entity").alias("kind"), F.col("e.id").alias("a"), F.col("e.name").alias("b")
-    )
-    calls = snapshot.select(F.explode("edges").alias("d")).select(
-        F.lit("edge").alias("kind"), F.col("d.src").alias("a"), F.col("d.relation").alias("b")
+    entities_read, edges_read = case_files.read_topology(t.spark, path, one_per_file=False)
+    return entities_read.select(
+        F.lit("entity").alias("kind"), F.col("id").alias("a"), F.col("name").alias("b")
+    ).unionByName(
+        edges_read.select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("relation").alias("b"))
     )
-    return named.unionByName(calls)
 
 
 @query(

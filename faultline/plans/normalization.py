@@ -533,17 +533,24 @@ def shapes(t):
     )
 
 
+EVENT_COLUMNS = ("event_id", "ts", "user_id", "event_type", "value", "props")
+
+
 @query(
     "b23_describe_table",
     "",
-    """SELECT column_name AS name, (ordinal_position - 1)::INTEGER AS ordinal,
-         column_name = 'ts' AS time_index, column_name = 'user_id' AS primary_key
-       FROM information_schema.columns WHERE table_name = 'events'""",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS name, {i} AS ordinal, {c == 'ts'} AS time_index, {c == 'user_id'} AS primary_key,
+              count(*) AS rows, count(*) - count({c}) AS nulls,
+              {'epoch_us(min(ts))' if c == 'ts' else 'NULL::BIGINT'} AS first_us,
+              {'epoch_us(max(ts))' if c == 'ts' else 'NULL::BIGINT'} AS last_us FROM events"""
+        for i, c in enumerate(EVENT_COLUMNS)
+    ),
 )
 def describe(t):
-    return S.describe_table(t.table("events"), {"ts": "timestamp", "user_id": "tag"}).select(
-        "name", "ordinal", "time_index", "primary_key"
-    )
+    described = S.describe_table(t.table("events"), {"ts": "timestamp", "user_id": "tag"})
+    ends = [F.unix_micros(F.col(f"{c}_time").cast("timestamp")).alias(f"{c}_us") for c in ("first", "last")]
+    return described.select("name", "ordinal", "time_index", "primary_key", "rows", "nulls", *ends)
 
 
 @query(

@@ -1068,12 +1068,15 @@ def retained(t):
 @query(
     "f93_result_sizes",
     "",
-    """SELECT conv_id, count(*) AS returned_items,
-         sum(strlen('["' || turn || '","' || role || '"]'))::BIGINT AS result_bytes
+    r"""SELECT conv_id, count(*) AS returned_items,
+         (strlen('{"columns":["turn","role","text"],"rows":[]}') + count(*) - 1
+          + sum(strlen('[' || turn || ',"' || role || '",""]') + len(text)
+            + len(regexp_replace(text, '[^"\\\n\r\t]', '', 'g'))
+            + 5 * len(regexp_replace(text, '[\x00-\x7e]', '', 'g'))))::BIGINT AS result_bytes
        FROM conversations GROUP BY conv_id""",
 )
 def sizes(t):
-    return R.result_sizes(t.table("conversations"), ["conv_id"], ["turn", "role"])
+    return R.result_sizes(t.table("conversations"), ["conv_id"], ["turn", "role", "text"])
 
 
 RELATIVE = f"""re AS (SELECT model, count(*) AS cases, median(case_median) * 100.0 AS percent FROM ce

@@ -76,8 +76,12 @@ def _found(terms, where="true"):
   found AS (SELECT * FROM (SELECT *, {_matched(terms)} AS terms FROM k) WHERE len(terms) > 0)"""
 
 
-TEXT = "the red widget for disk I/O write time"
-TERMS = ["red", "widget", "disk", "io", "write", "time"]
+# Fourteen words are left of these; all of them count.
+TEXT = "the red widget for disk I/O write time in brushed_copper or small economy steel, promo nickel tin"
+TERMS = [
+    "red", "widget", "disk", "io", "write", "time", "brushed", "copper", "small", "economy", "steel",
+    "promo", "nickel", "tin",
+]
 
 
 @query(
@@ -125,7 +129,8 @@ def target_ranks(t):
     """, c AS (SELECT DISTINCT trace_id FROM spans WHERE service_name = 'svc1'
                AND span_kind = 'SPAN_KIND_SERVER' AND span_name = 'op3'),
        a AS (SELECT DISTINCT trace_id FROM spans)
-       SELECT a.trace_id, c.trace_id IS NOT NULL AS causal FROM a LEFT JOIN c ON a.trace_id = c.trace_id
+       SELECT a.trace_id, c.trace_id IS NOT NULL AS causal, (SELECT count(*) FROM a) > 25 AS truncated
+       FROM a LEFT JOIN c ON a.trace_id = c.trace_id
        ORDER BY c.trace_id IS NOT NULL DESC, a.trace_id LIMIT 25""",
 )
 def sample(t):
@@ -134,13 +139,14 @@ def sample(t):
         & (F.col("span_kind") == "SPAN_KIND_SERVER")
         & (F.col("span_name") == "op3")
     )
-    return S.causal_first_sample(t.spans, causal)
+    return S.causal_first_sample(t.spans, causal, 25)
 
 
 @query(
     "h5_newest_rows",
     "points",
-    "SELECT src_order, ts_ns, metric FROM points ORDER BY ts_ns DESC, src_order LIMIT 20",
+    """SELECT src_order, ts_ns, metric, (SELECT count(*) FROM points) > 50 AS truncated FROM points
+       ORDER BY ts_ns DESC, src_order LIMIT 50""",
 )
 def newest(t):
     return S.newest(t.points.select("src_order", "ts_ns", "metric"), "ts_ns", 50, ["src_order"])
@@ -181,8 +187,8 @@ def relationships(t):
           FROM entities WHERE observed_at >= 1704153600 AND observed_at < 1704240000
             AND entity_type = 'error'
           GROUP BY window_start, window_end, {ENTITY_SQL})
-        SELECT *, (SELECT count(*) FROM r) > 1000 AS truncated FROM r
-        ORDER BY window_start, window_end, {ENTITY_SQL.replace('scope', 'scope NULLS FIRST')} LIMIT 1000""",
+        SELECT *, (SELECT count(*) FROM r) > 5000 AS truncated FROM r
+        ORDER BY window_start, window_end, {ENTITY_SQL.replace('scope', 'scope NULLS FIRST')} LIMIT 5000""",
 )
 def entity_view(t):
     return S.query_graph(
@@ -193,14 +199,16 @@ def entity_view(t):
 
 @query(
     "l2_describe_nullability",
-    "",
-    """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true END
-         AS nullable FROM customer""",
+    "clients_src servers_src spans",
+    """SELECT 0 AS ordinal, 'trace_id' AS name, false AS nullable, count(*) AS rows,
+         count(*) - count(trace_id) AS nulls, NULL AS first_time FROM spans
+       UNION ALL SELECT 1, 'peer', true, count(*), count(*) - count(peer), NULL FROM spans
+       UNION ALL SELECT 2, 'ts_ns', true, count(*), count(*) - count(ts_ns), min(ts_ns)::VARCHAR FROM spans""",
 )
 def nullability(t):
-    k = F.col("c_custkey") % 4
-    text = F.when(k == 0, "YES").when(k == 1, "no").when(k == 2, "1").otherwise("maybe")
-    return t.table("customer").select("c_custkey", S.nullability(text).alias("nullable"))
+    declared = {"trace_id": "no", "peer": "Y", "ts_ns": "1"}
+    described = S.describe_table(t.spans.select(*declared), {"ts_ns": "timestamp"}, declared)
+    return described.select("ordinal", "name", "nullable", "rows", "nulls", "first_time")
 
 
 SAMPLES_MS = """s AS (SELECT metric, container, ts_ns // 1000000 AS ts_ms, value, src_order FROM points)"""
@@ -250,7 +258,7 @@ def log_records(t):
     )
 
 
-LOG_WHERE = """ts_ns >= 600 * 1000000000::BIGINT AND ts_ns < 90000 * 1000000000::BIGINT
+LOG_WHERE = """ts_ns >= 600 * 1000000000::BIGINT AND ts_ns < 1000000000000000000
   AND lang = 'en' AND source <> 'src3'"""
 LOG_ROWS = """l AS (SELECT doc_id, doc_id * 60 * 1000000000::BIGINT AS ts_ns, text AS message, source,
   CASE WHEN doc_id % 3 <> 0 THEN lang END AS lang FROM documents)"""
@@ -266,7 +274,7 @@ LOG_ROWS = """l AS (SELECT doc_id, doc_id * 60 * 1000000000::BIGINT AS ts_ns, te
 def logs_backward(t):
     return S.log_range(
         log_records(t), [("lang", "=", "en"), ("source.name", "!=", "src3")], 600 * SECOND,
-        90_000 * SECOND, ties=["doc_id"],
+        10**18, ties=["doc_id"],
     ).select("doc_id", "ts_ns", "message", "truncated")
 
 
@@ -275,8 +283,8 @@ def logs_backward(t):
     "",
     f"""WITH {LOG_ROWS}, w AS (SELECT * FROM l
           WHERE regexp_full_match(source, 'src1[0-4]') AND coalesce(lang, '') <> 'en')
-        SELECT doc_id, ts_ns, (SELECT count(*) FROM w) > 1000 AS truncated FROM w
-        ORDER BY ts_ns, doc_id LIMIT 1000""",
+        SELECT doc_id, ts_ns, (SELECT count(*) FROM w) > 5000 AS truncated FROM w
+        ORDER BY ts_ns, doc_id LIMIT 5000""",
 )
 def logs_forward(t):
     rows = log_records(t)
@@ -390,7 +398,8 @@ def tags(t):
 @query(
     "l7_span_tag_names",
     SPANS,
-    "SELECT t AS tag FROM (VALUES ('operation'), ('peer')) v(t)",
+    """SELECT 'operation' AS tag FROM spans WHERE span_name IS NOT NULL GROUP BY 1
+       UNION SELECT 'peer' FROM spans WHERE peer IS NOT NULL""",
 )
 def tag_names(t):
     attributes = N.drop_empty(F.create_map(F.lit("operation"), "span_name", F.lit("peer"), "peer"))

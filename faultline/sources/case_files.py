@@ -33,9 +33,10 @@ RUNS = (
 )
 
 
-def read_topology(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A15. Entities and edges of topology snapshots (one JSON document per file)."""
-    snapshot = spark.read.schema(TOPOLOGY).option("multiLine", "true").json(path)
+def read_topology(spark: SparkSession, path: str, one_per_file: bool = True) -> tuple[DataFrame, DataFrame]:
+    """A15. Entities and edges of topology snapshots: one JSON document per file, or one per line,
+    which can be split over tasks."""
+    snapshot = spark.read.schema(TOPOLOGY).option("multiLine", str(one_per_file).lower()).json(path)
     entities = snapshot.select(F.explode("entities").alias("e")).select("e.*")
     edges = snapshot.select(F.explode("edges").alias("e")).select("e.*")
     return entities.where(F.coalesce("id", F.lit("")) != ""), edges

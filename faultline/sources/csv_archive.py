@@ -1,11 +1,14 @@
 """CSV telemetry archives in the bank, market and telecom layouts.
 
-Headers name the columns; every value is read as text and cast, so column order
-does not matter. Windows of these archives include both ends.
+Headers name the columns; every value is read as text and cast, and files of another column order
+are scanned under their own header. Windows of these archives include both ends.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,15 +29,26 @@ ARCHIVE_ZONE = "Asia/Shanghai"
 def _csv(spark: SparkSession, path: str | list[str], multiline: bool = False) -> DataFrame:
     """Text columns by header name; empty fields stay empty text.
 
-    Only files whose quoted fields hold line breaks need `multiline`: such a file
-    cannot be split over tasks.
+    Each path, a file or a folder of part files, has one header; a part file with another one ends
+    the job. Paths of equal header are one scan, the scans are joined by column name, and a column
+    that some files lack is null there. Only files whose quoted fields hold line breaks need
+    `multiline`: such a file cannot be split over tasks.
     """
-    return (
+    reader = (
         spark.read.option("header", "true").option("escape", '"')
         .option("multiLine", str(multiline).lower())
         .option("nullValue", "\u0000").option("emptyValue", "")
-        .csv(path)
     )
+    by_header = defaultdict(list)
+    for each in [path] if isinstance(path, str) else path:
+        by_header[tuple(reader.csv(each).columns)].append(each)
+    strict = reader.option("enforceSchema", "false")
+    scans = [
+        strict.schema(", ".join(f"`{c}` string" for c in header)).csv(paths)
+        .select("*", _stem().alias("_stem"))
+        for header, paths in sorted(by_header.items())
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
 
 
 def _stem() -> Column:
@@ -48,8 +62,14 @@ def _inside(rows: DataFrame, ts: Column, window: Window, scale: int) -> DataFram
 
 
 def _samples(rows: DataFrame, name: Column, ts_ms: Column, value: Column, labels: Column):
-    """Finite samples under their folded name."""
-    number = F.expr("try_cast(_value AS double)")
+    """Finite samples under their folded name.
+
+    A cell that is no number ends the job; NaN and the infinities are left out.
+    """
+    number = F.coalesce(
+        F.expr("try_cast(_value AS double)"),
+        F.raise_error(F.concat(F.lit("not a number: "), F.coalesce("_value", F.lit("null")))).cast("double"),
+    )
     staged = rows.select(
         name.alias("source_name"), ts_ms.alias("ts_ms"), value.alias("_value"),
         labels.alias("labels"),
@@ -93,8 +113,8 @@ def read_market_metrics(
 ) -> DataFrame:
     """A6. The service file is wide, the others are long; labels name the file and the kpi."""
     ts = F.col("timestamp").cast("bigint")
-    wide = _inside(_csv(spark, service).select("*", _stem().alias("_stem")), ts, window, 1)
-    narrow = _inside(_csv(spark, others).select("*", _stem().alias("_stem")), ts, window, 1)
+    wide = _inside(_csv(spark, service), ts, window, 1)
+    narrow = _inside(_csv(spark, others), ts, window, 1)
 
     def labels(owner: str, kpi: Column) -> Column:
         return F.create_map(
@@ -114,8 +134,8 @@ def read_telecom_metrics(
     """A7. Times are milliseconds; kpi rows carry bomc_id and itemid."""
     start = F.col("startTime").cast("bigint")
     ts = F.col("timestamp").cast("bigint")
-    wide = _inside(_csv(spark, app).select("*", _stem().alias("_stem")), start, window, 1000)
-    narrow = _inside(_csv(spark, others).select("*", _stem().alias("_stem")), ts, window, 1000)
+    wide = _inside(_csv(spark, app), start, window, 1000)
+    narrow = _inside(_csv(spark, others), ts, window, 1000)
     return _wide(
         wide, TELECOM_APP, start,
         lambda n: F.create_map(
@@ -134,12 +154,15 @@ def read_telecom_metrics(
 
 
 def read_csv_logs(
-    spark: SparkSession, paths: str | list[str], window: Window = None, with_source: bool = False
+    spark: SparkSession, paths: str | list[str], window: Window = None, with_source: bool = False,
+    multiline: bool = False,
 ) -> DataFrame:
-    """A8. Log rows; the market layout adds the file name as the log source."""
+    """A8. Log rows; the market layout adds the file name as the log source.
+
+    `multiline` reads messages with line breaks, at the price of one task per file.
+    """
     ts = F.col("timestamp").cast("bigint")
-    read = _csv(spark, paths, multiline=True).select("*", _stem().alias("_stem"))
-    rows = _inside(read, ts, window, 1)
+    rows = _inside(_csv(spark, paths, multiline), ts, window, 1)
     labels = [F.lit("cmdb_id"), "cmdb_id", F.lit("log_name"), "log_name"]
     if with_source:
         labels += [F.lit("log_source"), "_stem"]

@@ -108,13 +108,21 @@ def _json_map(rows: DataFrame, name: str) -> Column:
     return F.when(text.isNull(), empty).otherwise(F.coalesce(parsed, problem))
 
 
+EVENTS = "array<map<string,string>>"
+
+
 def read_json_spans(spark: SparkSession, path: str) -> DataFrame:
-    """A14. Spans with JSON resources, attributes and events; unknown kinds end the job."""
+    """A14. Spans with JSON resources, attributes and events; unknown kinds and documents that are
+    not what their column holds end the job."""
     rows = spark.read.parquet(path)
     kind = F.coalesce(F.col("kind").cast("int"), F.lit(0))
     bad_kind = F.raise_error(F.concat(F.lit("invalid span kind: "), kind.cast("string")))
-    events = F.from_json(
-        F.nullif("events", F.lit("")), "array<map<string,string>>"
+    listed = F.nullif("events", F.lit(""))
+    events = F.when(listed.isNull(), F.array().cast(EVENTS)).otherwise(
+        F.coalesce(
+            F.when(F.ltrim(listed).startswith("["), F.from_json(listed, EVENTS)),
+            F.raise_error(F.lit("span events must be a list of JSON objects")).cast(EVENTS),
+        )
     )
     start = F.coalesce(F.col("startTime").cast("bigint"), F.lit(0))
     end = F.coalesce(F.col("endTime").cast("bigint"), F.lit(0))
@@ -137,5 +145,5 @@ def read_json_spans(spark: SparkSession, path: str) -> DataFrame:
         text("serviceName", "unknown").alias("service_name"),
         _json_map(rows, "resources").alias("resource"),
         _json_map(rows, "attributes").alias("attributes"),
-        F.coalesce(events, F.array().cast("array<map<string,string>>")).alias("events"),
+        events.alias("events"),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions.statistics import sign_test
 from faultline.operators import pairing as P
+from faultline.operators import reporting as R
 from faultline.operators import usage as U
 
 # Fewer, tied and more cases of both endpoints with their exact and Holm-adjusted p.
@@ -97,6 +98,18 @@ def test_overlay_rejects_a_changed_schedule(spark):
     bad = good.withColumn("model", F.lit("other"))
     with pytest.raises(Exception, match="schedule differs"):
         P.overlay(base, bad, "cell", ["model"]).collect()
+    with pytest.raises(Exception, match="unknown cell"):
+        P.overlay(base, good.withColumn("cell", F.lit(7)), "cell", ["model"]).collect()
+    with pytest.raises(Exception, match="several replacements"):
+        P.overlay(base, good.union(good), "cell", ["model"]).collect()
+
+
+def test_a_run_without_case_ends_the_job(spark):
+    runs = spark.createDataFrame([(1, "a"), (2, "b")], "run int, case_id string")
+    cases = spark.createDataFrame([("a", "x")], "case_id string, scope string")
+    assert R.with_context(runs.where("run = 1"), cases).first().scope == "x"
+    with pytest.raises(Exception, match="no context for case b"):
+        R.with_context(runs, cases).select("run").collect()
 
 
 USAGES = [
