@@ -42,5 +42,5 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
 def cut_lineage(df: DataFrame, purpose: str = "stage") -> DataFrame:
     """Writes an intermediate result once so that several consumers do not recompute it."""
     path = work_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
