@@ -38,7 +38,7 @@ from faultline.session import cut_lineage
 #: Added to every count of a token.
 ADD = 0.1
 #: Text of one block and tokens of one shard: they bound a task's memory, not what is counted.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 20 << 20
 SHARD_TOKENS = 2_000_000
 #: The end token, which no word can be.
 END = " "
@@ -47,7 +47,7 @@ END = " "
 def squeeze(values: np.ndarray, width: int = 4) -> bytes:
     """Whole numbers below 256**width, compressed byte plane by byte plane."""
     planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unsqueeze(raw: bytes, width: int = 4) -> np.ndarray:
@@ -141,16 +141,20 @@ def _shard_of(key: np.ndarray, shards: int) -> np.ndarray:
     return ((mixed >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
 
 
-def _send(block: int, docs: bytes, tokens: bytes, position: np.ndarray, ids: np.ndarray,
+def _send(block: int, docs: bytes, tokens: bytes, named: np.ndarray,
           counts: Counts, shards: int, mass: float) -> Iterator[tuple[int, int, bytes]]:
-    """(part, block, payload): what a block knows itself, and its bigrams for each shard."""
+    """(part, block, payload): what a block knows itself, and its bigrams for each shard.
+
+    `named` has the ids of the block's words: id in the high half, place in the low half.
+    """
     names, held, lengths = pickle.loads(docs)
     local = unsqueeze(tokens)
-    known = np.full(int(local.max()) + 1, -1, dtype=np.int64)
-    known[position] = ids
+    known = np.full(int(local.max()) + 1, -1, dtype=np.int32)
+    known[named & 0xFFFFFFFF] = named >> 32
     word = known[local]
-    doc = np.repeat(np.arange(len(names)), lengths)
-    before = np.concatenate([[0], word[:-1]])
+    del local
+    doc = np.repeat(np.arange(len(names), dtype=np.int32), lengths)
+    before = np.concatenate([known[:1], word[:-1]])
     before[np.cumsum(lengths) - lengths] = known[0]  # the end token stands before a text
     chance = counts.unigram(word)
     base = np.bincount(doc, np.log10(chance), minlength=len(names))
@@ -161,11 +165,13 @@ def _send(block: int, docs: bytes, tokens: bytes, position: np.ndarray, ids: np.
     direct = np.log10(chance[plain]) + np.where(before[plain] < 0, 0.0, np.log10(mass / (seen + mass)))
     score = np.bincount(doc[plain], direct, minlength=len(names))
     yield -1 - block % shards, block, pickle.dumps((names, held, lengths, n_known, base, score))
-    key = (before << 32 | word)[~plain]
+    key = before[~plain].astype(np.int64) << 32 | word[~plain]
     doc = doc[~plain]
-    shard = _shard_of(key, shards)
+    del word, before, chance, plain, seen, direct
+    shard = _shard_of(key, shards).astype(np.int32)
     order = np.lexsort((key, shard))
     key, doc, shard = key[order], doc[order], shard[order]
+    del order
     edges = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]]) if len(shard) else [0]
     flags = np.packbits(held).tobytes()
     for a, b in zip(edges[:-1], edges[1:]):
@@ -224,6 +230,8 @@ def score_texts(docs: DataFrame, held_out: Column, mass: float = 100.0, key: str
     counted = cut_lineage(words.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"), "counts")
     classes = [(r["n"], r["words"]) for r in counted.groupBy("n").agg(F.count(F.lit(1)).alias("words")).collect()]
     tokens = sum(c * n for c, n in classes)
+    if sum(n for _, n in classes) >= 1 << 31:
+        raise ValueError("word ids have 31 bits; raise their width for larger vocabularies")
     counts = Counts(classes, tokens)
     total = blocks.agg(F.sum("n_tokens")).first()[0] or 0
     shards = max(common.parts(spark), math.ceil(total / SHARD_TOKENS))
@@ -234,14 +242,15 @@ def score_texts(docs: DataFrame, held_out: Column, mass: float = 100.0, key: str
         .select("word", (F.col("first") + F.col("rank")).alias("id")),
         "vocabulary",
     )
-    named_words = words.join(vocabulary, "word").select(F.col("block").alias("home"), "pos", "id")
+    packed = F.shiftleft("id", 32).bitwiseOR(F.col("pos").cast("long"))
+    named_words = words.join(vocabulary, "word").select(F.col("block").alias("home"), packed.alias("named"))
     shared = spark.sparkContext.broadcast(counts)
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         for row in left.to_pylist():
-            rows += _send(row["block"], row["docs"], row["tokens"], right.column("pos").to_numpy(),
-                          right.column("id").to_numpy(), shared.value, shards, mass)
+            rows += _send(row["block"], row["docs"], row["tokens"], right.column("named").to_numpy(),
+                          shared.value, shards, mass)
         return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()),
                          "block": pa.array([r[1] for r in rows], pa.int64()),
                          "payload": pa.array([r[2] for r in rows], pa.binary())})
