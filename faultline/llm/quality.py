@@ -5,7 +5,7 @@ A text becomes a tf-idf vector of hashed byte trigrams, of trigrams of its chara
 words that repeat the one before. Latent-semantic
 analysis of a bounded sample of labelled documents gives the projection; the labelled vectors are
 broadcast and every document is compared with all of them by exact cosine products, block by
-block. The `neighbours` most similar vote for their label with their cosine as weight.
+block. The `neighbours` most similar vote for their label, weighted by a power of their cosine.
 
 Nulls count as empty texts. An empty text has a zero vector, no neighbour, and the share of
 label 1 in the sample as its score; without any label the score is 0.5. Repeated labelled rows
@@ -31,6 +31,8 @@ RAW, SHAPE = 1024, 1024
 #: Equal places for the number of words that repeat the one before, so that it weighs enough.
 REPEAT = 64
 WIDTH = RAW + SHAPE + REPEAT
+#: Of the cosine as a vote's weight: where one label is rare, its nearest votes must not drown.
+POWER = 8
 #: Fixed shapes of bytes: letters by case, digits as 0, bytes of other letters as b.
 _SHAPES = bytes(
     ord("a") if 97 <= i <= 122 else ord("A") if 65 <= i <= 90 else ord("0") if 48 <= i <= 57
@@ -93,7 +95,7 @@ class Neighbours:
             near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
         else:
             near = np.broadcast_to(np.arange(k), (len(z), k))
-        weight = np.maximum(np.take_along_axis(cosines, near, axis=1), 0) ** 2
+        weight = np.maximum(np.take_along_axis(cosines, near, axis=1), 0) ** POWER
         total = weight.sum(axis=1)
         some = total > 0
         out[some] = (weight * self.labels[near]).sum(axis=1)[some] / total[some]
@@ -103,8 +105,8 @@ class Neighbours:
 def fit_neighbours(
     labelled: DataFrame,
     bound: int = 4000,
-    dimensions: int = 32,
-    neighbours: int = 25,
+    dimensions: int = 16,
+    neighbours: int = 15,
     text: str = "text",
     label: str = "label",
     key: str = "doc_id",
