@@ -9,16 +9,18 @@ from faultline.functions.statistics import null_strict_sum, only_value
 
 MILLION = 1_000_000
 
-_DETAILS = "cached_tokens long, cache_write_tokens long, cache_creation_input_tokens long"
-_NESTED = f"prompt_tokens_details struct<{_DETAILS.replace(' long', ':long')}>"
-# Union of the usage objects which providers return.
-USAGE_SCHEMA = (
-    "prompt_cache_hit_tokens long, prompt_cache_miss_tokens long, cache_read_input_tokens long, "
-    "cache_creation_input_tokens long, input_tokens long, prompt_tokens long, total_tokens long, "
-    f"input_tokens_details struct<{_DETAILS.replace(' long', ':long')}>, "
-    f"prompt_tokens_details struct<{_DETAILS.replace(' long', ':long')}>, "
-    f"x_details array<struct<{_NESTED.replace(' struct', ':struct')}>>"
-)
+# The keys of the usage objects which providers return, all in one schema.
+USAGE_SCHEMA = """
+    input_tokens long, prompt_tokens long, total_tokens long,
+    prompt_cache_hit_tokens long, prompt_cache_miss_tokens long,
+    cache_read_input_tokens long, cache_creation_input_tokens long,
+    input_tokens_details struct<
+        cached_tokens: long, cache_write_tokens: long, cache_creation_input_tokens: long>,
+    prompt_tokens_details struct<
+        cached_tokens: long, cache_write_tokens: long, cache_creation_input_tokens: long>,
+    x_details array<struct<prompt_tokens_details: struct<
+        cached_tokens: long, cache_write_tokens: long, cache_creation_input_tokens: long>>>
+"""
 
 
 def _zero(value: Column) -> Column:

@@ -476,5 +476,5 @@ def load(t):
     f""", {FIRST} SELECT run_id, first AS first_cited FROM fi""",
 )
 def positions(t):
-    cited = t.calls.join(t.citations.select("run_id", "query_id").distinct(), ["run_id", "query_id"])
-    return cited.groupBy("run_id").agg(F.min("ordinal").alias("first_cited"))
+    counts = V.call_counts(t.calls, t.citations)
+    return counts.where(F.col("first_cited").isNotNull()).select("run_id", "first_cited")

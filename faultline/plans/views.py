@@ -57,10 +57,10 @@ SELECT c.trace_id, c.span_id AS client_span_id, s.span_id AS server_span_id,
        c.service_name AS src_id, s.service_name AS dst_id, c.ts_ns AS client_ns,
        s.ts_ns AS server_ns, s.end_ns AS server_end_ns,
        s.status_code = 'STATUS_CODE_ERROR' AS error, c.span_name AS client_operation
-FROM spans c JOIN spans s
+FROM clients_src c JOIN servers_src s
   ON c.trace_id = s.trace_id AND s.parent_span_id = c.span_id
  AND s.ts_ns >= c.ts_ns - 300 * 1000000000::BIGINT AND s.ts_ns <= c.ts_ns + 3600 * 1000000000::BIGINT
-WHERE c.span_kind = 'SPAN_KIND_CLIENT' AND s.span_kind = 'SPAN_KIND_SERVER'
+WHERE s.span_kind = 'SPAN_KIND_SERVER'
   AND c.ts_ns >= 560000 * 1000000000::BIGINT AND c.ts_ns < 680000 * 1000000000::BIGINT
   AND s.ts_ns >= (560000 - 300) * 1000000000::BIGINT AND s.ts_ns < (680000 + 3600) * 1000000000::BIGINT""",
     # Observations with repeats per window and edge, from the event stream.
