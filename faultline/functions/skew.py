@@ -12,9 +12,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.session import cut_lineage
+
 SKETCH_ACCURACY = 10_000
 # Half width of the bracket in rank fractions; ten times the sketch's rank error.
 BRACKET = 10 / SKETCH_ACCURACY
+# Parts of a bracket that are ranked on their own.
+SLICES = 256
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str]):
@@ -31,10 +35,13 @@ def exact_median(
 
     Groups without a non-null value are absent from the result. `extra` names
     further aggregates over the non-null values, as column `_v`; they ride along
-    in the pass that sizes the groups.
+    in the pass that sizes the groups. The values are written once, because two passes
+    read them, and what lies in the bracket is ranked by slices of it.
     """
     extra = extra or {}
-    values = rows.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null")
+    values = cut_lineage(
+        rows.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null"), "values"
+    )
     bracket = F.percentile_approx(
         "_v", F.array(F.lit(0.5 - BRACKET), F.lit(0.5 + BRACKET)), SKETCH_ACCURACY
     )
@@ -51,11 +58,14 @@ def exact_median(
     below = F.col("_v") < F.col("_low")
     folded = (
         joined.where(F.col("_v") <= F.col("_high"))
-        .groupBy(*keys, "_total", *extra, F.when(~below, F.col("_v")).alias("_slot"))
+        .groupBy(*keys, "_total", *extra, "_low", "_high", F.when(~below, F.col("_v")).alias("_slot"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    order = Window.partitionBy(*keys).orderBy(F.col("_slot").asc_nulls_first())
-    ranked = folded.withColumn("_cum", F.sum("_n").over(order))
+    width = F.col("_high") - F.col("_low")
+    slice_ = F.when(F.col("_slot").isNull(), -1).when(
+        width > 0, F.floor((F.col("_slot") - F.col("_low")) / width * SLICES)
+    ).otherwise(0)
+    ranked = running_sum(folded, keys, slice_, [F.col("_slot").asc_nulls_first()], "_n", "_cum")
     first = F.floor((F.col("_total") + 1) / 2)
     second = F.floor((F.col("_total") + 2) / 2)
     return ranked.groupBy(*keys).agg(
@@ -122,6 +132,19 @@ def bucketed_rank(
     )
 
 
+def global_rank(rows: DataFrame, order: list, out: str) -> DataFrame:
+    """Row number over all rows in `order`, by ranges of the order itself.
+
+    Rows are dealt to ranges by all columns of the order, so ties in the first ones are split too,
+    and are written once with their range: a second run could draw other borders. What earlier
+    ranges contribute comes from one row per range.
+    """
+    placed = cut_lineage(
+        rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges"
+    )
+    return bucketed_rank(placed, [], F.col("_range"), order, out).drop("_range")
+
+
 def running_sum(
     rows: DataFrame, keys: list[str], bucket: Column, order: list, value: str, out: str
 ) -> DataFrame:

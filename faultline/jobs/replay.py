@@ -8,6 +8,7 @@ distributed plan per table; nothing but the gate rows is small.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,9 @@ from faultline.functions import windows as W
 from faultline.operators import audit as A
 from faultline.operators import callgraph as G
 from faultline.operators import collapse as C
-from faultline.session import configure
+from faultline.operators import evidence as E
+from faultline.operators import surface as S
+from faultline.session import configure, cut_lineage
 from faultline.sources import sinks, wide_archive
 
 SECOND = 1_000_000_000
@@ -65,17 +68,59 @@ def projected_samples(spark: SparkSession, archive: Archive) -> DataFrame:
     )
 
 
+DIMENSIONS = ["service_name", "span_kind", "status_code"]
+
+
+def _code(column: str, name_of, count: int):
+    """The number of an enum's name; none for a name outside of the protocol."""
+    names = F.array(*[name_of(F.lit(i)) for i in range(count)])
+    return F.nullif(F.array_position(names, F.col(column)), F.lit(0)) - 1
+
+
+def _sum_of(counts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, counts).agg((F.sum("remapped") == 0).alias("passed"))
+
+
+def _sizes(signals: dict[str, DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [
+        rows.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("signal"), "row_count")
+        for name, rows in signals.items()])
+
+
+def _agreement(expected: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    return A.count_agreement(expected, stored, keys).agg(F.bool_and("match").alias("passed"))
+
+
+def _names(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.read.parquet(*paths).select(F.col("metric").cast("string").alias("metric"))
+
+
+def _with_labels(samples: DataFrame) -> DataFrame:
+    """Samples with their labels as a map and milliseconds, as the query surface takes them."""
+    return samples.select(
+        "metric", F.map_from_entries(F.from_json("labels_key", "array<struct<key:string,value:string>>")).alias("labels"),
+        W.floor_div("ts_ns", 1_000_000).alias("ts_ms"),
+    )
+
+
 def replay(spark: SparkSession, archive: Archive, case: Case, root: str) -> DataFrame:
     """Writes the canonical tables below `root` and returns the gates."""
     configure(spark)
     start, end = case.normal_start * SECOND, case.abnormal_end * SECOND
-    samples = projected_samples(spark, archive)
-    logs = wide_archive.read_logs(spark, archive.logs).select(
-        "ts_ns", "message", N.labels_key(N.stream_labels("labels", "log_table")).alias("labels_key")
+    # Every gate looks at them, so each source is read once.
+    samples = cut_lineage(projected_samples(spark, archive), "samples")
+    logs = cut_lineage(
+        wide_archive.read_logs(spark, archive.logs).select(
+            "ts_ns", "message", N.labels_key(N.stream_labels("labels", "log_table")).alias("labels_key")
+        ),
+        "logs",
     )
-    spans = wide_archive.read_spans(spark, archive.traces).select(
-        "trace_id", "span_id", "parent_span_id", "service_name", "span_kind", "status_code",
-        "span_name", "ts_ns", "end_ns",
+    spans = cut_lineage(
+        wide_archive.read_spans(spark, archive.traces).select(
+            "trace_id", "span_id", "parent_span_id", "service_name", "span_kind", "status_code",
+            "span_name", "ts_ns", "end_ns",
+        ),
+        "spans",
     )
     for signal, rows in (("metrics", samples), ("logs", logs), ("traces", spans)):
         sinks.write_telemetry(rows, root, signal)
@@ -92,7 +137,10 @@ def replay(spark: SparkSession, archive: Archive, case: Case, root: str) -> Data
         .unionByName(logs.select(F.lit("logs").alias("signal"), "ts_ns"))
         .unionByName(spans.select(F.lit("traces").alias("signal"), "ts_ns"))
     )
-    coded = spans.withColumns({"kind": F.lit(0), "status": F.lit(0)})
+    coded = spans.withColumns({
+        "kind": _code("span_kind", N.span_kind_name, 6), "status": _code("status_code", N.status_name, 3)})
+    rows_of = {"metrics": samples, "logs": logs, "traces": spans}
+    boundary = spark.createDataFrame([("case", case.boundary)], "case_id string, boundary long")
     metric_keys = ["metric", "labels_key", "ts_ns", "value"]
     return A.gate_table(
         {
@@ -100,7 +148,25 @@ def replay(spark: SparkSession, archive: Archive, case: Case, root: str) -> Data
                 times, ["signal"], "ts_ns", start, end
             ).select("all_rows_in_declared_window"),
             "source_trace_identity_valid": A.trace_identity(coded).select("valid"),
+            "ids_fit_the_protocol": _sum_of([A.id_remapping(spans, "trace_id", 16), A.id_remapping(spans, "span_id", 8)]),
             "service_names_declared": A.declared_services(spans, "service_name"),
+            "stored_rows_agree": _agreement(_sizes(rows_of), _sizes(stored), ["signal"]),
+            "span_counts_agree": _agreement(
+                A.group_counts(spans, DIMENSIONS), A.group_counts(stored["traces"], DIMENSIONS), ["dimension", "value"]
+            ),
+            "window_split_supported": E.boundary_split(spans, boundary).select("split_supported"),
+            "no_unexpected_metrics": A.unexpected_tables(
+                stored["metrics"].select(F.col("metric").alias("table_name")),
+                *[_names(spark, paths) for paths in ([*archive.gauges, *archive.sums], archive.histograms)], [],
+            ).agg((F.count(F.lit(1)) == 0).alias("passed")),
+            "no_generated_labels": A.generated_labels(
+                _with_labels(stored["metrics"]), _with_labels(samples), "labels"
+            ).agg((F.count(F.lit(1)) == 0).alias("passed")),
+            "queries_answered": S.surface_check(
+                _with_labels(samples), _with_labels(stored["metrics"]),
+                (case.normal_start * 1000, case.abnormal_end * 1000),
+            ).agg(F.bool_and(F.col("labels_pass") & F.col("values_pass") & F.col("series_pass")
+                             & F.col("instant_pass") & F.col("range_pass")).alias("passed")),
             "metrics_equal": A.multiset_difference(
                 samples, stored["metrics"], metric_keys
             ).select("equal"),

@@ -185,23 +185,22 @@ def first_appearance(rows: DataFrame, keys: list[str], ident: str, ordinal: str)
     return rows.groupBy(*keys, ident).agg(F.min(ordinal).alias("first_ordinal"))
 
 
+def label_order(samples: DataFrame, labels: str, order: str) -> DataFrame:
+    """B19. Label names by their first appearance: the row in `order`, then the place in the map."""
+    keys = samples.select(F.posexplode(F.map_keys(labels)).alias("at", "label"), F.col(order).alias("row"))
+    return keys.groupBy("label").agg(F.min(F.struct("row", "at")).alias("first")).select(
+        "label", F.col("first.row").alias("row"), F.col("first.at").alias("at"))
+
+
 def spread_labels(
-    samples: DataFrame, labels: str, names: list[str] | None = None, order: str | None = None
+    samples: DataFrame, labels: str, names: list[str]
 ) -> DataFrame:
     """B19. Label map to columns, one row per sample.
 
-    Labels keep their names and come first, in order of first appearance; a
-    sample column of the same name gets a trailing `_`. Without `names` one
-    distributed pass over the keys finds them. They are the schema of the
-    result, so they have to reach the driver.
+    The labels in `names` keep their names and come first; a sample column of the same name gets
+    a trailing `_`. The names are the schema of the result, so the caller states them;
+    `label_order` lists what a source has.
     """
-    if names is None:
-        keys = samples.select(
-            F.posexplode(F.map_keys(labels)).alias("at", "name"),
-            (F.col(order) if order else F.lit(0)).alias("row"),
-        )
-        first = keys.groupBy("name").agg(F.min(F.struct("row", "at")).alias("first"))
-        names = [r.name for r in first.orderBy("first", "name").toLocalIterator()]
     taken = set(names)
     rest = []
     for column in samples.columns:

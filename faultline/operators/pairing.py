@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.functions.skew import exact_median
+from faultline.functions.skew import SLICES, exact_median, running_max, running_sum
 from faultline.functions.statistics import relative_change, sign_test
 
 
@@ -113,26 +113,24 @@ def holm(tests: DataFrame, family: list[str], p: str, size: Column | int) -> Dat
     """F63/G3. Holm adjustment inside of families of a declared size.
 
     Tests with equal p share one adjusted value, so the tests fold to distinct p
-    before any order is built; the running maximum sees one row per distinct p.
-    More tests than the declared size end the job.
+    before any order is built; running sums and maxima go by slices of p, so that a large
+    family is not one task. More tests than the declared size end the job.
     """
     declared = F.lit(size) if isinstance(size, int) else size
     tagged = tests.withColumn("_m", declared.cast("bigint"))
     folded = tagged.where(F.col(p).isNotNull()).groupBy(*family, p).agg(
         F.count(F.lit(1)).alias("_n"), F.max("_m").alias("_m")
     )
-    order = Window.partitionBy(*family).orderBy(p)
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
-    whole = F.sum("_n").over(Window.partitionBy(*family))
+    sliced = folded.withColumn("_slice", F.floor(F.col(p) * SLICES))
+    counted = running_sum(sliced, family, F.col("_slice"), [p], "_n", "_so_far")
+    # The last test of a family sees them all, so this is where too many show.
     checked = F.when(
-        whole > F.col("_m"),
+        F.col("_so_far") > F.col("_m"),
         F.raise_error(F.lit("family has more tests than it declares")).cast("double"),
-    ).otherwise(F.col(p) * (F.col("_m") - before))
-    stepped = folded.withColumn("_a", checked)
-    adjusted = stepped.select(
-        *family, p, F.least(F.lit(1.0), F.max("_a").over(so_far)).alias("holm_adjusted_p")
+    ).otherwise(F.col(p) * (F.col("_m") - F.col("_so_far") + F.col("_n")))
+    stepped = counted.withColumn("_a", checked)
+    adjusted = running_max(stepped, family, "_slice", [p], "_a", "_top").select(
+        *family, p, F.least(F.lit(1.0), F.col("_top")).alias("holm_adjusted_p")
     )
     return tagged.drop("_m").join(adjusted, [*family, p], "left")
 

@@ -246,19 +246,15 @@ def arm_ratios(rows: DataFrame, key: str, arm: str, value: str, better: str) ->
     """F74. Every arm against the best one. Null is missing, zero is measured; a zero
     reference gives no ratio. The first arm by name among equals is the best."""
     higher = F.col(better) == "higher"
+    # Smallest signed value first, then the first name: both from one struct.
+    signed = F.when(higher, -F.col(value)).otherwise(F.col(value))
     stats = rows.groupBy(key).agg(
         F.max(value).alias("_widest"),
-        F.max(F.when(higher, F.col(value)).otherwise(-F.col(value))).alias("_best"),
+        F.min(F.when(F.col(value).isNotNull(), F.struct(signed.alias("v"), F.col(arm).alias("arm")))).alias("_best"),
     )
-    joined = rows.join(stats, key)
-    reference = F.when(higher, F.col("_best")).otherwise(-F.col("_best"))
-    flagged = joined.withColumn("reference", reference)
-    first = (
-        flagged.where(F.col(value) == F.col("reference"))
-        .groupBy(key)
-        .agg(F.min(arm).alias("best"))
-    )
-    return flagged.join(first, key, "left").select(
+    reference = F.when(higher, -F.col("_best.v")).otherwise(F.col("_best.v"))
+    flagged = rows.join(stats, key).withColumn("reference", reference).withColumn("best", F.col("_best.arm"))
+    return flagged.select(
         key, arm, value, "reference", "best",
         F.when(F.col("reference") != 0, F.col(value) / F.col("reference")).alias("ratio"),
         F.when(F.col("_widest") != 0, F.coalesce(value, F.lit(0)) / F.col("_widest"))

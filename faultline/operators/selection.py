@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from faultline.functions.skew import bucketed_rank, exact_median
+from faultline.functions.skew import bucketed_rank, exact_median, global_rank
 
 
 def admissions(cases: DataFrame) -> DataFrame:
@@ -120,15 +120,17 @@ def typical_cases(profiles: DataFrame, kind: str, case: str) -> DataFrame:
     if "rejection" in profiles.columns:
         profiles = profiles.where(F.col("rejection").isNull())
     measured = profiles.where(F.col(PROFILE_FIELDS[0]).isNotNull())
-    joined = measured
-    for field in PROFILE_FIELDS:
-        medians = exact_median(measured, [kind], field, f"_m_{field}")
-        joined = joined.join(medians, kind)
+    # The three medians of a kind in one pass over the fields as rows.
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("v")) for f in PROFILE_FIELDS])
+    long = measured.select(kind, F.explode(fields).alias("f")).select(kind, "f.field", "f.v")
+    medians = exact_median(long, [kind, "field"], "v", "median").groupBy(kind).agg(
+        *[F.max(F.when(F.col("field") == f, F.col("median"))).alias(f"_m_{f}") for f in PROFILE_FIELDS])
+    joined = measured.join(medians, kind)
     distance = sum(
         (F.abs(F.col(f) - F.col(f"_m_{f}")) for f in PROFILE_FIELDS[1:]),
         F.abs(F.col(PROFILE_FIELDS[0]) - F.col(f"_m_{PROFILE_FIELDS[0]}")),
     )
-    nearest = joined.groupBy(kind).agg(
+    nearest = joined.where(distance.isNotNull()).groupBy(kind).agg(
         F.min(F.struct(distance.alias("d"), F.col(case).alias("c"))).alias("best")
     )
     fallback = profiles.groupBy(kind).agg(F.min(case).alias("smallest"))
@@ -153,17 +155,10 @@ def unknown_exclusions(exclusions: DataFrame, manifest: DataFrame) -> DataFrame:
     return exclusions.join(manifest.select("name"), "name", "left_anti")
 
 
-def score_ranking(scores: DataFrame, name: str, score: str, parts: int = 256) -> DataFrame:
+def score_ranking(scores: DataFrame, name: str, score: str) -> DataFrame:
     """G6. Rank by score descending, then name; rows without a score are left out.
 
-    Approximate quantiles split the scores into even parts that are ranked on
-    their own. Only the split points, at most `parts` numbers, reach the driver.
+    Ranges of (score, name) are ranked on their own, so a common score is no single task.
     """
     scored = scores.where(F.col(score).isNotNull())
-    cuts = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    found = scored.agg(F.percentile_approx(score, cuts, 4 * parts)).first()[0] or []
-    splits = F.array(*[F.lit(float(v)) for v in sorted(set(found))]).cast("array<double>")
-    part = F.size(F.filter(splits, lambda s: s > F.col(score)))
-    return bucketed_rank(
-        scored, [], part, [F.col(score).desc(), F.col(name).asc()], "rank"
-    )
+    return global_rank(scored, [F.col(score).desc(), F.col(name).asc()], "rank")

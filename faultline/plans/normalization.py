@@ -457,14 +457,28 @@ def stream_labels(t):
          src_order, value AS value_ FROM points""",
 )
 def spread(t):
+    return C.spread_labels(mapped_points(t), "labels", ["container", "namespace", "value"])
+
+
+@query(
+    "b19_label_order",
+    "points",
+    """SELECT 'container' AS label, min(src_order) AS row FROM points WHERE container IS NOT NULL
+       UNION ALL SELECT 'namespace', min(src_order) FROM points WHERE namespace IS NOT NULL
+       UNION ALL SELECT 'value', min(src_order) FROM points WHERE k % 2 = 0""",
+)
+def label_order(t):
+    return C.label_order(mapped_points(t), "labels", "src_order").select("label", "row")
+
+
+def mapped_points(t):
     labels = N.drop_empty(
         F.create_map(
             F.lit("container"), "container", F.lit("namespace"), "namespace",
             F.lit("value"), F.when(F.col("k") % 2 == 0, "x"),
         )
     )
-    rows = t.points.select(labels.alias("labels"), "src_order", "value")
-    return C.spread_labels(rows, "labels", order="src_order")
+    return t.points.select(labels.alias("labels"), "src_order", "value")
 
 
 @query(

@@ -1,61 +1,37 @@
 """The two end-to-end jobs."""
 
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from faultline.jobs import replay as J
 from faultline.jobs.report import measurement_report
 from faultline.plans import views
-from tests.test_sources import NS, histogram_file, metric_file, write
+from tests.test_sources import HISTOGRAM, NS, POINT, SPAN, TEXT, parquet
 
 START = 1_700_000_040  # a whole minute
 CASE = J.Case(START, START + 120, START + 240)
+LOG = {"time": NS, "service_name": TEXT, "message": TEXT}
 
 
-def traces(path, at):
-    rows = [(at, f"{1:032x}", f"{1:016x}", "", "web", "Client", "Unset"),
-            (at + 5, f"{1:032x}", f"{2:016x}", f"{1:016x}", "api", "Server", "Error")]
-    shift = 0 if "abnormal" not in path.name else 16
-    rows = [(r[0], *(f"{int(x, 16) + shift:0{len(x)}x}" if x else "" for x in r[1:4]), *r[4:])
-            for r in rows]
-    t, trace, span, parent, service, kind, status = (list(c) for c in zip(*rows))
-    return write(path, {
-        "time": t, "trace_id": trace, "span_id": span, "parent_span_id": parent,
-        "span_name": ["op"] * 2, "attr.span_kind": kind, "service_name": service,
-        "duration": [7, 7], "attr.status_code": status,
-    }, [("time", NS)] + [(n, pa.string()) for n in
-                         ("trace_id", "span_id", "parent_span_id", "span_name", "attr.span_kind",
-                          "service_name")] + [("duration", pa.uint64()), ("attr.status_code", pa.string())])
-
-
-def logs(path, at, copies=1):
-    return write(path, {"time": [at] * copies, "service_name": ["web"] * copies,
-                        "message": ["hello"] * copies},
-                 [("time", NS), ("service_name", pa.string()), ("message", pa.string())])
+def two_spans(at, period):
+    """A call from the gate to the crane; ids differ between the periods."""
+    trace, caller, callee = f"{7 + period:032x}", f"{17 + period:016x}", f"{27 + period:016x}"
+    return [(at, trace, caller, "", "open", "Client", "gate", 7, "Unset", None),
+            (at + 5, trace, callee, caller, "lift", "Server", "crane", 7, "Error", None)]
 
 
 @pytest.fixture
 def archive(tmp_path):
-    def both(make, stem):
-        return [make(tmp_path / f"{p}_{stem}.parquet", (START + i * 120 + 3) * J.SECOND)
+    def both(stem, kinds, rows):
+        return [parquet(tmp_path / f"{p}_{stem}.parquet", kinds, *rows((START + i * 120 + 3) * J.SECOND, i))
                 for i, p in enumerate(("normal", "abnormal"))]
 
-    def histogram(path, at):
-        histogram_file(path, 2.0)
-        import pyarrow.parquet as pq
-
-        table = pq.read_table(path)
-        column = pa.array([at], type=NS)
-        pq.write_table(table.set_column(0, "time", column), path)
-        return str(path)
-
     return J.Archive(
-        gauges=both(lambda p, at: metric_file(p, [at, at], [1.0, 2.0]), "metrics"),
-        sums=both(lambda p, at: metric_file(p, [at], [5.0]), "metrics_sum"),
-        histograms=both(histogram, "metrics_histogram"),
-        logs=both(lambda p, at: logs(p, at, 3), "logs"),
-        traces=both(traces, "traces"),
+        gauges=both("tide", POINT, lambda at, _: [(at, "tide.level", v, "gauge", "north") for v in (1.0, 2.0)]),
+        sums=both("tide_sum", POINT, lambda at, _: [(at, "tide.level", 5.0, "gauge", "north")]),
+        histograms=both("lifts", HISTOGRAM, lambda at, _: [(at, "crane.lift", "crane", 2.0, 8.0, 1.0, 7.0, "south")]),
+        logs=both("notes", LOG, lambda at, _: [(at, "gate", "open")] * 3),
+        traces=both("calls", SPAN, two_spans),
     )
 
 
@@ -64,7 +40,7 @@ def test_replay_passes_its_gates(spark, archive, tmp_path):
     assert all(gates.values()), gates
     stored = spark.read.parquet(str(tmp_path / "out" / "signal=metrics"))
     # Gauges and sums of one name and instant share a key; the sum comes last.
-    values = sorted(r.value for r in stored.where("metric = 'system_memory_usage'").collect())
+    values = sorted(r.value for r in stored.where("metric = 'tide_level'").collect())
     assert values == [5.0, 5.0]
 
 
@@ -75,6 +51,17 @@ def test_replay_fails_the_window_gate(spark, archive, tmp_path):
     assert gates["metrics_equal"]
 
 
+def test_replay_sees_broken_kinds_and_split_minutes(spark, archive, tmp_path):
+    inside = J.Case(START, START + 123, START + 240)  # the boundary is within a minute with calls on one side
+    gates = {r.gate: r.passed for r in J.replay(spark, archive, inside, str(tmp_path / "a")).collect()}
+    assert gates["window_split_supported"] and gates["all_passed"]
+    row = two_spans((START + 3) * J.SECOND, 0)[0]
+    twice = parquet(tmp_path / "normal_twice.parquet", SPAN, row, row)
+    doubled = J.Archive(archive.gauges, archive.sums, archive.histograms, archive.logs, [*archive.traces[1:], twice])
+    gates = {r.gate: r.passed for r in J.replay(spark, doubled, CASE, str(tmp_path / "b")).collect()}
+    assert not gates["source_trace_identity_valid"] and gates["spans_equal"] and not gates["all_passed"]
+
+
 def test_report_tables(spark, tmp_path):
     t = views.Tables(spark, "/root/testdata/sf0.001")
     tables = measurement_report(
