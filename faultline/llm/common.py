@@ -62,6 +62,24 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def smallest(df: DataFrame, place: str, order: list[str], bound: int) -> DataFrame:
+    """The `bound` rows with the smallest `place`, a uniform 64-bit hash; all rows if there are fewer.
+
+    A threshold on the hash leaves about twice the bound before anything is sorted, so that tasks
+    do not each send a full bound of rows. It is widened until enough rows are left.
+    """
+    total = df.count()
+    share = 2.0
+    while bound * share < total:
+        limit = int(-(1 << 63) + (1 << 64) * (bound * share / total))
+        found = df.where(F.col(place) <= F.lit(limit))
+        if found.count() >= bound:
+            df = found
+            break
+        share *= 4
+    return df.orderBy(place, *order).limit(bound)
+
+
 def ranked(df: DataFrame, group: str, order: list[str], spread: list[str], into: str = "rank") -> DataFrame:
     """Adds a rank from 0 within each group; a common group is ranked in buckets of its rows.
 

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.llm import common
+
 # Fixed values of the markup language.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TEXT = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "xmp"}
@@ -361,11 +363,9 @@ def fit_field(pages: DataFrame, bound: int = 300, chars: int = 20000, page: str
 
     The bounds keep the driver's training set small; extraction itself reads every page whole.
     """
-    sample = (
-        pages.select(F.col(page).alias("html"))
-        .where(F.length("html").between(1, chars))
-        .orderBy(F.xxhash64("html"), "html").limit(bound).collect()
-    )
+    fit = pages.select(F.col(page).alias("html"), F.xxhash64(page).alias("place")).where(
+        F.length("html").between(1, chars))
+    sample = common.smallest(fit, "place", ["html"], bound).select("html").collect()
     chains = [chain for r in sample for chain in labelled_chains(r["html"])]
     return train(chains)
 

@@ -115,13 +115,11 @@ def fit_neighbours(
 
     The bound is what keeps the broadcast model small; it is the only sample taken.
     """
-    sample = (
-        labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"),
-                        F.xxhash64(F.col(key), F.col(label)).alias("place"))
-        .where(F.col("label").isin(0, 1))
-        .orderBy("place", "label", "text")
-        .limit(bound)
-    )
+    usable = labelled.select(
+        F.col(text).alias("text"), F.col(label).cast("int").alias("label"),
+        F.xxhash64(F.col(key), F.col(label)).alias("place"),
+    ).where(F.col("label").isin(0, 1))
+    sample = common.smallest(usable, "place", ["label", "text"], bound)
     rows = common.map_batches(
         sample,
         lambda b: {

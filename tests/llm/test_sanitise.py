@@ -44,7 +44,7 @@ def test_patterns_equal_the_contract(spark):
         assert r.s == by_force(texts[r.doc_id]), texts[r.doc_id][:200]
 
 
-COMMON = "the house green river walks slowly over many hills and sings loud songs about winter rain".split()
+COMMON = [a + b for a in ("ka", "lo", "mi", "nu", "pe", "ro", "su", "ti") for b in ("ban", "den", "fin", "gor", "hal", "jut")]
 
 
 def corpus():
@@ -56,9 +56,11 @@ def corpus():
         if i % 20 == 0:
             text += " Zorblat 4477 wrote from jo@x.org " + " ".join(rng.choices(COMMON, k=8))
         rows.append((i, text))
-    # Copies of one text: many rows, one context.
+    # Copies of one text, exact and near: many rows, one context and some like it.
     copy = "unique words beside this card 4111111111111111 in one place"
-    return rows + [(1000 + i, copy) for i in range(30)] + [(2000, "zorblat was seen"), (2000, "zorblat was seen"), (None, None), (2001, "")]
+    rows += [(1000 + i, copy) for i in range(30)]
+    rows += [(1100 + i, copy.replace("words", f"word{i}").replace("card", "mail") .replace("4111111111111111", "z@y.org")) for i in range(12)]
+    return rows + [(2000, "zorblat was seen"), (2000, "zorblat was seen"), (None, None), (2001, "")]
 
 
 def test_terms_that_reveal_an_entity(spark):
@@ -72,7 +74,7 @@ def test_terms_that_reveal_an_entity(spark):
     assert spans[2000] == ["term:0:7"] * 2
     assert all("term" in s and "email" in s for i in range(0, 300, 20) for s in spans[i])
     assert all(s == [""] for i, s in spans.items() if i in range(1, 300) and i % 20)
-    assert spans[1000] == ["card:30:46"]
+    assert spans[1000] == ["card:30:46"] and "term" not in spans[1100][0]
     assert spans[None] == [""] and spans[2001] == [""]
     clean = sanitise.sanitise(df)
     assert clean.columns == df.columns and clean.count() == df.count()
