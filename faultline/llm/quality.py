@@ -103,7 +103,8 @@ class Neighbours:
 
 
 def fit_neighbours(
-    labelled: DataFrame,
+    docs: DataFrame,
+    labels: DataFrame,
     bound: int = 4000,
     dimensions: int = 16,
     neighbours: int = 15,
@@ -111,15 +112,18 @@ def fit_neighbours(
     label: str = "label",
     key: str = "doc_id",
 ) -> Neighbours:
-    """Fits on at most `bound` labelled rows, those with the smallest hash of key and label.
+    """Fits on the documents of at most `bound` label rows, those with the smallest hash.
 
-    The bound is what keeps the broadcast model small; it is the only sample taken.
+    The bound is what keeps the broadcast model small; it is the only sample taken. The chosen
+    label rows are few, so they go to the documents and no text is shuffled.
     """
-    usable = labelled.select(
-        F.col(text).alias("text"), F.col(label).cast("int").alias("label"),
+    usable = labels.select(
+        F.col(key).alias("labelled"), F.col(label).cast("int").alias("label"),
         F.xxhash64(F.col(key), F.col(label)).alias("place"),
-    ).where(F.col("label").isin(0, 1))
-    sample = common.smallest(usable, "place", ["label", "text"], bound)
+    ).where(F.col("label").isin(0, 1) & F.col("labelled").isNotNull())
+    chosen = common.smallest(usable, "place", ["label"], bound)
+    sample = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(
+        F.broadcast(chosen), F.col("key") == F.col("labelled")).select("text", "label", "place")
     rows = common.map_batches(
         sample,
         lambda b: {

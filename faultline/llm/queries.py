@@ -107,9 +107,8 @@ def op8(spark, table):
 
 def fit_quality(docs: DataFrame, labels: DataFrame) -> quality.Neighbours:
     """The classifier of `labels.quality`, learned from the rows that are not held out."""
-    train = docs.select("doc_id", "text").where(common.fold(F.col("doc_id"), 5) != 0)
     known = labels.select("doc_id", F.col("quality").alias("label"))
-    return quality.fit_neighbours(train.join(known, "doc_id"))
+    return quality.fit_neighbours(docs, known.where(common.fold(F.col("doc_id"), 5) != 0))
 
 
 @_query("op9_quality")

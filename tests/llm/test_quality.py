@@ -48,9 +48,12 @@ def test_odd_rows(spark):
     common.prepare(spark)
     train = [(i, "plain words in a row. " * (i % 4 + 1), 1) for i in range(30)]
     train += [(100 + i, "BUY!! NOW!! " * (i % 5 + 1), 0) for i in range(30)]
-    train += [(200, None, 1), (201, "", 0), (202, "plain words", None), (203, "plain", 7), (1, "plain words in a row. ", 1)]
-    model = quality.fit_neighbours(spark.createDataFrame(train, SCHEMA))
+    train += [(200, None, 1), (201, "", 0), (202, "plain words", None), (203, "plain", 7), (None, "plain", 1)]
+    labelled = spark.createDataFrame(train, SCHEMA)
+    labels = labelled.select("doc_id", "label").union(labelled.where("doc_id = 1").select("doc_id", "label"))
+    model = quality.fit_neighbours(labelled.select("doc_id", "text", "label"), labels.union(labels.limit(0)))
     assert len(model.labels) == 63
+    assert len(quality.fit_neighbours(labelled, labels, bound=20).labels) in range(18, 21)
     docs = spark.createDataFrame([(1, "other plain words in a row.", "s"), (2, "SELL!! NOW!!", "s"), (3, None, "s"), (3, None, "s"),
                                   (4, "", "s"), (None, "z" * 300000, "s")], "doc_id long, text string, weights string")
     got = quality.score_column(docs, model)
@@ -65,7 +68,8 @@ def test_odd_rows(spark):
 
 def test_nothing_labelled_and_nothing_to_score(spark):
     common.prepare(spark)
-    model = quality.fit_neighbours(spark.createDataFrame([], SCHEMA))
+    empty = spark.createDataFrame([], SCHEMA)
+    model = quality.fit_neighbours(empty, empty)
     docs = spark.createDataFrame([(1, "text")], "doc_id long, text string")
     assert quality.score_column(docs, model).first().score == 0.5
     assert quality.score_column(docs.limit(0), model).count() == 0
