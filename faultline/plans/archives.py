@@ -46,6 +46,9 @@ def by_period(archive, name, rows):
     ]
 
 
+POINT_ATTRIBUTES = ["k8s.container.name", "k8s.pod.name"]
+
+
 def gauge_rows(t):
     return t.points.select(
         F.col("ts_ns").alias("time"), "metric", "value",
@@ -66,7 +69,7 @@ PERIOD = "CASE WHEN ts_s < 1705276800 THEN 'normal' ELSE 'abnormal' END"
 )
 def numbers(t):
     paths = by_period(Archive(t), "metrics", gauge_rows(t))
-    rows = wide_archive.read_numbers(t.spark, paths)
+    rows = wide_archive.read_numbers(t.spark, paths, attributes=POINT_ATTRIBUTES)
     return rows.select(
         "metric", "ts_ns", "value", "service_name",
         F.col("attributes")["k8s.container.name"].alias("container"),
@@ -92,7 +95,7 @@ def histogram_rows(t):
 )
 def histograms(t):
     paths = by_period(Archive(t), "metrics_histogram", histogram_rows(t))
-    rows = wide_archive.read_histograms(t.spark, paths)
+    rows = wide_archive.read_histograms(t.spark, paths, ["container"])
     return rows.select(
         "metric", "ts_ns", "count", "sum", "max",
         F.col("attributes")["container"].alias("container"), "period",
@@ -119,10 +122,10 @@ def projected(t):
         t.points.where(F.col("k") % 2 == 0).select(F.col("ts_ns").alias("time")), "time", "left_semi"
     )
     numbers_ = wide_archive.point_labels(
-        wide_archive.read_numbers(t.spark, by_period(archive, "metrics", gauges))
+        wide_archive.read_numbers(t.spark, by_period(archive, "metrics", gauges), attributes=POINT_ATTRIBUTES)
     )
     points = wide_archive.point_labels(
-        wide_archive.read_histograms(t.spark, by_period(archive, "histogram", histogram_rows(t)))
+        wide_archive.read_histograms(t.spark, by_period(archive, "histogram", histogram_rows(t)), ["container"])
     )
     order = wide_archive.SOURCE_ORDER
     fanned = C.histogram_samples(points.drop("attributes", "service_name", "kind", "period"))
@@ -157,7 +160,7 @@ def wide_logs(t):
         F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("level"),
         F.col("doc_id").cast("string").alias("attr.doc"),
     )
-    read = wide_archive.read_logs(t.spark, by_period(Archive(t), "logs", rows))
+    read = wide_archive.read_logs(t.spark, by_period(Archive(t), "logs", rows), ["doc"])
     return read.select(
         F.col("labels")["doc"].alias("doc_id"), "ts_ns", "message",
         F.col("labels")["service_name"].alias("service_name"),
@@ -184,7 +187,7 @@ def wide_spans(t):
         (F.col("end_ns") - F.col("ts_ns")).cast("decimal(20,0)").alias("duration"),
         status.alias("attr.status_code"), F.col("peer").alias("attr.peer"),
     )
-    read = wide_archive.read_spans(t.spark, by_period(Archive(t), "traces", rows))
+    read = wide_archive.read_spans(t.spark, by_period(Archive(t), "traces", rows), ["peer"])
     return read.groupBy("service_name", "span_kind", "status_code").agg(
         F.count(F.lit(1)).alias("spans"), F.min("ts_ns").alias("first_ns"),
         F.max("end_ns").alias("last_end"),

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from faultline.jobs.evaluation import evaluated_runs
 from faultline.operators import pairing as P
 from faultline.operators import reporting as R
 from faultline.operators import usage as U
 from faultline.plans.registry import query
-from faultline.session import cut_lineage
+from faultline.session import cut_lineage, work_dir
+from faultline.sources import case_files
 
 KEYS = ["model", "case_id", "repetition"]
 METRICS = ["rows_returned", "tool_calls", "input_tokens", "reported_tokens"]
@@ -1125,3 +1127,93 @@ def contrast(t):
         (F.col("model") != "all") & (F.col("causal_scope") != "infrastructure_node")
     )
     return R.scope_contrast(rows, "graph", "raw")
+
+
+def lineitem_records(t):
+    """Recorded runs as nested documents: the lines of a supplier and line number, as calls."""
+    k = F.col("l_orderkey")
+    call = F.struct(
+        F.concat(F.lit("q"), k).alias("query_id"), F.lit("execute_sql").alias("tool_name"),
+        F.create_map(F.lit("query"), F.lit("SELECT 1")).alias("input"),
+        F.struct(
+            F.when(k % 13 == 0, "other").otherwise(F.concat(F.lit("q"), k)).alias("query_id"),
+            (k % 11 == 0).alias("truncated"),
+        ).alias("output"),
+        F.when(k % 9 == 0, "timeout").alias("error"),
+        F.when(k % 8 > 0, F.array(F.lit("logs"))).alias("base_tables"),
+        F.struct(F.col("l_quantity").cast("bigint").alias("rows_returned")).alias("database_load"),
+    )
+    lines = t.table("lineitem").select(
+        F.concat(F.lit("m"), F.col("l_partkey") % 4).alias("model"),
+        F.col("l_suppkey").cast("string").alias("case_id"), F.col("l_linenumber").alias("repetition"),
+        F.when(F.col("l_returnflag") == "A", "split").when(F.col("l_returnflag") == "N", "raw")
+        .otherwise("graph").alias("visibility"),
+        k.alias("k"), call.alias("call"),
+    )
+    runs = lines.groupBy("model", "case_id", "repetition", "visibility").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("k", "call")), lambda a, b: F.signum(a["k"] - b["k"]).cast("int")),
+            lambda c: c["call"],
+        ).alias("calls"),
+        F.sum("k").alias("s"), F.min("k").alias("first"),
+    )
+    s = F.col("s")
+    return runs.select(
+        F.xxhash64("model", "case_id", "repetition", "visibility").alias("cell_index"),
+        "model", "case_id", "repetition", "visibility",
+        F.struct(
+            F.when(s % 23 == 0, "crash").alias("error"),
+            F.struct(
+                F.when(s % 10 > 0, "component").otherwise("dependency_edge").alias("causal_scope"),
+                F.when(s % 9 > 0, F.concat(F.lit("svc"), "case_id")).otherwise("other").alias("causal_component"),
+                F.when(s % 7 > 0, "net").otherwise("cpu").alias("fault_category"),
+                F.when(s % 8 > 0, "m1").otherwise("m2").alias("mechanism_code"),
+                F.array(F.struct(
+                    F.concat(F.lit("q"), F.col("first")).alias("query_id"), F.lit("slow").alias("claim"),
+                    F.array(F.lit("causal_locus")).alias("claim_types"),
+                )).alias("evidence"),
+            ).alias("diagnosis"),
+            F.col("calls").alias("tool_calls"),
+        ).alias("run"),
+    )
+
+
+@query(
+    "a18_records_to_holm",
+    "",
+    f"""WITH g AS (SELECT 'm' || (l_partkey % 4) AS model, l_suppkey AS case_id, l_linenumber AS repetition,
+            CASE l_returnflag WHEN 'A' THEN 'split' WHEN 'N' THEN 'raw' ELSE 'graph' END AS treatment,
+            count(*) AS tool_calls, sum(l_quantity::BIGINT)::BIGINT AS rows_returned, sum(l_orderkey) AS s,
+            min(l_orderkey) AS f FROM lineitem GROUP BY ALL),
+          runs AS (SELECT *, NULL::BIGINT AS input_tokens, 0 AS output_tokens,
+            s % 10 > 0 AND s % 9 > 0 AND s % 7 > 0 AND s % 8 > 0 AND s % 23 > 0
+              AND f % 13 > 0 AND f % 11 > 0 AND f % 9 > 0 AND f % 8 > 0 AS eligible FROM g),
+          {PAIRS}, {EFFECTS}, {SUMMARY}, {HOLM}
+        SELECT te.model, te.metric, round(p, 9) AS sign_test_p, round(h, 9) AS holm_adjusted_p
+        FROM te LEFT JOIN hm ON hm.model = te.model AND hm.metric = te.metric
+        WHERE te.metric IN ('rows_returned', 'tool_calls')""",
+)
+def records_to_holm(t):
+    """The chain from nested records over citations, flags and pairs to adjusted values."""
+    path = work_dir(t.spark, "records")
+    lineitem_records(t).write.json(path)
+    none = F.lit(None).cast("string")
+    cases = t.table("supplier").select(
+        F.col("s_suppkey").cast("string").alias("case_id"), F.lit("component").alias("true_scope"),
+        F.concat(F.lit("svc"), "s_suppkey").alias("true_component"), none.alias("true_edge_source"),
+        none.alias("true_edge_destination"), F.lit("net").alias("true_fault_category"),
+        F.array(F.lit("m1")).alias("accepted_mechanisms"),
+        F.array().cast("array<string>").alias("allowed_operations"),
+        F.array().cast("array<string>").alias("identities"),
+    )
+    runs = cut_lineage(evaluated_runs(case_files.read_runs(t.spark, path), cases, 10**6), "evaluated")
+    metrics = ["rows_returned", "tool_calls"]
+    paired = P.arm_pairs(runs, KEYS, "treatment", "split", "raw", [*metrics, "eligible"])
+    found = P.pair_deltas(paired, KEYS, metrics, "eligible", "split", "raw")
+    tested = P.case_effects(found, ["model", "case_id"], metrics)
+    summed = P.effect_summary(tested.where(F.col("metric").isin(*metrics)), ["model"])
+    adjusted = P.holm(cut_lineage(summed, "endpoints"), ["metric"], "sign_test_p", 6)
+    return adjusted.select(
+        "model", "metric", F.round("sign_test_p", 9).alias("sign_test_p"),
+        F.round("holm_adjusted_p", 9).alias("holm_adjusted_p"),
+    )

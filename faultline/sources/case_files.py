@@ -27,6 +27,7 @@ RUNS = (
     "evidence:array<struct<query_id:string,claim:string,claim_types:array<string>>>>,"
     "tool_calls:array<struct<query_id:string,tool_name:string,input:map<string,string>,"
     "output:struct<query_id:string,operation:string,truncated:boolean>,error:string,"
+    "base_tables:array<string>,"
     f"database_load:{LOAD}>>,"
     "rejected_tool_calls:array<struct<tool_name:string,reason_code:string>>,"
     "responses:array<struct<usage:string>>>"
@@ -55,7 +56,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_calls(runs: DataFrame) -> DataFrame:
-    """A18/G7. Tool calls with their ordinal."""
+    """A18/G7. Tool calls with their ordinal; calls without recorded tables read none."""
     calls = runs.select("run_id", "visibility", F.posexplode("run.tool_calls").alias("at", "c"))
     return calls.select(
         "run_id",
@@ -68,6 +69,7 @@ def run_calls(runs: DataFrame) -> DataFrame:
         F.col("c.output.query_id").alias("result_query_id"),
         F.col("c.output.truncated").alias("truncated"),
         F.coalesce(F.col("c.input")["query"], F.col("c.input")["sql"]).alias("sql_text"),
+        F.coalesce("c.base_tables", F.array().cast("array<string>")).alias("base_tables"),
         F.to_json(F.array_sort(F.map_entries("c.input"))).alias("arguments"),
         # Null when no load was recorded, which is not zero rows.
         F.col("c.database_load.rows_returned").alias("rows_returned"),

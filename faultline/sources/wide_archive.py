@@ -13,9 +13,27 @@ from pyspark.sql import functions as F
 from faultline.functions import normalize as N
 
 
-def _scan(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """All files of a signal in one scan, with period and source order."""
-    rows = spark.read.option("mergeSchema", "true").parquet(*paths)
+# Core columns of the signals; `attr.*` columns differ by archive.
+POINT = "time bigint, metric string, value double, service_name string"
+HISTOGRAM = "time bigint, metric string, service_name string, count double, sum double, min double, max double"
+LOG = "time bigint, service_name string, message string, trace_id string, span_id string, level string"
+SPAN = (
+    "time bigint, trace_id string, span_id string, parent_span_id string, span_name string, "
+    "`attr.span_kind` string, service_name string, duration decimal(20,0), `attr.status_code` string"
+)
+
+
+def _scan(spark: SparkSession, paths: list[str], core: str, attributes: list[str] | None) -> DataFrame:
+    """All files of a signal in one scan, with period and source order.
+
+    With the archive's attribute names the schema is declared: no footer is read before the job,
+    and a column that a file lacks is null. Without them the footers of all files are merged.
+    """
+    if attributes is None:
+        rows = spark.read.option("mergeSchema", "true").parquet(*paths)
+    else:
+        declared = [core, *[f"`attr.{name}` string" for name in attributes]]
+        rows = spark.read.schema(", ".join(declared)).parquet(*paths)
     path = F.col("_metadata.file_path")
     # The period starts the file name, or the folder name when Spark wrote the file.
     period = F.regexp_extract(path, r"/(abnormal|normal)[^/]*(/part-[^/]*)?$", 1)
@@ -42,12 +60,14 @@ def _period() -> Column:
     return F.when(F.col("period_order") == 0, "normal").otherwise("abnormal").alias("period")
 
 
-def read_numbers(spark: SparkSession, paths: list[str], kind: str = "gauge") -> DataFrame:
+def read_numbers(
+    spark: SparkSession, paths: list[str], kind: str = "gauge", attributes: list[str] | None = None
+) -> DataFrame:
     """A1. Gauge or sum points; a value that is not finite ends the job.
 
     Gauges come before sums in source order.
     """
-    rows = _scan(spark, paths)
+    rows = _scan(spark, paths, POINT, attributes)
     return rows.select(
         F.col("metric").cast("string").alias("metric"),
         F.col("time").cast("bigint").alias("ts_ns"),
@@ -60,9 +80,11 @@ def read_numbers(spark: SparkSession, paths: list[str], kind: str = "gauge") ->
     )
 
 
-def read_histograms(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_histograms(
+    spark: SparkSession, paths: list[str], attributes: list[str] | None = None
+) -> DataFrame:
     """A2. Histogram points; the count must be finite, whole and not negative."""
-    rows = _scan(spark, paths)
+    rows = _scan(spark, paths, HISTOGRAM, attributes)
     count = F.col("count").cast("double")
     sound = N.is_finite(count) & (count >= 0) & (count == F.floor(count))
     problem = F.raise_error(F.concat(F.lit("invalid histogram count: "), count.cast("string")))
@@ -94,9 +116,9 @@ def point_labels(points: DataFrame) -> DataFrame:
     )
 
 
-def read_logs(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_logs(spark: SparkSession, paths: list[str], attributes: list[str] | None = None) -> DataFrame:
     """A3. Log records; labels are service, attributes and the non-empty correlation fields."""
-    rows = _scan(spark, paths)
+    rows = _scan(spark, paths, LOG, attributes)
     extra = N.renamed_labels((n, _optional(rows, n)) for n in ("trace_id", "span_id", "level"))
     labels = F.map_concat(
         F.create_map(F.lit("service_name"), F.col("service_name").cast("string")),
@@ -112,9 +134,9 @@ def read_logs(spark: SparkSession, paths: list[str]) -> DataFrame:
     )
 
 
-def read_spans(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_spans(spark: SparkSession, paths: list[str], attributes: list[str] | None = None) -> DataFrame:
     """A4. Spans; unknown enums, a negative duration or a missing service end the job."""
-    rows = _scan(spark, paths)
+    rows = _scan(spark, paths, SPAN, attributes)
     duration = F.col("duration").cast("bigint")
     problem = F.raise_error(F.lit("negative span duration")).cast("bigint")
     checked = F.when(duration < 0, problem).otherwise(duration)
