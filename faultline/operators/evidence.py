@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import normalize as N
 from faultline.functions import windows as W
+from faultline.functions.skew import same_keys
 
 
 def _c(value) -> Column:
@@ -468,31 +469,47 @@ def conditional_floors(rows: DataFrame, case: str, restart: str) -> DataFrame:
     )
 
 
+# Leading characters of a pattern that its values must share to be compared at all.
+PATTERN_HEAD = 4
+
+
 def pattern_bindings(patterns: DataFrame, domains: DataFrame, salts: int = 16) -> DataFrame:
     """E18. Whether a LIKE pattern matches exactly its target in the identity domain.
 
     `patterns`: pattern_id, column, pattern, ignore_case, target. `domains`:
-    column, value (distinct). The domain of a column is spread over `salts`
-    parts and every pattern visits each part, so one large domain is not one
-    task; matches are only counted, never collected.
+    column, value (distinct). Equal patterns are matched once. A case-sensitive pattern meets only
+    the values that begin like its literal head; patterns that begin with a wildcard or ignore
+    case visit the whole domain of their column, in `salts` parts, so that one large domain is not
+    one task. Matches are only counted, never collected.
     """
-    parts = domains.withColumn("_salt", F.pmod(F.xxhash64("value"), F.lit(salts)).cast("int"))
-    visiting = patterns.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    named = ["column", "pattern", "ignore_case", "target"]
+    distinct = patterns.select(*named).distinct()
+    literal = F.regexp_extract("pattern", r"(?s)^([^%_\\]*)", 1)
+    head = F.when(F.col("ignore_case"), F.lit("")).otherwise(F.substring(literal, 1, PATTERN_HEAD))
+    size = F.length("_head")
+    visiting = distinct.withColumn("_head", head).withColumn("_size", size).withColumn(
+        "_salt",
+        F.explode(F.when(size > 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(salts - 1)))),
+    )
+    sizes = F.explode(F.sequence(F.lit(0), F.least(F.length("value"), F.lit(PATTERN_HEAD))))
+    begun = domains.select("column", "value", sizes.alias("_size")).select(
+        "*", F.expr("substring(value, 1, _size)").alias("_head"),
+        F.when(F.col("_size") > 0, 0).otherwise(F.pmod(F.xxhash64("value"), F.lit(salts)).cast("int")).alias("_salt"),
     )
     like = F.when(F.col("ignore_case"), F.expr("value ILIKE pattern")).otherwise(
         F.expr("value LIKE pattern")
     )
     found = (
-        visiting.join(parts, ["column", "_salt"])
+        visiting.join(begun, ["column", "_size", "_head", "_salt"])
         .where(like)
-        .groupBy("pattern_id")
+        .groupBy(*named)
         .agg(
             F.count(F.lit(1)).alias("matches"),
             F.bool_or(F.col("value") == F.col("target")).alias("hit"),
         )
     )
-    return patterns.join(found, "pattern_id", "left").select(
+    both = patterns.alias("l").join(found.alias("r"), same_keys(patterns, found, named), "left")
+    return both.select(
         "pattern_id",
         F.coalesce("matches", F.lit(0)).alias("matches"),
         F.coalesce((F.col("matches") == 1) & F.col("hit"), F.lit(False)).alias("binds"),
