@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import windows as W
 from faultline.plans.registry import query
-from faultline.plans.views import EVENTS_BOUNDARY, SECOND, WINDOW
+from faultline.plans.views import EVENTS_BOUNDARY, EVENTS_END, EVENTS_START, SECOND, WINDOW
 from faultline.session import work_dir
 from faultline.streaming import telemetry as S
 
@@ -120,7 +120,7 @@ def distinct_samples(t):
 def transitions(t):
     return S.detect_transitions(
         replay(t, sample_rows(t)), ["metric", "container"], EVENTS_BOUNDARY, 200.0,
-        work_dir(t.spark, "k4"),
+        work_dir(t.spark, "k4"), (EVENTS_START, EVENTS_END),
     )
 
 

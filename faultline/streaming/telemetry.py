@@ -104,16 +104,21 @@ def stream_distinct_samples(
 
 
 def stream_period_facts(
-    samples: DataFrame, keys: list[str], boundary: int, threshold: float
+    samples: DataFrame, keys: list[str], boundary: int, threshold: float, case: tuple[int, int],
+    delay: str = "10 minutes",
 ) -> DataFrame:
-    """K4. Running threshold facts per identity, for update or complete mode.
+    """K4. Running threshold facts per identity within a case, for update mode.
 
-    State is one row of counters per identity; rows combine map-side, so a busy
-    identity sends one row per task and batch.
+    `case` is the half-open window [start, end) in seconds. State is one row of counters per
+    identity and case, and goes when the watermark passes the end of the case; rows combine
+    map-side, so a busy identity sends one row per task and batch.
     """
+    width = case[1] - case[0]
+    window = F.window("ts", f"{width} seconds", startTime=f"{case[0] % width} seconds")
     normal = F.unix_seconds("ts") < F.lit(boundary)
     high = F.col("value") >= F.lit(threshold)
-    return samples.groupBy(*keys).agg(
+    inside = samples.withWatermark("ts", delay).where(F.unix_seconds("ts").between(case[0], case[1] - 1))
+    return inside.groupBy(window, *keys).agg(
         F.count_if(normal).alias("normal_count"),
         F.count_if(normal & high).alias("normal_high_count"),
         F.count_if(~normal).alias("abnormal_count"),
@@ -122,14 +127,15 @@ def stream_period_facts(
 
 
 def detect_transitions(
-    samples: DataFrame, keys: list[str], boundary: int, threshold: float, path: str
+    samples: DataFrame, keys: list[str], boundary: int, threshold: float, path: str,
+    case: tuple[int, int],
 ) -> DataFrame:
-    """K4. Identities whose transition is proven, each reported once.
+    """K4. Identities of a case whose transition is proven, each reported once.
 
     Every batch appends only identities that no earlier batch reported. A batch
     that is run again after a failure overwrites its own folder.
     """
-    facts = stream_period_facts(samples, keys, boundary, threshold)
+    facts = stream_period_facts(samples, keys, boundary, threshold, case)
     spark = samples.sparkSession
     reported = f"{path}/reported"
     schema = facts.select(*keys).schema

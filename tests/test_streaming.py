@@ -93,7 +93,8 @@ def test_transitions_are_reported_once(spark, tmp_path):
         [(at(102), "good", 9.0), (at(102), "noisy", 9.0), (at(103), "noisy", 9.0)],
         [(at(104), "good", 9.0), (at(105), "unseen", 9.0), (at(106), "unseen", 9.0)],
     )
-    got = S.detect_transitions(rows, ["metric"], boundary, 5.0, str(tmp_path / "out")).collect()
+    got = S.detect_transitions(rows, ["metric"], boundary, 5.0, str(tmp_path / "out"),
+                               (boundary - 100, boundary + 100)).collect()
     assert [r.metric for r in got] == ["good"]
 
 
