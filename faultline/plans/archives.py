@@ -627,6 +627,40 @@ def windows(t):
     return csv_archive.task_windows(rows).drop("instruction")
 
 
+@query(
+    "a20_flatten_discovery",
+    "points",
+    """, r AS (SELECT src_order, metric, container, k, k % 5 AS o FROM points)
+       SELECT src_order, 'label_values' AS operation, NULL AS name, i AS at,
+         CASE i WHEN 0 THEN metric ELSE container END AS item FROM r, range(0, 2) t(i) WHERE o = 0
+       UNION ALL SELECT src_order, 'series', NULL, 0, container FROM r WHERE o = 1
+       UNION ALL SELECT src_order, 'tags', NULL, 0, metric FROM r WHERE o = 2
+       UNION ALL SELECT src_order, 'metadata', metric, i, container || i FROM r, range(0, 2) t(i) WHERE o = 3""",
+)
+def discovery(t):
+    k = F.col("k") % 5
+
+    def quoted(*parts):
+        return F.concat(*[F.lit('"'), *parts, F.lit('"')])
+
+    operation = (
+        F.when(k == 0, "label_values").when(k == 1, "series").when(k == 2, "tags").when(k == 3, "metadata")
+        .otherwise("search")
+    )
+    body = (
+        F.when(k == 0, F.concat(F.lit('{"data":['), quoted("metric"), F.lit(","), quoted("container"), F.lit("]}")))
+        .when(k == 1, F.concat(F.lit('{"data":[{"container":'), quoted("container"), F.lit("}]}")))
+        .when(k == 2, F.concat(F.lit('{"scopes":['), quoted("metric"), F.lit("]}")))
+        .when(k == 3, F.concat(F.lit('{"data":{'), quoted("metric"), F.lit(":["), quoted("container", F.lit("0")),
+                               F.lit(","), quoted("container", F.lit("1")), F.lit("]}}")))
+        .otherwise('{"traces":{}}')
+    )
+    rows = t.points.select("src_order", operation.alias("operation"), body.alias("body"))
+    flat = responses.flatten_discovery(rows, "body")
+    labels = responses.series_labels(F.col("item"))["container"]
+    return flat.withColumn("item", F.when(F.col("operation") == "series", labels).otherwise(F.col("item")))
+
+
 @query(
     "a20_flatten_matrix",
     "points",

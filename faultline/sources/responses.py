@@ -130,3 +130,42 @@ def flatten_trace_export(responses: DataFrame, body: str) -> DataFrame:
         _attributes(F.col("s.attributes")).alias("attributes"),
         "scope_name",
     )
+
+
+# Where the answers of discovery operations list their items, in order of preference.
+DISCOVERY_LISTS = {
+    "labels": ("$.data",),
+    "label_values": ("$.data",),
+    "series": ("$.data",),
+    "search": ("$.traces",),
+    "tags": ("$.tagNames", "$.scopes"),
+    "tag_values": ("$.tagValues", "$.values"),
+}
+
+
+def _listed(text: Column) -> Column:
+    """The items of a JSON list; texts as they are, objects as JSON. Null for anything else."""
+    return F.when(F.ltrim(text).startswith("["), F.from_json(text, "array<string>"))
+
+
+def flatten_discovery(responses: DataFrame, body: str, operation: str = "operation") -> DataFrame:
+    """A20-A22. Labels, values, series, traces, tags and metadata as one row per item.
+
+    Columns: what `responses` has besides the body, then `name` (the metric of a metadata entry, else
+    null), `at` (place in the list, from 0) and `item`. An answer without its list gives no row.
+    """
+    rest = [c for c in responses.columns if c != body]
+    items = F.lit(None).cast("array<string>")
+    for kind, places in DISCOVERY_LISTS.items():
+        found = F.coalesce(*[_listed(F.get_json_object(body, place)) for place in places])
+        items = F.when(F.col(operation) == kind, found).otherwise(items)
+    plain = responses.select(*rest, F.lit(None).cast("string").alias("name"), F.posexplode(items).alias("at", "item"))
+    described = responses.where(F.col(operation) == "metadata").select(
+        *rest, F.explode(F.from_json(F.get_json_object(body, "$.data"), "map<string,string>")).alias("name", "entries"))
+    entries = described.select(*rest, "name", F.posexplode(_listed(F.col("entries"))).alias("at", "item"))
+    return plain.unionByName(entries)
+
+
+def series_labels(item: Column) -> Column:
+    """The label map of a series item."""
+    return F.from_json(item, "map<string,string>")
