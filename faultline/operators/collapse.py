@@ -38,6 +38,16 @@ def require_no_collision(names: DataFrame, source: str, folded: Column) -> DataF
     return clash.withColumn("folded", F.raise_error(message).cast("string"))
 
 
+def without_collisions(samples: DataFrame, source: str = "source_name", folded: str = "metric") -> DataFrame:
+    """B5. The samples, unless two source names fold to one: then the job ends, as two series would
+    become one. The names are a second look at the source, folded to distinct pairs map-side."""
+    clash = fold_collisions(samples, source, F.col(folded))
+    message = F.concat_ws(", ", F.lit("name collision after folding"), "first_source", "last_source")
+    nothing = clash.where(F.raise_error(message).cast("boolean")).select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in samples.schema.fields])
+    return samples.unionByName(nothing)
+
+
 def histogram_samples(points: DataFrame) -> DataFrame:
     """B10. One histogram point becomes count, optional sum and one open bucket sample."""
     labels = F.col("labels")

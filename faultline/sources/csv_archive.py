@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import normalize as N
 from faultline.functions import windows as W
+from faultline.operators.collapse import without_collisions
 
 Window = tuple[int, int] | None
 
@@ -64,7 +65,8 @@ def _inside(rows: DataFrame, ts: Column, window: Window, scale: int) -> DataFram
 def _samples(rows: DataFrame, name: Column, ts_ms: Column, value: Column, labels: Column):
     """Finite samples under their folded name.
 
-    A cell that is no number ends the job; NaN and the infinities are left out.
+    A cell that is no number ends the job; NaN and the infinities are left out. The readers end
+    the job as well where two source names fold to one.
     """
     number = F.coalesce(
         F.expr("try_cast(_value AS double)"),
@@ -98,14 +100,14 @@ def read_bank_metrics(
     ts = F.col("timestamp").cast("bigint")
     wide = _inside(_csv(spark, app), ts, window, 1)
     narrow = _inside(_csv(spark, container), ts, window, 1)
-    return _wide(
+    return without_collisions(_wide(
         wide, BANK_APP, ts * 1000, lambda _: F.create_map(F.lit("tc"), "tc")
     ).unionByName(
         _samples(
             narrow, F.col("kpi_name"), ts * 1000, F.col("value"),
             F.create_map(F.lit("cmdb_id"), "cmdb_id"),
         )
-    )
+    ))
 
 
 def read_market_metrics(
@@ -121,11 +123,11 @@ def read_market_metrics(
             F.lit(owner), owner, F.lit("metric_source"), "_stem", F.lit("kpi_name"), kpi
         )
 
-    return _wide(wide, MARKET_SERVICE, ts * 1000, lambda n: labels("service", n)).unionByName(
+    return without_collisions(_wide(wide, MARKET_SERVICE, ts * 1000, lambda n: labels("service", n)).unionByName(
         _samples(
             narrow, F.col("kpi_name"), ts * 1000, F.col("value"), labels("cmdb_id", F.col("kpi_name"))
         )
-    )
+    ))
 
 
 def read_telecom_metrics(
@@ -136,7 +138,7 @@ def read_telecom_metrics(
     ts = F.col("timestamp").cast("bigint")
     wide = _inside(_csv(spark, app), start, window, 1000)
     narrow = _inside(_csv(spark, others), ts, window, 1000)
-    return _wide(
+    return without_collisions(_wide(
         wide, TELECOM_APP, start,
         lambda n: F.create_map(
             F.lit("serviceName"), "serviceName", F.lit("metric_source"), "_stem",
@@ -150,7 +152,7 @@ def read_telecom_metrics(
                 "name", F.lit("bomc_id"), "bomc_id", F.lit("itemid"), "itemid",
             ),
         )
-    )
+    ))
 
 
 def read_csv_logs(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import normalize as N
 from faultline.functions import windows as W
+from faultline.operators.collapse import without_collisions
 
 # Optional labels of a node metric.
 NODE_LABELS = ("domain", "entity_set", "entity_id", "entity_name", "metric_set_id", "service")
@@ -38,20 +39,21 @@ def _labels(rows: DataFrame, fields: dict[str, str]) -> Column:
 def read_node_metrics(
     spark: SparkSession, path: str, window: tuple[int, int] | None = None
 ) -> DataFrame:
-    """A10. Node metric samples; null and non-finite values are dropped.
+    """A10. Node metric samples; null and non-finite values are dropped. Two names that
+    fold to one end the job.
 
     The window is compared on the raw microseconds, so the scan can use it.
     """
     rows = spark.read.parquet(path)
     if window is not None:
         rows = rows.where(W.half_open("time", window[0] * 1_000_000, window[1] * 1_000_000))
-    return rows.where(N.is_finite("value")).select(
+    return without_collisions(rows.where(N.is_finite("value")).select(
         N.fold_metric_name(F.coalesce("metric", F.lit(""))).alias("metric"),
         F.col("metric").alias("source_name"),
         W.floor_div("time", 1000).alias("ts_ms"),
         F.col("value").cast("double").alias("value"),
         _labels(rows, {n: n for n in NODE_LABELS}).alias("labels"),
-    )
+    ))
 
 
 def read_container_logs(spark: SparkSession, path: str) -> DataFrame:

@@ -140,6 +140,13 @@ def test_a_cell_that_is_no_number_ends_the_job(spark, tmp_path):
     assert sorted(r.metric for r in rows) == ["cnt", "rr", "sr"]
 
 
+def test_names_that_fold_to_one_end_the_job(spark, tmp_path):
+    app = csv(tmp_path / "metric_app.csv", BANK_APP, f"{NOON},7,6,5,4,Ferry")
+    kpi = csv(tmp_path / "metric_container.csv", KPI, f"{NOON},Quay7,wind.speed,1", f"{NOON},Quay8,wind/speed,2")
+    with pytest.raises(Exception, match="name collision after folding, wind.speed, wind/speed"):
+        csv_archive.read_bank_metrics(spark, app, kpi).select("ts_ms").collect()
+
+
 def test_messages_keep_quotes_and_line_breaks(spark, tmp_path):
     path = csv(tmp_path / "log_quay.csv", "log_id,timestamp,cmdb_id,log_name,value",
                f'9,{NOON},Quay7,radio,"say ""ahoy"",\nthen wait"')
