@@ -6,11 +6,11 @@ disclosure of an entity is pointwise mutual information divided by the entity's
 content: 1 where every document with the term has the entity beside it. Terms at or above the
 threshold are marked wherever they occur and generalised (numbers) or removed (words).
 
-Copies of a text say nothing new: evidence needs `support` different contexts, where a context is
-the set of words around an entity, and a variety of at least `variety` contexts: the different
-words seen beside an entity, over the words in one context. Near copies have a variety of little
-more than one at any number. Null and empty texts have no spans. Offsets are code points;
-ends are exclusive. Repeated rows are found like any other and count as one document each.
+Copies of a text say nothing new: a term needs `support` different whole texts beside an entity,
+where texts that differ only in their numbers are one. Near copies that differ in a word are texts
+of their own, and texts may surround an entity with the same words. Null and empty texts have no
+spans. Offsets are code points; ends are exclusive. Repeated rows are found like any other and
+count as one document each.
 """
 
 from __future__ import annotations
@@ -112,31 +112,29 @@ def _surroundings(window: int) -> Column:
     return F.transform("base", words)
 
 
-def disclosing_terms(
-    slim: DataFrame, bodies: DataFrame, support: int, variety: float, threshold: float
-) -> DataFrame:
+def _text_class(text: Column) -> Column:
+    """Equal for copies of a text, also where numbers differ."""
+    return F.xxhash64(F.regexp_replace(text, r"\p{N}+", "0"))
+
+
+def disclosing_terms(slim: DataFrame, bodies: DataFrame, support: int, threshold: float) -> DataFrame:
     """(term) for the terms that reveal an entity.
 
-    `slim` has doc_id, hash and around (entity, words); `bodies` the texts of the same documents.
+    `slim` has doc_id, hash, class and around (entity, words); `bodies` the texts of the same documents.
     """
-    near = slim.select("doc_id", "hash", F.explode("around").alias("a")).select(
-        "doc_id", "hash", "a.entity", F.xxhash64("a.words").alias("context"), F.col("a.words").alias("words"))
+    near = slim.select("doc_id", "hash", "class", F.explode("around").alias("a")).select(
+        "doc_id", "hash", "class", "a.entity", F.col("a.words").alias("words"))
     pairs = cut_lineage(
-        near.select("doc_id", "hash", "entity", "context", F.explode("words").alias("term")).groupBy(
+        near.select("doc_id", "hash", "class", "entity", F.explode("words").alias("term")).groupBy(
             "entity", "term"
         ).agg(
-            F.count_distinct("context").alias("contexts"),
+            F.count_distinct("class").alias("texts"),
             F.count_distinct(F.struct("doc_id", "hash")).alias("near"),
-        ),
+        ).where(F.col("texts") >= support),
         "pairs",
     )
     # Documents with each entity and with each term, over the whole corpus.
-    seen = near.groupBy("entity").agg(
-        F.count_distinct(F.struct("doc_id", "hash")).alias("n_entity"), F.avg(F.size("words")).alias("size"))
-    beside = pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("words"))
-    with_entity = seen.join(beside, "entity").where(F.col("words") >= variety * F.col("size")).select(
-        "entity", "n_entity")
-    pairs = pairs.where(F.col("contexts") >= support)
+    with_entity = near.groupBy("entity").agg(F.count_distinct(F.struct("doc_id", "hash")).alias("n_entity"))
     with_term = bodies.select(F.explode(F.array_distinct(_term_words(F.col("body")))).alias("term")).groupBy(
         "term").agg(F.count(F.lit(1)).alias("n_term"))
     total = F.lit(float(slim.count()))
@@ -180,23 +178,23 @@ def _term_hits(bodies: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def find_personal_data(
-    docs: DataFrame, support: int = 5, variety: float = 3.0, threshold: float = 0.7, window: int = 60,
+    docs: DataFrame, support: int = 2, threshold: float = 0.7, window: int = 60,
     key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """doc_id, hash, base (pattern spans) and spans (with terms) for every row of `docs`.
 
-    A term needs `support` different contexts beside an entity of enough variety, and `threshold`
-    of the entity's information.
+    A term needs `support` different texts beside an entity and `threshold` of its information.
     Term spans that overlap a pattern span are not added.
     """
     bodies = _keyed(docs, key, text)
     slim = cut_lineage(
         bodies.withColumn("base", pattern_spans(F.col("body")))
-        .select("doc_id", "hash", "base", _surroundings(window).alias("around")),
+        .select("doc_id", "hash", "base", F.when(F.size("base") > 0, _text_class(F.col("body"))).alias("class"),
+                _surroundings(window).alias("around")),
         "personal",
     )
-    terms = disclosing_terms(slim, bodies, support, variety, threshold)
-    slim = slim.drop("around")
+    terms = disclosing_terms(slim, bodies, support, threshold)
+    slim = slim.drop("around", "class")
     extra = _term_hits(bodies, cut_lineage(terms, "terms"))
     same = [F.col("s.doc_id").eqNullSafe(F.col("e.doc_id")), F.col("s.hash") == F.col("e.hash")]
     both = slim.alias("s").join(extra.alias("e"), same, "left").select("s.doc_id", "s.hash", "s.base", "e.extra")

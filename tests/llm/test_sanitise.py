@@ -84,6 +84,26 @@ def test_terms_that_reveal_an_entity(spark):
     assert texts[1] == dict(corpus())[1]
 
 
+def test_stereotyped_surroundings_and_few_words_reveal(spark):
+    """Terms of an entity whose contexts are alike, of one with two texts, and in a corpus of few words."""
+    common.prepare(spark)
+    rng = random.Random(4)
+    few = "the house green river walks slowly over many hills and sings loud songs about winter rain".split()
+    rows = [(i, " ".join(rng.choices(few, k=40))) for i in range(300)]
+    for i in range(0, 300, 20):
+        rows[i] = (i, rows[i][1] + " Zorblat 4477 wrote from jo@x.org " + " ".join(rng.choices(few, k=8)))
+    letter = "quarterly greetings from your friends reply always to Marlowe at pat@q.org before the closing of our offices in spring "
+    rows += [(1000 + i, letter + " ".join(rng.choices(few, k=30))) for i in range(9)]
+    rows += [(1100, "Brimsel told kim@w.org " + rows[1][1]), (1101, rows[2][1] + " kim@w.org met Brimsel " + rows[3][1])]
+    rows += [(1200 + i, f"copy {i} of Tarnow for lee@v.org") for i in range(5)]
+    df = spark.createDataFrame(rows + [(2000, "marlowe and brimsel and zorblat but no tarnow")], "doc_id long, text string")
+    texts = {r.doc_id: r.text for r in sanitise.sanitise(df).collect()}
+    assert texts[2000] == "[removed] and [removed] and [removed] but no tarnow"
+    assert all("[removed] [number] [removed] [removed] [email]" in texts[i] for i in range(0, 300, 20))
+    assert all("Marlowe" not in texts[1000 + i] for i in range(9)) and "Brimsel" not in texts[1100] + texts[1101]
+    assert all(texts[i] == rows[i][1] for i in range(1, 300) if i % 20)
+
+
 def test_empty_table(spark):
     common.prepare(spark)
     df = spark.createDataFrame([], "doc_id long, text string")
