@@ -75,6 +75,37 @@ def test_own_labels_and_empty_tables(spark):
     assert {r.verdict for r in urls.judge_urls(df, []).collect()} == {"allow"}
 
 
+def test_urls_have_all_their_tokens(spark):
+    df = spark.createDataFrame([("https://m.free-bets.shop.example.org/en/news/77/a.html?page=2&ref=x#top",)], "url string")
+    assert set(df.select(urls.url_tokens(F.col("url"))).first()[0]) == {
+        "scheme=https", "top=org", "domain=example.org", "ending=html", "query", "fragment", "host=m", "host=free-bets", "host=shop",
+        "host=example", "word=free", "word=bets", "dir=en", "dir=news", "dir=0", "dir=a.html", "query=page", "query=ref"}
+
+
+def test_clean_urls_of_held_out_rules_are_allowed(spark):
+    """Without a fixed rule its URLs are the method's: other rules' domains and languages are no evidence."""
+    common.prepare(spark)
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    got = urls.judge_urls(pages, queries.PATH_RULES).where("rule IS NULL").groupBy("verdict").count().collect()
+    assert {r["verdict"]: r["count"] for r in got} == {"allow": 1395}
+    for out in queries.PATH_RULES:
+        if out.verdict == "allow":
+            left = [r for r in queries.PATH_RULES if r != out]
+            held = urls.judge_urls(pages, queries.PATH_RULES).where(F.col("rule") == out.name).select("page_id")
+            judged = urls.judge_urls(pages, left).join(held, "page_id").where("rule IS NULL")
+            assert judged.where("verdict = 'block'").count() == 0
+
+
+def test_a_word_that_goes_with_blocking_is_found(spark):
+    """Evidence that the fixed rules do not test reaches URLs outside of them."""
+    common.prepare(spark)
+    rows = [f"http://s{i}.a.net/es/{i}" if i % 2 else f"http://s{i}.a.com/de/{i}?page=1" for i in range(400)]
+    rows += [f"http://cheap-pills{i}.b.net/es/x?buy=1" for i in range(80)] + ["http://x.org/en/1?buy=2", "http://x.org/en/1?page=2"]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = {r.url: r.verdict for r in urls.judge_urls(df, queries.PATH_RULES).collect()}
+    assert got["http://x.org/en/1?buy=2"] == "block" and got["http://x.org/en/1?page=2"] == "allow"
+
+
 @pytest.mark.parametrize("name", ["op10_url_rules"])
 def test_registered(name):
     assert name in queries.QUERIES
