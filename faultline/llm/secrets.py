@@ -1,9 +1,10 @@
 """Secret scan: fixed patterns, and random strings found by their token efficiency.
 
-A byte-pair vocabulary writes language in few tokens and random strings in many. Runs of
-`RUN` characters with less than `ratio` characters per token count as secrets, after known
-digests (hexadecimal of a digest's length, UUIDs) and identifiers (letters with separators,
-plain numbers) are taken out. Pattern spans stay as they are; a run that overlaps one is not added.
+A byte-pair vocabulary writes language in few tokens and random strings in many. Runs of 20
+characters or more with less than `ratio` characters per token count as secrets, shorter ones of 8
+or more with less than a share of it (`SHARES`), after known digests (hexadecimal of a digest's
+length, UUIDs), plain numbers, and identifiers whose letters are written in few tokens are taken
+out. Pattern spans stay as they are; a run that overlaps one is not added.
 
 Null and empty texts have no spans. Offsets are code points; ends are exclusive.
 """
@@ -31,12 +32,16 @@ KINDS = ("assign", "access", "hex", "random")
 
 #: Words one of which every assignment has, to skip the slower pattern where there is none.
 _ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
+#: (least size, share of `ratio`): short runs of language are near the ratio more often.
+SHARES = ((20, 1.0), (16, 0.86), (12, 0.77), (8, 0.64))
 _HEX_DIGEST = re.compile(r"[0-9a-fA-F]+\Z")
 _DIGEST_SIZES = {32, 40, 48, 56, 64, 96, 128}
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
-#: Letters in parts, each with few digits behind it; or digits and separators only.
-_IDENTIFIER = re.compile(r"[+/_=-]*([A-Za-z]+[0-9]{0,4}([+/_=-]+|\Z))+\Z|[0-9+/_=-]+\Z")
+_NUMBERS = re.compile(r"[0-9+/_=-]+\Z")
+#: Letters in parts, each with few digits behind it.
+_IDENTIFIER = re.compile(r"[+/_=-]*([A-Za-z]+[0-9]{0,4}([+/_=-]+|\Z))+\Z")
+_LETTERS = re.compile(r"[A-Za-z]+")
 
 
 def pattern_spans(text: str) -> list[tuple[int, int, int]]:
@@ -52,10 +57,22 @@ def pattern_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def is_known(run: str) -> bool:
-    """A digest or an identifier, which is no secret."""
+    """A digest or a number, which is no secret."""
     if _HEX_DIGEST.match(run) and len(run) in _DIGEST_SIZES:
         return True
-    return bool(_UUID.match(run) or _IDENTIFIER.match(run))
+    return bool(_UUID.match(run) or _NUMBERS.match(run))
+
+
+def is_random(run: str, ratio: float, path: str | None) -> bool:
+    """Few characters per token; in an identifier the letters must have few as well."""
+    ratio *= next(share for least, share in SHARES if len(run) >= least)
+    encode = byte_pair_encoder(path).encode_ordinary
+    if len(run) >= ratio * len(encode(run)):
+        return False
+    if not _IDENTIFIER.match(run):
+        return True
+    parts = _LETTERS.findall(run)
+    return sum(map(len, parts)) < ratio * sum(len(encode(p)) for p in parts)
 
 
 def random_spans(text: str, base: list[tuple[int, int, int]], ratio: float, path: str | None) -> list[tuple[int, int, int]]:
@@ -65,13 +82,13 @@ def random_spans(text: str, base: list[tuple[int, int, int]], ratio: float, path
     for m in RUN.finditer(text):
         start, end = m.span()
         run = m[0]
-        if not any(c.isdigit() for c in run) or is_known(run):
+        if is_known(run):
             continue
         while at < len(base) and base[at][2] <= start:
             at += 1
         if any(s < end and e > start for s, _, e in base[at:]):
             continue
-        if end - start < ratio * len(byte_pair_encoder(path).encode_ordinary(run)):
+        if is_random(run, ratio, path):
             out.append((start, 3, end))
     return out
 

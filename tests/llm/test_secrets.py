@@ -2,6 +2,7 @@
 
 import random
 import re
+import string
 
 import pytest
 
@@ -44,6 +45,23 @@ def test_random_runs(run, found):
     assert (spans == [(4, 3, 4 + len(run))]) is found
 
 
+@pytest.mark.parametrize("alphabet, size, least", [
+    ("letters", 20, 0.99), ("letters", 24, 0.99), ("letters", 32, 0.99), ("letters", 40, 0.99), ("letters", 16, 0.95),
+    ("both", 16, 0.95), ("both", 20, 0.99), ("both", 12, 0.9), ("both", 8, 0.5)])
+def test_random_strings_without_digits_and_short_ones_are_judged(alphabet, size, least):
+    rng = random.Random(size)
+    signs = string.ascii_letters + (string.digits if alphabet == "both" else "")
+    runs = ["".join(rng.choices(signs, k=size)) for _ in range(500)]
+    found = [bool(secrets.random_spans(r, secrets.pattern_spans(r), 2.2, None)) for r in runs]
+    assert sum(found) >= least * len(runs)
+
+
+def test_words_and_identifiers_are_no_secrets():
+    words = "international understanding configuration organisationally getElementById parseHttpResponse snake_case_name HTTPServer2 " \
+            "camelCaseIdentifierNames some/path/to/file2024 well-known-words 20240101 2024-01-01".split()
+    assert [w for w in words if secrets.random_spans(w, [], 2.2, None)] == []
+
+
 def test_base_spans_stay_and_nothing_overlaps():
     text = "token = qX7zR2vLk9TbW4mNs8PjHd3 and qX7zR2vLk9TbW4mNs8PjHd3"
     *counts, digest, written, spans = secrets.scan_text(text, 2.2)
