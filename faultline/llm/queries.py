@@ -19,7 +19,9 @@ from faultline.llm import (
     secrets,
     simhash,
     urls,
+    variants,
 )
+from faultline.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -127,6 +129,12 @@ def op10(spark, table):
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+@_query("op11_variants")
+def op11(spark, table):
+    words = cut_lineage(variants.count_words(table("documents")), "words")
+    return variants.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 ORACLES["op4_decontaminate"] = r"""
 WITH d AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
