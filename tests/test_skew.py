@@ -4,12 +4,14 @@ import bisect
 import math
 import random
 import statistics
+from decimal import Decimal, getcontext
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
 from faultline.functions import skew
-from faultline.functions.statistics import sign_test
+from faultline.functions.statistics import binomial_tail, sign_test
 from faultline.operators.collapse import duplicate_incidents
 from faultline.operators.evaluate import query_load
 from faultline.operators.pairing import holm
@@ -156,6 +158,55 @@ def test_sign_test_matches_exact_fractions(spark):
             assert math.isclose(r.p, exact_p(n, k), rel_tol=1e-9 if n < 10**5 else 1e-7, abs_tol=1e-300), (r, exact_p(n, k))
 
 
+def decimal_tail(n, k):
+    """P(X <= k) of n fair trials in 60 digits: Stirling's series, then the ratio of neighbours."""
+    getcontext().prec = 60
+    pi = Decimal("3.14159265358979323846264338327950288419716939937510582097494")
+
+    def log_factorial(x):
+        x, added = Decimal(x), Decimal(0)
+        while x < 60:
+            x += 1
+            added += x.ln()
+        bernoulli = [(1, 6), (-1, 30), (1, 42), (-1, 30), (5, 66), (-691, 2730), (7, 6)]
+        series = sum(Decimal(a) / b / (2 * j * (2 * j - 1)) / x ** (2 * j - 1) for j, (a, b) in enumerate(bernoulli, 1))
+        return x * x.ln() - x + (2 * pi * x).ln() / 2 + series - added
+
+    term = (log_factorial(n) - log_factorial(k) - log_factorial(n - k) - n * Decimal(2).ln()).exp()
+    total = Decimal(0)
+    getcontext().prec = 30
+    for i in range(k, -1, -1):
+        total += term
+        term = term * i / (n - i + 1)
+        if term < total * Decimal("1e-18"):
+            break
+    return float(total)
+
+
+@pytest.mark.parametrize("n", [1, 2, 17, 999, 10**6, 10**9])
+def test_binomial_tail_for_any_number_of_trials(spark, n):
+    """Memory per row does not depend on n; twelve digits at every n, also beside the mean."""
+    ks = sorted({max(0, n // 2 - int(z * math.sqrt(n) / 2)) for z in (4, 8, 30) if n > 10**6 or z < 8} | {0})
+    if n <= 10**6:
+        ks = sorted({*ks, (n - 1) // 2, max(0, n // 2 - 1), n // 3})
+    df = spark.createDataFrame([(k, n) for k in ks], "k long, n long")
+    rows = df.select("k", binomial_tail(F.col("k"), F.col("n"), 0.5).alias("low"),
+                     binomial_tail(F.col("n") - F.col("k") - 1, F.col("n"), 0.5).alias("high")).collect()
+    for r in rows:
+        want = decimal_tail(n, r.k)
+        assert math.isclose(r.low, want, rel_tol=1e-10, abs_tol=1e-300), (n, r, want)
+        assert math.isclose(r.high, 1 - want, rel_tol=1e-10), (n, r, want)
+
+
+def test_binomial_tail_of_unequal_chances(spark):
+    cases = [(k, n, p) for n in (1, 7, 40, 300) for p in (0.01, 0.3, 0.95) for k in {-1, 0, 1, n // 3, n - 1, n} if k <= n]
+    df = spark.createDataFrame(cases, "k long, n long, p double")
+    for r in df.select("k", "n", "p", binomial_tail(F.col("k"), F.col("n"), F.col("p")).alias("got")).collect():
+        p = Fraction(r.p)
+        want = float(sum(math.comb(r.n, i) * p**i * (1 - p) ** (r.n - i) for i in range(r.k + 1)))
+        assert math.isclose(r.got, want, rel_tol=1e-9, abs_tol=1e-15), (r, want)
+
+
 def test_query_load_concurrency(spark):
     rng = random.Random(3)
     rows = [("s", rng.randrange(5000), rng.randrange(1, 200), 1, False) for _ in range(2000)]
