@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from faultline.llm import (
     common,
+    conversation_trie,
     decontaminate,
     graph_search,
     html_text,
     language_model,
     packing,
     quality,
+    quality_rules,
     sanitise,
     secrets,
     simhash,
@@ -135,6 +137,20 @@ def op11(spark, table):
     return variants.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+@_query("op12_conversation_trie")
+def op12(spark, table):
+    turns, convs = conversation_trie.share_heads(conversation_trie.ordered_turns(table("conversations")))
+    return conversation_trie.prefix_trie(turns, convs)
+
+
+@_query("op13_quality_rules")
+def op13(spark, table):
+    labels = table("labels").select("doc_id", F.col("quality").alias("label"))
+    judged = quality_rules.judge(table("documents").select("doc_id", "text", "lang"), labels)
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *[F.col("measured")[c].alias(c) for c in counts], "base_failed", "kept")
+
+
 ORACLES["op4_decontaminate"] = r"""
 WITH d AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
@@ -166,3 +182,53 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BI
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
 """
+
+#: CRC-32 of an ASCII text `s`, with the table of its 256 steps as list `steps` in scope.
+_CRC_STEPS = """
+crc AS (
+    SELECT list(v ORDER BY i) AS steps FROM (
+        SELECT i, list_reduce(list_prepend(i, range(8)),
+            lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+        FROM range(256) t(i)))"""
+
+
+def _crc(byte_list: str) -> str:
+    return f"""xor(list_reduce(list_prepend(4294967295, {byte_list}),
+        lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+
+ORACLES["op12_conversation_trie"] = f"""
+WITH {_CRC_STEPS},
+t AS (
+    SELECT CAST(conv_id AS BIGINT) AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS p
+    FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, count(*) AS own FROM t GROUP BY c),
+v AS (
+    SELECT c, own, c - c % 100 AS base, {_crc("list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))")} % 6 AS h
+    FROM own, crc),
+turns AS (
+    SELECT v.c, t.p, t.role, t.text FROM v JOIN t ON t.c = v.base AND t.p < v.h
+    UNION ALL
+    SELECT v.c, least(v.h, coalesce(b.own, 0)) + t.p - v.h, t.role, t.text
+    FROM v JOIN t ON t.c = v.c AND t.p >= v.h LEFT JOIN own b ON b.c = v.base),
+m AS (
+    SELECT c, p + 1 AS d, length(text) AS chars,
+        sha256(string_agg(sha256(length(role) || ':' || role || text), ',') OVER (PARTITION BY c ORDER BY p)) AS k
+    FROM turns
+    UNION ALL SELECT c, 0, 0, '' FROM v),
+ending AS (SELECT c, max(d) AS d FROM m GROUP BY c),
+n AS (SELECT k, d, min(c) AS c, count(*) AS n, any_value(chars) AS chars FROM m GROUP BY k, d),
+up AS (
+    SELECT n.k, p.k AS pk, p.c AS pc
+    FROM n JOIN m ON m.c = n.c AND m.d = n.d - 1 JOIN n p ON p.k = m.k AND p.d = m.d),
+kids AS (SELECT pk AS k, count(*) AS kids FROM up GROUP BY pk),
+below AS (
+    SELECT m.k, sum(CASE WHEN kids.k IS NULL THEN 1 ELSE 0 END) AS leaves, sum((n.n - 1) * n.chars) AS saved
+    FROM n LEFT JOIN kids ON kids.k = n.k JOIN m ON m.c = n.c AND m.d <= n.d GROUP BY m.k),
+ends AS (SELECT m.k, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS listed FROM m JOIN ending USING (c, d) GROUP BY m.k)
+SELECT n.c AS conv_id, CAST(n.d AS BIGINT) AS depth, up.pc AS parent_conv_id, n.n AS n_convs,
+    coalesce(kids.kids, 0) AS n_children, CAST(below.leaves AS BIGINT) AS n_leaves,
+    CAST(below.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends.listed, '')) AS ends_sha256
+FROM n JOIN below USING (k) LEFT JOIN up USING (k) LEFT JOIN kids USING (k) LEFT JOIN ends USING (k)
+"""
