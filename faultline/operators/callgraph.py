@@ -16,13 +16,25 @@ SECOND = 1_000_000_000
 CLIENT, SERVER = "SPAN_KIND_CLIENT", "SPAN_KIND_SERVER"
 ERROR = "STATUS_CODE_ERROR"
 EDGE = ["src_type", "src_id", "dst_type", "dst_id", "rel_type", "provenance"]
+#: The id in which both sides of a call agree: a server's parent, the span itself otherwise.
+LINK = "link_id"
+
+
+def link_id() -> Column:
+    """The pairing key of a span within its trace; stored spans carry it as a column."""
+    return F.when(F.col("span_kind") == SERVER, F.col("parent_span_id")).otherwise(F.col("span_id"))
+
+
+def _linked(rows: DataFrame, own: str) -> DataFrame:
+    """A stored link is kept as it is, so that the layout of the table serves the join."""
+    return rows if LINK in rows.columns else rows.withColumn(LINK, F.col(own))
 
 
 def clients(spans: DataFrame, window: tuple[int, int] | None = None) -> DataFrame:
     rows = spans.where((F.col("span_kind") == CLIENT) & (F.col("span_id") != ""))
     if window:
         rows = rows.where(W.half_open("ts_ns", window[0] * SECOND, window[1] * SECOND))
-    return rows
+    return _linked(rows, "span_id")
 
 
 def servers(spans: DataFrame, window: tuple[int, int] | None = None) -> DataFrame:
@@ -32,12 +44,12 @@ def servers(spans: DataFrame, window: tuple[int, int] | None = None) -> DataFram
         # source can skip row groups before the shuffle.
         low, high = window[0] - 300, window[1] + 3600
         rows = rows.where(W.half_open("ts_ns", low * SECOND, high * SECOND))
-    return rows
+    return _linked(rows, "parent_span_id")
 
 
 def _child(c: str = "c", s: str = "s") -> Column:
     return (F.col(f"{c}.trace_id") == F.col(f"{s}.trace_id")) & (
-        F.col(f"{c}.span_id") == F.col(f"{s}.parent_span_id")
+        F.col(f"{c}.{LINK}") == F.col(f"{s}.{LINK}")
     )
 
 
@@ -68,13 +80,13 @@ def span_pairs(
     if exclude_self:
         on = on & (F.col("c.service_name") != F.col("s.service_name"))
     return (
-        left.select("trace_id", "span_id", "service_name", "ts_ns", "end_ns", "span_name")
+        left.select("trace_id", LINK, "span_id", "service_name", "ts_ns", "end_ns", "span_name")
         .alias("c")
         .join(
             servers(spans, window)
             .select(
-                "trace_id", "parent_span_id", "span_id", "service_name", "ts_ns", "end_ns",
-                "status_code", "span_name",
+                "trace_id", LINK, "span_id", "service_name", "ts_ns", "end_ns", "status_code",
+                "span_name",
             )
             .alias("s"),
             on,
@@ -98,8 +110,8 @@ def span_pairs(
 def unpaired_clients(spans: DataFrame, window: tuple[int, int] | None = None) -> DataFrame:
     """E3. Client spans without any server child in reach."""
     left = clients(spans, window).alias("c")
-    right = servers(spans, window).select("trace_id", "parent_span_id", "ts_ns").alias("s")
-    return left.join(right, _child() & _in_reach(), "left_anti")
+    right = servers(spans, window).select("trace_id", LINK, "ts_ns").alias("s")
+    return left.join(right, _child() & _in_reach(), "left_anti").select(*spans.columns)
 
 
 def call_edges(pairs: DataFrame) -> DataFrame:
@@ -136,7 +148,7 @@ def edge_observations(
     peer they name, with a lower confidence and an unmatched count.
     """
     width = bin_seconds * SECOND
-    kept = ["trace_id", "span_id", "service_name", "ts_ns"] + ([peer] if peer else [])
+    kept = ["trace_id", LINK, "service_name", "ts_ns"] + ([peer] if peer else [])
     # One join serves both kinds of edges: an outer row without a server is an
     # unmatched client. A child in its own service matches, but is no call.
     joined = (
@@ -145,9 +157,7 @@ def edge_observations(
         .alias("c")
         .join(
             servers(spans, window)
-            .select(
-                "trace_id", "parent_span_id", "service_name", "ts_ns", "end_ns", "status_code"
-            )
+            .select("trace_id", LINK, "service_name", "ts_ns", "end_ns", "status_code")
             .alias("s"),
             _child() & _in_reach(),
             "left" if peer else "inner",
@@ -384,9 +394,9 @@ def call_gaps(
     left = clients(spans, window)
     if operations:
         left = left.where(F.col("span_name").isin(*operations))
-    right = servers(spans).select("trace_id", "parent_span_id", "service_name", "ts_ns")
+    right = servers(spans).select("trace_id", LINK, "service_name", "ts_ns")
     return (
-        left.select("trace_id", "span_id", "service_name", "ts_ns")
+        left.select("trace_id", LINK, "service_name", "ts_ns")
         .alias("c")
         .join(right.alias("s"), _child())
         .select(
@@ -407,15 +417,17 @@ def sole_server_gaps(
     if operations:
         left = left.where(F.col("span_name").isin(*operations))
     right = servers(tagged).select(
-        "trace_id", "parent_span_id", "service_name", "ts_ns", "period", "span_name"
+        "trace_id", LINK, "service_name", "ts_ns", "period", "span_name"
     )
     pairs = (
-        left.select("trace_id", "span_id", "service_name", "ts_ns", "period", "span_name")
+        left.select("trace_id", LINK, "span_id", "service_name", "ts_ns", "period", "span_name")
         .alias("c")
         .join(right.alias("s"), _child() & (F.col("c.period") == F.col("s.period")))
     )
+    # The link is a key too: where the join found its rows in place, so does this aggregate.
     keys = [
         F.col("c.trace_id").alias("trace_id"),
+        F.col(f"c.{LINK}").alias(LINK),
         F.col("c.span_id").alias("span_id"),
         F.col("c.ts_ns").alias("client_ns"),
         F.col("c.period").alias("period"),
@@ -443,11 +455,11 @@ def causal_traces(spans: DataFrame, targets: DataFrame) -> DataFrame:
     edges = targets.where("edge_source is not null")
     pairs = (
         clients(spans)
-        .select("trace_id", "span_id", F.col("service_name").alias("src"))
+        .select("trace_id", LINK, F.col("service_name").alias("src"))
         .alias("c")
         .join(
             servers(spans)
-            .select("trace_id", "parent_span_id", F.col("service_name").alias("dst"))
+            .select("trace_id", LINK, F.col("service_name").alias("dst"))
             .alias("s"),
             _child(),
         )

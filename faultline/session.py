@@ -16,6 +16,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Nanosecond Parquet timestamps arrive as BIGINT.
     "spark.sql.legacy.parquet.nanosAsLong": "true",
+    # Counts and time ranges of stored tables come from Parquet footers, where a scan can ask them.
+    "spark.sql.parquet.aggregatePushdown": "true",
     # Later attributes replace earlier ones when label maps are merged.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }

@@ -6,7 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions import windows as W
-from faultline.operators.audit import dataset_digest
+from faultline.operators.audit import (
+    BUCKET,
+    RECORD_BUCKETS,
+    bucket_digests,
+    changed_buckets,
+    dataset_digest,
+    record_bucket,
+)
+from faultline.operators.callgraph import LINK, link_id
+
+_V1_SOURCES = "spark.sql.sources.useV1SourceList"
+
+#: What stored spans are clustered by. A call's two sides share both; a huge trace has many links.
+SPAN_CLUSTER = ("trace_id", LINK)
 
 
 def write_telemetry(rows: DataFrame, path: str, signal: str, ts_ns: str = "ts_ns") -> None:
@@ -17,7 +30,9 @@ def write_telemetry(rows: DataFrame, path: str, signal: str, ts_ns: str = "ts_ns
     and merge quiet ones, so files have an even size.
     """
     day = F.to_date(F.timestamp_seconds(W.floor_div(ts_ns, 1_000_000_000)))
-    placed = rows.withColumn("signal", F.lit(signal)).withColumn("date", day)
+    # Time comes first: statistics of nested columns would shift its place in the footers.
+    ordered = rows.select(ts_ns, *[c for c in rows.columns if c != ts_ns])
+    placed = ordered.withColumn("signal", F.lit(signal)).withColumn("date", day)
     (
         placed.hint("rebalance", "date")
         .write.mode("append")
@@ -32,6 +47,85 @@ def read_telemetry(spark, path: str, signal: str, schema: str | None = None) ->
     return reader.option("basePath", path).parquet(f"{path}/signal={signal}")
 
 
+def stored_stats(spark, path: str, ts_ns: str = "ts_ns") -> DataFrame:
+    """F13/I13. Rows and time range of every signal of the canonical tables, from file footers alone.
+
+    The folder is read as a source that takes aggregates, grouped by its folders; no column is read.
+    `write_telemetry` puts the time first in every file, which is where this looks for it.
+    """
+    kept = spark.conf.get(_V1_SOURCES)
+    spark.conf.set(_V1_SOURCES, ",".join(s for s in kept.split(",") if s != "parquet"))
+    try:
+        stored = spark.read.schema(f"{ts_ns} BIGINT, signal STRING, date DATE").parquet(path)
+    finally:
+        spark.conf.set(_V1_SOURCES, kept)
+    by_folder = stored.groupBy("signal", "date").agg(
+        F.count(F.lit(1)).alias("n"), F.min(ts_ns).alias("low"), F.max(ts_ns).alias("high")
+    )
+    return by_folder.groupBy("signal").agg(
+        F.sum("n").alias("row_count"), F.min("low").alias("min_time"), F.max("high").alias("max_time")
+    )
+
+
+def write_spans(spans: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """A23. Spans as a table at `path` in which both sides of every call lie in one bucket.
+
+    Pairing (E1 to E6, F1, F2) then joins and groups without a shuffle. Rows are dealt as buckets
+    are, so that a bucket is one sorted file per date. Aim at buckets of some hundred megabytes.
+    """
+    day = F.to_date(F.timestamp_seconds(W.floor_div("ts_ns", 1_000_000_000)))
+    (
+        spans.withColumn(LINK, link_id())
+        .withColumn("date", day)
+        .repartition(buckets, *SPAN_CLUSTER)
+        .write.mode("overwrite")
+        .partitionBy("date")
+        .bucketBy(buckets, *SPAN_CLUSTER)
+        .sortBy(*SPAN_CLUSTER)
+        .option("path", path)
+        .saveAsTable(table)
+    )
+    return spans.sparkSession.table(table)
+
+
+def open_spans(spark, table: str, path: str, schema: str, buckets: int) -> DataFrame:
+    """A23. Names a folder of `write_spans` in another session's catalog.
+
+    `schema` lists the span columns as DDL, without link and date; `buckets` must be those it was
+    written with.
+    """
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {table} ({schema}, {LINK} STRING, date DATE) USING parquet "
+        f"PARTITIONED BY (date) CLUSTERED BY ({', '.join(SPAN_CLUSTER)}) "
+        f"SORTED BY ({', '.join(SPAN_CLUSTER)}) INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+    spark.catalog.recoverPartitions(table)
+    return spark.table(table)
+
+
+def write_records(rows: DataFrame, path: str, keys: list[str], buckets: int = RECORD_BUCKETS) -> DataFrame:
+    """A23 for audited copies: records by hash bucket, with a table of the buckets' digests beside.
+
+    `changed_records` compares two such copies by their digests and opens only buckets that differ.
+    """
+    placed = rows.withColumn(BUCKET, record_bucket(keys, buckets))
+    placed.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/records")
+    records = read_records(rows.sparkSession, path)
+    bucket_digests(records, keys, buckets).write.mode("overwrite").parquet(f"{path}/digests")
+    return records
+
+
+def read_records(spark, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/records")
+
+
+def changed_records(spark, left: str, right: str, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The records of two copies by `write_records` in buckets whose digests differ; no other is read."""
+    digests = [spark.read.parquet(f"{p}/digests") for p in (left, right)]
+    changed = changed_buckets(*digests)
+    return tuple(read_records(spark, p).where(F.col(BUCKET).isin(changed)).select(*keys) for p in (left, right))
+
+
 def write_report(table: DataFrame, path: str, order: list[str]) -> DataFrame:
     """A24. A report table as sorted JSON lines, with its digest (I8).
 
