@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from faultline.functions import normalize as N
 from faultline.functions import windows as W
 from faultline.operators.callgraph import EDGE
+from faultline.session import cut_lineage
 
 
 def table_stats(rows: DataFrame, table: str, ts: str) -> DataFrame:
@@ -39,12 +40,9 @@ def group_counts(rows: DataFrame, dimensions: list[str]) -> DataFrame:
     )
 
 
-def trace_identity(
-    spans: DataFrame, allow_zero: bool = False, kinds: int = 6, statuses: int = 3
-) -> DataFrame:
-    """F15. Whether span identities are unique and every id, enum and service is valid."""
+def _span_valid(allow_zero: bool, kinds: int, statuses: int) -> Column:
     parent = F.coalesce("parent_span_id", F.lit(""))
-    row_valid = (
+    return (
         N.valid_hex_id("trace_id", 16, allow_zero)
         & N.valid_hex_id("span_id", 8, allow_zero)
         & ((parent == "") | N.valid_hex_id(parent, 8, allow_zero))
@@ -52,10 +50,19 @@ def trace_identity(
         & F.coalesce(F.col("kind").between(0, kinds - 1), F.lit(False))
         & F.coalesce(F.col("status").between(0, statuses - 1), F.lit(False))
     )
-    per_id = spans.groupBy("trace_id", "span_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(~row_valid).alias("bad")
+
+
+def trace_identity(
+    spans: DataFrame, allow_zero: bool = False, kinds: int = 6, statuses: int = 3, by: tuple[str, ...] = ()
+) -> DataFrame:
+    """F15. Whether span identities are unique and every id, enum and service is valid.
+
+    `by` names columns that part the spans into copies; all copies are audited in one pass.
+    """
+    per_id = spans.groupBy(*by, "trace_id", "span_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~_span_valid(allow_zero, kinds, statuses)).alias("bad")
     )
-    totals = per_id.agg(
+    totals = per_id.groupBy(*by).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("spans"),
         F.coalesce(F.max("n") == 1, F.lit(True)).alias("span_identity_unique"),
         F.coalesce(F.sum("bad"), F.lit(0)).alias("invalid_spans"),
@@ -145,10 +152,13 @@ def scope_declarations(catalog: DataFrame, keys: list[str], declarations: str) -
     )
 
 
+def _undeclared(service: str) -> Column:
+    return F.coalesce(service, F.lit("")).isin("", "unknown")
+
+
 def declared_services(spans: DataFrame, service: str) -> DataFrame:
     """F85. No span without a source-declared service name."""
-    named = F.coalesce(service, F.lit("")).isin("", "unknown")
-    return spans.agg(F.coalesce(F.bool_and(~named), F.lit(True)).alias("service_names_declared"))
+    return spans.agg(F.coalesce(F.bool_and(~_undeclared(service)), F.lit(True)).alias("service_names_declared"))
 
 
 def first_alert(alerts: DataFrame, case: str, ts: str) -> DataFrame:
@@ -195,7 +205,73 @@ def topology_size(entities: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def _copies(source: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+#: Hash buckets of an audit. Their digests are what one driver may hold: numbers, not records.
+RECORD_BUCKETS = 1024
+BUCKET = "record_bucket"
+_DIGEST = ("d0", "d1", "d2", "d3")
+
+
+def _hashes(keys: list[str]) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a record. Null differs from every value, and its place counts."""
+    parts = [part for k in keys for part in (F.col(k).isNull(), F.col(k))]
+    return F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *parts)
+
+
+def record_bucket(keys: list[str], buckets: int = RECORD_BUCKETS) -> Column:
+    return F.pmod(_hashes(keys)[0], F.lit(buckets)).cast("int")
+
+
+def bucket_digests(rows: DataFrame, keys: list[str], buckets: int = RECORD_BUCKETS) -> DataFrame:
+    """Rows and a digest of 128 bits per hash bucket, in any order of rows.
+
+    Digests are sums of halves of two hashes, so that equal records count as often as they occur.
+    """
+    low, mask = _hashes(keys), F.lit((1 << 32) - 1)
+    halves = [h for x in low for h in (x.bitwiseAND(mask), F.shiftrightunsigned(x, 32))]
+    hashed = rows.select(record_bucket(keys, buckets).alias(BUCKET), *[h.alias(d) for h, d in zip(halves, _DIGEST)])
+    return hashed.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("rows"), *[F.sum(d).alias(d) for d in _DIGEST])
+
+
+def compared_buckets(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Buckets of either side with the rows of both, and whether their digests differ."""
+    sides = left.select("*", F.lit(1).alias("_l")).unionByName(right.select("*", F.lit(0).alias("_l")))
+    mine = F.col("_l") == 1
+    same = [F.coalesce(F.sum(F.when(mine, F.col(c)).otherwise(-F.col(c))), F.lit(0)) == 0 for c in ("rows", *_DIGEST)]
+    equal = same[0]
+    for one in same[1:]:
+        equal = equal & one
+    return sides.groupBy(BUCKET).agg(
+        F.coalesce(F.sum(F.when(mine, F.col("rows"))), F.lit(0)).alias("left_rows"),
+        F.coalesce(F.sum(F.when(~mine, F.col("rows"))), F.lit(0)).alias("right_rows"),
+        (~equal).alias("changed"),
+    )
+
+
+def changed_buckets(left: DataFrame, right: DataFrame) -> list[int]:
+    """The buckets to open, at most as many numbers as there are buckets."""
+    return sorted(r[0] for r in compared_buckets(left, right).where("changed").select(BUCKET).collect())
+
+
+def _alike(source: DataFrame, stored: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the types of their union: a hash depends on the type."""
+    kinds = source.select(*keys).unionByName(stored.select(*keys)).schema
+    return tuple(d.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds]) for d in (source, stored))
+
+
+def _audited(
+    source: DataFrame, stored: DataFrame, keys: list[str], buckets: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Compared buckets (written), and the records of both sides in buckets that differ."""
+    left, right = _alike(source, stored, keys)
+    compared = cut_lineage(
+        compared_buckets(bucket_digests(left, keys, buckets), bucket_digests(right, keys, buckets)), "digests"
+    )
+    changed = [r[0] for r in compared.where("changed").select(BUCKET).collect()]
+    in_changed = record_bucket(keys, buckets).isin(changed)
+    return compared, left.where(in_changed), right.where(in_changed)
+
+
+def record_copies(source: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """Copies of every distinct row on both sides, from one shuffle of folded rows."""
     left = source.select(*keys, F.lit(1).alias("_l"), F.lit(0).alias("_r"))
     right = stored.select(*keys, F.lit(0).alias("_l"), F.lit(1).alias("_r"))
@@ -206,29 +282,57 @@ def _copies(source: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def multiset_difference(source: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
-    """I1. Rows missing from and added to a stored copy, counted with multiplicity."""
+def _total(name: str) -> Column:
+    return F.coalesce(F.sum(name), F.lit(0)).alias(name)
+
+
+def _stacked(parts: list[DataFrame], names: list[str]) -> DataFrame:
+    """One row of sums over frames that each know some of the numbers."""
+    filled = [p.select(*[F.col(n) if n in p.columns else F.lit(0).cast("long").alias(n) for n in names]) for p in parts]
+    stack = filled[0]
+    for more in filled[1:]:
+        stack = stack.unionByName(more)
+    return stack.agg(*[_total(n) for n in names])
+
+
+def multiset_difference(
+    source: DataFrame, stored: DataFrame, keys: list[str], buckets: int = RECORD_BUCKETS
+) -> DataFrame:
+    """I1. Rows missing from and added to a stored copy, counted with multiplicity.
+
+    Digests of hash buckets are compared first; only records in buckets that differ are shuffled.
+    """
+    compared, left, right = _audited(source, stored, keys, buckets)
     gap = F.col("source_copies") - F.col("stored_copies")
-    return (
-        _copies(source, stored, keys)
-        .agg(
-            F.coalesce(F.sum("source_copies"), F.lit(0)).alias("source_rows"),
-            F.coalesce(F.sum("stored_copies"), F.lit(0)).alias("stored_rows"),
-            F.coalesce(F.sum(F.greatest(gap, F.lit(0))), F.lit(0)).alias("missing_rows"),
-            F.coalesce(F.sum(F.greatest(-gap, F.lit(0))), F.lit(0)).alias("extra_rows"),
-        )
-        .withColumn("equal", (F.col("missing_rows") == 0) & (F.col("extra_rows") == 0))
+    found = record_copies(left, right, keys).agg(
+        F.sum(F.greatest(gap, F.lit(0))).alias("missing_rows"), F.sum(F.greatest(-gap, F.lit(0))).alias("extra_rows")
+    )
+    sizes = compared.select(F.col("left_rows").alias("source_rows"), F.col("right_rows").alias("stored_rows"))
+    names = ["source_rows", "stored_rows", "missing_rows", "extra_rows"]
+    return _stacked([sizes, found], names).withColumn(
+        "equal", (F.col("missing_rows") == 0) & (F.col("extra_rows") == 0)
     )
 
 
 def presence_difference(source: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
-    """I2. For stores that collapse identical records: distinct presence, extras by multiplicity."""
+    """I2. For stores that collapse identical records: distinct presence, extras by multiplicity.
+
+    A collapsed copy differs in the bucket of every repeated record, and distinct records must be
+    counted in all buckets, so records are compared by 128 bits of hashes: 16 bytes of each are
+    shuffled instead of all columns.
+    """
+    left, right = _alike(source, stored, keys)
+    hashed = left.select(*[h.alias(n) for h, n in zip(_hashes(keys), ("h", "g"))], F.lit(1).alias("_l")).unionByName(
+        right.select(*[h.alias(n) for h, n in zip(_hashes(keys), ("h", "g"))], F.lit(0).alias("_l"))
+    )
+    copies = hashed.groupBy("h", "g").agg(
+        F.sum("_l").alias("source_copies"), F.sum(1 - F.col("_l")).alias("stored_copies")
+    )
     present = F.col("source_copies") > 0
     extra = F.greatest(F.col("stored_copies") - F.col("source_copies"), F.lit(0))
     lost = present & (F.col("stored_copies") == 0)
     return (
-        _copies(source, stored, keys)
-        .agg(
+        copies.agg(
             F.coalesce(F.sum("source_copies"), F.lit(0)).alias("source_records"),
             F.coalesce(F.sum("stored_copies"), F.lit(0)).alias("stored_records"),
             F.count_if(present).alias("distinct_source_records"),
@@ -243,10 +347,11 @@ def presence_difference(source: DataFrame, stored: DataFrame, keys: list[str]) -
 
 
 def difference_examples(
-    source: DataFrame, stored: DataFrame, keys: list[str], examples: int = 3
+    source: DataFrame, stored: DataFrame, keys: list[str], examples: int = 3, buckets: int = RECORD_BUCKETS
 ) -> DataFrame:
-    """I2. The first missing and the first extra records, in key order."""
-    copies = _copies(source, stored, keys)
+    """I2. The first missing and the first extra records, in key order, from buckets that differ."""
+    _, left, right = _audited(source, stored, keys, buckets)
+    copies = record_copies(left, right, keys)
     order = [F.col(k).asc() for k in keys]
 
     def first(condition: Column, kind: str) -> DataFrame:
@@ -408,12 +513,15 @@ def dataset_digest(rows: DataFrame, columns: list[Column]) -> DataFrame:
     )
 
 
-def gate_table(gates: dict[str, DataFrame]) -> DataFrame:
+def gate_table(gates: dict[str, DataFrame], shared: list[DataFrame] | None = None) -> DataFrame:
     """I10. Named one-row booleans as rows, with `all_passed` at the end.
 
-    Every value is the only boolean column of a one-row frame; null is a failure.
+    Every value is the only boolean column of a one-row frame; null is a failure. `shared` are
+    tables of gates already, each from one aggregate (`shared_gates`).
     """
     table = None
+    for rows in shared or []:
+        table = rows if table is None else table.unionByName(rows)
     for name, frame in gates.items():
         column = next(f.name for f in frame.schema.fields if f.dataType.typeName() == "boolean")
         row = frame.agg(F.coalesce(F.bool_and(column), F.lit(False)).alias("passed")).select(
@@ -426,6 +534,32 @@ def gate_table(gates: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+def shared_gates(rows: DataFrame, gates: dict[str, Column]) -> DataFrame:
+    """I10. Gates on one table as (gate, passed), from one aggregate over it.
+
+    Every gate is a boolean aggregate; null is a failure.
+    """
+    one = rows.agg(*[F.coalesce(g, F.lit(False)).alias(name) for name, g in gates.items()])
+    return one.select(F.explode(F.array(*[
+        F.struct(F.lit(name).alias("gate"), F.col(name).alias("passed")) for name in gates
+    ])).alias("g")).select("g.*")
+
+
+def span_gates(spans: DataFrame, allow_zero: bool = False, kinds: int = 6, statuses: int = 3) -> DataFrame:
+    """F15, F85 and B14 as gates on one table of spans, from one fold by their identity."""
+    short = ~(N.valid_hex_id("trace_id", 16) & N.valid_hex_id("span_id", 8))
+    per_id = spans.groupBy("trace_id", "span_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~_span_valid(allow_zero, kinds, statuses)).alias("bad"),
+        F.count_if(_undeclared("service_name")).alias("unnamed"), F.count_if(short).alias("short"),
+    )
+    none = {c: F.coalesce(F.sum(c), F.lit(0)) == 0 for c in ("bad", "unnamed", "short")}
+    unique = F.coalesce(F.max("n") == 1, F.lit(True))
+    return shared_gates(per_id, {
+        "spans_unique": unique, "source_trace_identity_valid": unique & none["bad"],
+        "service_names_declared": none["unnamed"], "ids_fit_the_protocol": none["short"],
+    })
+
+
 def count_agreement(expected: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """I13. Expected against stored counts per key; a key of one side only disagrees."""
     return (

@@ -13,6 +13,8 @@ from faultline.operators import surface as S
 from faultline.plans.normalization import STORED, record_labels, stored_copy
 from faultline.plans.registry import query
 from faultline.plans.views import SECOND, WINDOW
+from faultline.session import work_dir
+from faultline.sources import sinks
 
 SPANS = "clients_src servers_src spans"
 # A whole minute, so that binned and raw edges split at the same place.
@@ -55,12 +57,13 @@ def group_counts(t):
 def trace_identity(t):
     # Failed spans of one service carry a kind outside of the protocol.
     broken = (F.col("status_code") == "STATUS_CODE_ERROR") & (F.col("service_name") == "svc1")
+    sound = F.lit(2)
+    kinds = {"as it is": [sound], "broken": [F.when(broken, 9).otherwise(2)], "doubled": [sound, sound]}
+    copies = F.array(*[
+        F.struct(F.lit(name).alias("copy"), kind.alias("kind")) for name, each in kinds.items() for kind in each])
     named = ["trace_id", "span_id", "parent_span_id", "service_name"]
-    sound = t.spans.select(*named, F.lit(2).alias("kind"), F.lit(0).alias("status"))
-    wrong = t.spans.select(*named, F.when(broken, 9).otherwise(2).alias("kind"), F.lit(0).alias("status"))
-    copies = {"as it is": sound, "broken": wrong, "doubled": sound.unionByName(sound)}
-    checked = [A.trace_identity(rows).withColumn("copy", F.lit(name)) for name, rows in copies.items()]
-    return checked[0].unionByName(checked[1]).unionByName(checked[2])
+    rows = t.spans.select(*named, F.lit(0).alias("status"), F.inline(copies))
+    return A.trace_identity(rows, by=("copy",))
 
 
 @query(
@@ -520,14 +523,11 @@ def union(t):
        SELECT * FROM g UNION ALL SELECT 'all_passed', bool_and(passed) FROM g""",
 )
 def gates(t):
-    identity = trace_identity(t).select("span_identity_unique")
-    return A.gate_table(
-        {
-            "spans_unique": identity,
-            "edges_exact": edge_sets(t).where("graph = 'whole'").select("exact"),
-            "service_names_declared": declared(t),
-        }
-    )
+    coded = t.spans.withColumns({"kind": F.lit(2), "status": F.lit(0)})
+    left = G.call_edges(G.span_pairs(t.spans, WINDOW))
+    right = G.paired_edges(G.edge_observations(t.spans, WINDOW, peer="peer"))
+    about_spans = A.span_gates(coded).where(F.col("gate").isin("spans_unique", "service_names_declared"))
+    return A.gate_table({"edges_exact": A.edge_sets_equal(left, right).select("exact")}, [about_spans])
 
 
 @query(
@@ -592,3 +592,63 @@ def surface(t):
 
     return S.surface_check(
         labelled_by_container(rows), labelled_by_container(stored), (1704412800000, 1705276800000))
+
+
+SIGNALS = """, src AS (SELECT 'metrics' AS signal, ts_ns FROM points UNION ALL SELECT 'traces', ts_ns FROM spans)"""
+
+
+def stored_signals(t):
+    """Two signals as canonical tables, and their statistics from file footers."""
+    spark = t.spans.sparkSession
+    path = work_dir(spark, "telemetry")
+    sinks.write_telemetry(t.points, path, "metrics")
+    sinks.write_telemetry(t.spans, path, "traces")
+    return sinks.stored_stats(spark, path)
+
+
+@query(
+    "f13_stored_stats",
+    f"points {SPANS}",
+    f"""{SIGNALS} SELECT signal, count(*) AS row_count, min(ts_ns) AS min_time, max(ts_ns) AS max_time
+        FROM src GROUP BY signal""",
+)
+def stored_stats(t):
+    return stored_signals(t)
+
+
+@query(
+    "i13_stored_agreement",
+    f"points {SPANS}",
+    f"""{SIGNALS} SELECT signal, count(*) AS expected_rows, count(*) AS stored_rows, true AS match
+        FROM src GROUP BY signal""",
+)
+def stored_agreement(t):
+    sources = t.points.select(F.lit("metrics").alias("signal")).unionByName(t.spans.select(F.lit("traces").alias("signal")))
+    expected = sources.groupBy("signal").agg(F.count(F.lit(1)).alias("row_count"))
+    return A.count_agreement(expected, stored_signals(t), ["signal"])
+
+
+# A copy with one changed record: digests tell the bucket, and only that bucket is opened.
+@query(
+    "i1_changed_records",
+    "",
+    """SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey = k THEN 1 ELSE 0 END AS missing,
+         0 AS extra FROM orders, (SELECT min(o_orderkey) AS k FROM orders) WHERE o_orderkey = k
+       UNION ALL SELECT o_orderkey, -1, 0, 1 FROM orders, (SELECT min(o_orderkey) AS k FROM orders)
+       WHERE o_orderkey = k""",
+)
+def changed_records(t):
+    keys = ["o_orderkey", "o_custkey"]
+    source = t.table("orders").select(*keys)
+    first = source.agg(F.min("o_orderkey").alias("first"))
+    stored = source.join(first, F.col("o_orderkey") == F.col("first"), "left").select(
+        "o_orderkey", F.when(F.col("first").isNotNull(), F.lit(-1).cast(source.schema["o_custkey"].dataType)).otherwise(
+            F.col("o_custkey")).alias("o_custkey"))
+    spark = source.sparkSession
+    paths = [work_dir(spark, name) for name in ("source", "stored")]
+    for rows, path in zip((source, stored), paths):
+        sinks.write_records(rows, path, keys)
+    copies = A.record_copies(*sinks.changed_records(spark, *paths, keys), keys)
+    gap = F.col("source_copies") - F.col("stored_copies")
+    return copies.where(gap != 0).select(
+        *keys, F.greatest(gap, F.lit(0)).cast("int").alias("missing"), F.greatest(-gap, F.lit(0)).cast("int").alias("extra"))

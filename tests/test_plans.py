@@ -78,6 +78,61 @@ def test_stored_spans_are_filtered_and_pruned(spark, tmp_path):
         assert "peer" not in schema and "span_name" not in schema
 
 
+@pytest.fixture
+def span_table(spark, tmp_path):
+    t = views.Tables(spark, SF)
+    yield sinks.write_spans(t.spans, "stored_spans", str(tmp_path / "spans"), 8)
+    spark.sql("DROP TABLE stored_spans")
+
+
+def test_pairing_of_stored_spans_needs_no_exchange(span_table, no_broadcast):
+    pairs = plan(G.span_pairs(span_table, views.WINDOW))
+    assert "SortMergeJoin" in pairs and "Exchange" not in pairs
+    assert "Exchange" not in plan(G.unpaired_clients(span_table, views.WINDOW))
+    assert "Exchange" not in plan(G.sole_server_gaps(span_table, F.lit("p")))
+    # Only the counts of the edges move.
+    assert len(re.findall("Exchange hashpartitioning", plan(G.call_edges(G.span_pairs(span_table))))) == 1
+    assert len(re.findall("Exchange hashpartitioning", plan(G.edge_observations(span_table, peer="peer")))) == 1
+
+
+def test_stored_spans_open_in_another_catalog(spark, span_table, tmp_path, no_broadcast):
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in span_table.schema if f.name not in ("link_id", "date"))
+    again = sinks.open_spans(spark, "opened_spans", str(tmp_path / "spans"), kinds, 8)
+    assert again.count() == span_table.count() > 0
+    assert "Exchange" not in plan(G.span_pairs(again))
+    spark.sql("DROP TABLE opened_spans")
+
+
+def test_stored_statistics_come_from_footers(spark, tmp_path):
+    t = views.Tables(spark, SF)
+    sinks.write_telemetry(t.spans, str(tmp_path), "traces")
+    text = plan(sinks.stored_stats(spark, str(tmp_path)))
+    assert re.search(r"PushedAggregation: \[COUNT\(\*\), MIN\(ts_ns\), MAX\(ts_ns\)\]", text)
+    assert spark.conf.get("spark.sql.sources.useV1SourceList").count("parquet") == 1
+
+
+def test_one_changed_record_opens_one_bucket(spark, tmp_path):
+    keys = ["k", "v"]
+    source = spark.range(20_000).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    changed = source.withColumn("v", F.when(F.col("k") == 77, "y").otherwise("x"))
+    for rows, name in ((source, "a"), (changed, "b")):
+        sinks.write_records(rows, str(tmp_path / name), keys, 64)
+    left, right = sinks.changed_records(spark, str(tmp_path / "a"), str(tmp_path / "b"), keys)
+    partitions = re.search(r"PartitionFilters: \[(.*?)\], PushedFilters", plan(left)).group(1)
+    assert "record_bucket" in partitions and 0 < left.count() < 2000
+    # The old and the new record lie in one bucket each.
+    stored = sinks.read_records(spark, str(tmp_path / "a"))
+    assert 1 <= stored.join(left, keys).select("record_bucket").distinct().count() <= 2
+    same = sinks.changed_records(spark, str(tmp_path / "a"), str(tmp_path / "a"), keys)
+    assert all(side.count() == 0 for side in same)
+
+
+def test_archive_samples_are_read_in_one_pass(spark):
+    """The written samples are what remains of the source in the plan."""
+    text = plan(REGISTERED["a10_read_node_metrics"](spark, SF))
+    assert len(re.findall("FileScan", text)) == 1
+
+
 def test_pairing_shuffles_each_side_once(spark, no_broadcast):
     text = plan(G.span_pairs(views.Tables(spark, SF).spans, views.WINDOW))
     assert len(re.findall(r"Exchange hashpartitioning", text)) == 2
