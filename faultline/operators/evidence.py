@@ -469,50 +469,115 @@ def conditional_floors(rows: DataFrame, case: str, restart: str) -> DataFrame:
     )
 
 
-# Leading characters of a pattern that its values must share to be compared at all.
-PATTERN_HEAD = 4
-
-
-def pattern_bindings(patterns: DataFrame, domains: DataFrame, salts: int = 16) -> DataFrame:
+#: Code points of the longest grams that are indexed.
+GRAM = 3
+#: Values of one gram that one task compares with the gram's patterns.
+POSTINGS = 10_000
+# Ends of a text; a literal at an end of its pattern holds one, so that it is looked up anchored.
+_BEGIN, _END = "\x02", "\x03"
+
+
+def _enclosed(text: Column) -> Column:
+    return F.concat(F.lit(_BEGIN), text, F.lit(_END))
+
+
+def _literals(pattern: Column) -> Column:
+    """What stands between the wildcards of a LIKE pattern, without escapes."""
+    parts = F.regexp_extract_all(pattern, F.lit(r"(?s)((?:[^%_\\]|\\.)+)"), F.lit(1))
+    return F.transform(parts, lambda p: F.regexp_replace(p, r"(?s)\\(.)", "$1"))
+
+
+def _grams(texts: Column, size: Column) -> Column:
+    """Distinct parts of `size` code points of the texts that are long enough."""
+    long_enough = F.filter(texts, lambda t: F.length(t) >= size)
+    each = F.transform(long_enough, lambda t: F.transform(
+        F.sequence(F.lit(1), F.length(t) - size + 1), lambda i: F.substring(t, i, size)))
+    return F.array_distinct(F.flatten(each))
+
+
+def _pattern_grams(patterns: DataFrame) -> DataFrame:
+    """Adds `_folded`, the text that is compared, and `_grams`; none for a pattern of wildcards only."""
+    text = F.when(F.col("ignore_case"), F.lower("pattern")).otherwise(F.col("pattern"))
+    tagged = patterns.withColumn("_folded", F.coalesce("ignore_case", F.lit(False))).withColumn("_text", text)
+    literal = F.size(_literals(F.col("_text"))) > 0
+    # Ends count as literals only beside others: alone they are in every value.
+    parts = F.when(literal, _literals(_enclosed(F.col("_text")))).otherwise(F.array().cast("array<string>"))
+    tagged = tagged.withColumn("_parts", parts)
+    longest = F.coalesce(F.array_max(F.transform("_parts", lambda p: F.length(p))), F.lit(0))
+    # An end on its own is no gram; a literal of one code point is.
+    telling = F.filter("_parts", lambda p: ~p.isin(_BEGIN, _END))
+    return tagged.withColumn("_grams", _grams(telling, F.least(F.lit(GRAM), longest)))
+
+
+def _value_grams(domains: DataFrame) -> DataFrame:
+    """column, value, _folded, _gram for all grams of the values, as they are and in lower case."""
+    texts = F.explode(F.array(
+        F.struct(F.lit(False).alias("folded"), F.col("value").alias("text")),
+        F.struct(F.lit(True).alias("folded"), F.lower("value").alias("text")),
+    ))
+    both = domains.where("value is not null").select("column", "value", texts.alias("t"))
+    sizes = F.flatten(F.array(*[_grams(F.array(_enclosed(F.col("t.text"))), F.lit(n)) for n in range(1, GRAM + 1)]))
+    return both.select("column", "value", F.col("t.folded").alias("_folded"), F.explode(sizes).alias("_gram"))
+
+
+def pattern_candidates(patterns: DataFrame, domains: DataFrame) -> DataFrame:
+    """The values that each distinct pattern with a literal must be compared with: those that hold its rarest gram.
+
+    A gram's values are dealt in slices of about `POSTINGS`, as many as it needs; the gram's patterns
+    visit each slice.
+    """
+    keys = ["column", "_folded", "_gram"]
+    asked = patterns.select("*", F.explode("_grams").alias("_gram"))
+    held = _value_grams(domains).join(asked.select(*keys).distinct(), keys, "left_semi")
+    counts = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    named = ["column", "_folded", "pattern", "ignore_case", "target"]
+    # A gram that no value holds is the rarest, and ends the search.
+    rarest = asked.join(counts, keys, "left").groupBy(*named).agg(
+        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_gram")).alias("_r")
+    ).where("_r._n > 0").select(*named, "_r._gram", F.ceil(F.col("_r._n") / POSTINGS).cast("int").alias("_slices"))
+    used = rarest.select(*keys, "_slices").distinct()
+    dealt = held.join(used, keys).withColumn("_slice", F.pmod(F.xxhash64("value"), F.col("_slices")).cast("int"))
+    visiting = rarest.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices")
+    return visiting.join(dealt.drop("_slices"), [*keys, "_slice"]).select(*named, "value")
+
+
+def pattern_bindings(patterns: DataFrame, domains: DataFrame) -> DataFrame:
     """E18. Whether a LIKE pattern matches exactly its target in the identity domain.
 
-    `patterns`: pattern_id, column, pattern, ignore_case, target. `domains`:
-    column, value (distinct). Equal patterns are matched once. A case-sensitive pattern meets only
-    the values that begin like its literal head; patterns that begin with a wildcard or ignore
-    case visit the whole domain of their column, in `salts` parts, so that one large domain is not
-    one task. Matches are only counted, never collected.
+    `patterns`: pattern_id, column, pattern, ignore_case, target. `domains`: column, value
+    (distinct). Equal patterns are matched once. An index of grams of one to three code points leads
+    each pattern to the values that hold its rarest gram; these are compared with LIKE, and matches
+    are only counted. Patterns of wildcards only ask nothing but a length, and are counted from a
+    histogram of lengths.
     """
     named = ["column", "pattern", "ignore_case", "target"]
-    distinct = patterns.select(*named).distinct()
-    literal = F.regexp_extract("pattern", r"(?s)^([^%_\\]*)", 1)
-    head = F.when(F.col("ignore_case"), F.lit("")).otherwise(F.substring(literal, 1, PATTERN_HEAD))
-    size = F.length("_head")
-    visiting = distinct.withColumn("_head", head).withColumn("_size", size).withColumn(
-        "_salt",
-        F.explode(F.when(size > 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(salts - 1)))),
-    )
-    sizes = F.explode(F.sequence(F.lit(0), F.least(F.length("value"), F.lit(PATTERN_HEAD))))
-    begun = domains.select("column", "value", sizes.alias("_size")).select(
-        "*", F.expr("substring(value, 1, _size)").alias("_head"),
-        F.when(F.col("_size") > 0, 0).otherwise(F.pmod(F.xxhash64("value"), F.lit(salts)).cast("int")).alias("_salt"),
-    )
+    distinct = _pattern_grams(patterns.select(*named).distinct())
     like = F.when(F.col("ignore_case"), F.expr("value ILIKE pattern")).otherwise(
         F.expr("value LIKE pattern")
     )
-    found = (
-        visiting.join(begun, ["column", "_size", "_head", "_salt"])
-        .where(like)
-        .groupBy(*named)
-        .agg(
-            F.count(F.lit(1)).alias("matches"),
-            F.bool_or(F.col("value") == F.col("target")).alias("hit"),
-        )
-    )
+    told = pattern_candidates(distinct.where(F.size("_grams") > 0), domains).where(like).groupBy(*named).agg(
+        F.count(F.lit(1)).alias("_n"))
+    sized = F.explode(F.array(*[
+        F.struct(F.lit(folded).alias("folded"), F.length(text).alias("length"))
+        for folded, text in ((False, F.col("value")), (True, F.lower("value")))
+    ]))
+    lengths = domains.where("value is not null").select("column", sized.alias("t")).groupBy(
+        "column", F.col("t.folded").alias("_folded"), F.col("t.length").alias("_length")
+    ).agg(F.count(F.lit(1)).alias("_n"))
+    blanks = F.length(F.regexp_replace("_text", "[^_]", ""))
+    open_ = distinct.where((F.size("_grams") == 0) & F.col("pattern").isNotNull()).select(
+        *named, "_folded", blanks.alias("_blanks"), F.contains("_text", F.lit("%")).alias("_any"))
+    fits = (F.col("_length") == F.col("_blanks")) | (F.col("_any") & (F.col("_length") > F.col("_blanks")))
+    blank = open_.join(lengths, ["column", "_folded"]).where(fits).groupBy(*named).agg(F.sum("_n").alias("_n"))
+    targets = distinct.select(*named).join(
+        domains.select("column", F.col("value").alias("target"), "value").distinct(), ["column", "target"]
+    ).where(like).select(*named, F.lit(True).alias("_hit"))
+    found = told.unionByName(blank)
     both = patterns.alias("l").join(found.alias("r"), same_keys(patterns, found, named), "left")
-    return both.select(
-        "pattern_id",
-        F.coalesce("matches", F.lit(0)).alias("matches"),
-        F.coalesce((F.col("matches") == 1) & F.col("hit"), F.lit(False)).alias("binds"),
+    counted = both.select("l.*", F.coalesce("_n", F.lit(0)).alias("matches"))
+    bound = counted.alias("l").join(targets.alias("r"), same_keys(patterns, targets, named), "left")
+    return bound.select(
+        "pattern_id", "matches", ((F.col("matches") == 1) & F.coalesce("_hit", F.lit(False))).alias("binds")
     )
 
 
