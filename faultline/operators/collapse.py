@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from faultline.functions import normalize as N
 from faultline.functions import windows as W
 from faultline.functions.skew import running_max
+from faultline.session import work_dir
 
 
 def _cols(names: list[str]) -> list[Column]:
@@ -40,12 +41,20 @@ def require_no_collision(names: DataFrame, source: str, folded: Column) -> DataF
 
 def without_collisions(samples: DataFrame, source: str = "source_name", folded: str = "metric") -> DataFrame:
     """B5. The samples, unless two source names fold to one: then the job ends, as two series would
-    become one. The names are a second look at the source, folded to distinct pairs map-side."""
-    clash = fold_collisions(samples, source, F.col(folded))
-    message = F.concat_ws(", ", F.lit("name collision after folding"), "first_source", "last_source")
-    nothing = clash.where(F.raise_error(message).cast("boolean")).select(
-        *[F.lit(None).cast(f.dataType).alias(f.name) for f in samples.schema.fields])
-    return samples.unionByName(nothing)
+    become one.
+
+    The samples are written once to the work folder, and the pass that writes them observes their
+    distinct names: the driver gets the names of an archive's metrics, never samples.
+    """
+    seen = Observation("names")
+    path = work_dir(samples.sparkSession, "samples")
+    pairs = F.collect_set(F.struct(F.col(folded).alias("folded"), F.col(source).alias("source")))
+    samples.observe(seen, pairs.alias("pairs")).write.option("compression", "zstd").parquet(path)
+    first: dict[str, str] = {}
+    for name, original in sorted((r["folded"], r["source"]) for r in seen.get["pairs"]):
+        if first.setdefault(name, original) != original:
+            raise ValueError(f"name collision after folding, {first[name]}, {original}")
+    return samples.sparkSession.read.schema(samples.schema).parquet(path)
 
 
 def histogram_samples(points: DataFrame) -> DataFrame:
