@@ -487,12 +487,19 @@ def _literals(pattern: Column) -> Column:
     return F.transform(parts, lambda p: F.regexp_replace(p, r"(?s)\\(.)", "$1"))
 
 
-def _grams(texts: Column, size: Column) -> Column:
-    """Distinct parts of `size` code points of the texts that are long enough."""
-    long_enough = F.filter(texts, lambda t: F.length(t) >= size)
-    each = F.transform(long_enough, lambda t: F.transform(
-        F.sequence(F.lit(1), F.length(t) - size + 1), lambda i: F.substring(t, i, size)))
-    return F.array_distinct(F.flatten(each))
+def _grams(texts: Column, most: int, least: int | None = None) -> Column:
+    """Distinct parts of the texts: of `most` code points, of a shorter text the whole of it.
+
+    With `least`, texts shorter than that give none.
+    """
+    if least is not None:
+        texts = F.filter(texts, lambda t: F.length(t) >= least)
+
+    def parts(t: Column) -> Column:
+        size = F.least(F.lit(most), F.length(t))
+        return F.transform(F.sequence(F.lit(1), F.length(t) - size + 1), lambda i: F.substring(t, i, size))
+
+    return F.array_distinct(F.flatten(F.transform(texts, parts)))
 
 
 def _pattern_grams(patterns: DataFrame) -> DataFrame:
@@ -503,10 +510,9 @@ def _pattern_grams(patterns: DataFrame) -> DataFrame:
     # Ends count as literals only beside others: alone they are in every value.
     parts = F.when(literal, _literals(_enclosed(F.col("_text")))).otherwise(F.array().cast("array<string>"))
     tagged = tagged.withColumn("_parts", parts)
-    longest = F.coalesce(F.array_max(F.transform("_parts", lambda p: F.length(p))), F.lit(0))
     # An end on its own is no gram; a literal of one code point is.
     telling = F.filter("_parts", lambda p: ~p.isin(_BEGIN, _END))
-    return tagged.withColumn("_grams", _grams(telling, F.least(F.lit(GRAM), longest)))
+    return tagged.withColumn("_grams", _grams(telling, GRAM))
 
 
 def _value_grams(domains: DataFrame) -> DataFrame:
@@ -516,7 +522,7 @@ def _value_grams(domains: DataFrame) -> DataFrame:
         F.struct(F.lit(True).alias("folded"), F.lower("value").alias("text")),
     ))
     both = domains.where("value is not null").select("column", "value", texts.alias("t"))
-    sizes = F.flatten(F.array(*[_grams(F.array(_enclosed(F.col("t.text"))), F.lit(n)) for n in range(1, GRAM + 1)]))
+    sizes = F.flatten(F.array(*[_grams(F.array(_enclosed(F.col("t.text"))), n, n) for n in range(1, GRAM + 1)]))
     return both.select("column", "value", F.col("t.folded").alias("_folded"), F.explode(sizes).alias("_gram"))
 
 
