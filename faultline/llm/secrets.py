@@ -4,7 +4,8 @@ A byte-pair vocabulary writes language in few tokens and random strings in many.
 characters or more with less than `ratio` characters per token count as secrets, shorter ones of 8
 or more with less than a share of it (`SHARES`), after known digests (hexadecimal of a digest's
 length, UUIDs), plain numbers, and identifiers whose letters are written in few tokens are taken
-out. Pattern spans stay as they are; a run that overlaps one is not added.
+out. Rare or foreign words are short of characters per token too, so a run that is written like one, in
+letters of one case, counts only if it falls short by several standard errors. Pattern spans stay as they are; a run that overlaps one is not added.
 
 Null and empty texts have no spans. Offsets are code points; ends are exclusive.
 """
@@ -42,6 +43,11 @@ _NUMBERS = re.compile(r"[0-9+/_=-]+\Z")
 #: Letters in parts, each with few digits behind it.
 _IDENTIFIER = re.compile(r"[+/_=-]*([A-Za-z]+[0-9]{0,4}([+/_=-]+|\Z))+\Z")
 _LETTERS = re.compile(r"[A-Za-z]+")
+#: Letters as words have them: of one case, or with a capital in front.
+_WORD = re.compile(r"([A-Z]?[a-z]+|[A-Z]+)\Z")
+#: Characters a token of unknown words has, by mean and deviation, and how many standard errors a
+#: run that looks like a word must stay below them, whatever its size.
+WORD_MEAN, WORD_DEVIATION, WORD_ERRORS = 2.6, 1.2, 4.0
 
 
 def pattern_spans(text: str) -> list[tuple[int, int, int]]:
@@ -67,8 +73,11 @@ def is_random(run: str, ratio: float, path: str | None) -> bool:
     """Few characters per token; in an identifier the letters must have few as well."""
     ratio *= next(share for least, share in SHARES if len(run) >= least)
     encode = byte_pair_encoder(path).encode_ordinary
-    if len(run) >= ratio * len(encode(run)):
+    tokens = len(encode(run))
+    if len(run) >= ratio * tokens:
         return False
+    if _WORD.match(run):
+        return WORD_MEAN * tokens - len(run) >= WORD_ERRORS * WORD_DEVIATION * tokens**0.5
     if not _IDENTIFIER.match(run):
         return True
     parts = _LETTERS.findall(run)
