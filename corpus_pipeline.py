@@ -1,15 +1,14 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes the documents that the one before kept and returns the columns of `documents`;
-the last returns packed pieces. Rows are documents by doc_id; a null doc_id counts as a negative
-number made of the text. Extra columns pass through all stages but the last.
+the last returns packed pieces. Rows are documents; a null doc_id counts as a negative number
+made of the text. Extra columns pass through all stages but the last.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from faultline.llm import common, decontaminate, packing, quality, queries, secrets, simhash
 from faultline.session import cut_lineage
@@ -17,7 +16,7 @@ from faultline.session import cut_lineage
 #: SQL cannot express SimHash, trained scores or byte-pair ids; tests use brute force instead.
 ORACLE_SQL = None
 
-_MARK = "_pipeline_mark"
+_MARK, _OWN, _BODY = "_pipeline_mark", "_pipeline_own", "_pipeline_body"
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,18 +27,23 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate group.
+    """Keeps one row of each near-duplicate group: the smallest id's, of several the one with the
+    smallest hash of its text.
 
-    Repeated rows of an id are one document: the row with the smallest hash of its text stays.
+    Rows are grouped by their own fingerprints: rows of one id with unrelated texts are in different
+    groups, and each group keeps a row.
     """
     common.prepare(spark)
     body = F.coalesce(F.col("text"), F.lit(""))
     own = F.coalesce(F.col("doc_id"), F.xxhash64(body).bitwiseOR(F.lit(-(1 << 63))))
-    found = simhash.near_duplicates(docs.select(own.alias("doc_id"), "text"))
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(_MARK)).distinct()
-    rows = docs.withColumn(_MARK, own).join(kept, _MARK, "left_semi")
-    first = Window.partitionBy(_MARK).orderBy(F.xxhash64(body))
-    rows = rows.withColumn("_pipeline_place", F.row_number().over(first)).where("_pipeline_place = 1")
+    # A row's name is a hash of its id and text; equal rows share one.
+    marked = docs.withColumns({_MARK: F.xxhash64(own, body), _OWN: own, _BODY: F.xxhash64(body)})
+    named = marked.groupBy(_MARK).agg(F.min(_OWN).alias(_OWN), F.min(_BODY).alias(_BODY))
+    found = simhash.near_duplicates(marked.select(F.col(_MARK).alias("doc_id"), "text"))
+    groups = found.select(F.col("doc_id").alias(_MARK), "component_id").distinct()
+    kept = groups.join(named, _MARK).groupBy("component_id").agg(
+        F.min(F.struct(_OWN, _BODY, _MARK)).alias("least")).select(F.col("least")[_MARK].alias(_MARK))
+    rows = marked.join(kept, _MARK, "left_semi").dropDuplicates([_MARK])
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
