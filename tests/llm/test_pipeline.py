@@ -1,11 +1,14 @@
 """The pipeline stage by stage, and the registered query."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from faultline.llm import common, decontaminate, queries, secrets
+from faultline.llm import common, decontaminate, queries, secrets, simhash
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.01"
@@ -52,6 +55,43 @@ def test_odd_rows_pass_all_stages(spark):
     assert corpus_pipeline.pack_documents(spark, docs, SF).count() >= len(got)
 
 
+def test_each_group_keeps_one_row(spark):
+    """Repeated ids with unrelated texts, planted copies, near copies and equal rows against brute force."""
+    common.prepare(spark)
+    rng = random.Random(11)
+
+    def text(n):
+        return " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+
+    rows = []
+    for i in range(60):
+        words = text(400).split()
+        rows.append((rng.randrange(40), " ".join(words)))
+        for _ in range(rng.randrange(3)):
+            copy = list(words)
+            if rng.random() < 0.5:
+                copy[rng.randrange(len(copy))] = "changed"
+            rows.append((rng.randrange(40), " ".join(copy)))
+    rows += [(7, "same row twice " * 5)] * 3 + [(None, text(30)), (None, text(30)), (7, None), (8, "")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, least string")
+    prints = [simhash.fingerprint((t or "").encode(), 4) for _, t in rows]
+    links = simhash.pairs_by_force(np.array(prints, dtype=np.uint64), 4)
+    groups = {p: {p} for p in prints}
+    for a, b in links:
+        merged = groups[a] | groups[b]
+        for p in merged:
+            groups[p] = merged
+    stays = corpus_pipeline.drop_near_copies(spark, docs, SF).collect()
+    assert docs.columns == list(stays[0].asDict())
+    of = {(d, t): min(groups[p]) for (d, t), p in zip(rows, prints)}
+    assert sorted(of[r.doc_id, r.text] for r in stays) == sorted({min(groups[p]) for p in prints})
+    least = {}
+    for (d, _), p in zip(rows, prints):
+        key = min(groups[p])
+        least[key] = min(least.get(key, 1 << 62), -1 if d is None else d)
+    assert all((-1 if r.doc_id is None else r.doc_id) == least[of[r.doc_id, r.text]] for r in stays)
+
+
 def test_empty_documents(spark):
     common.prepare(spark)
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
@@ -68,6 +108,6 @@ def test_query_equals_its_twin(spark, name):
 
 def test_every_operator_and_the_pipeline_are_registered():
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert "pipeline" in names and len(corpus_pipeline.STAGES) == 5
