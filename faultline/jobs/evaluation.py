@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from faultline.functions.statistics import null_strict_sum
 from faultline.operators import evaluate as V
 from faultline.operators import reporting as R
+from faultline.operators import usage as U
 from faultline.session import configure, cut_lineage
 from faultline.sources import case_files
 
@@ -60,3 +61,35 @@ def evaluated_runs(records: DataFrame, cases: DataFrame, max_calls: int) -> Data
         "eligible": F.coalesce(F.col("efficiency_eligible"), F.lit(False)),
         "tool_calls": F.col("tool_calls_executed"),
     })
+
+
+def priced_runs(runs: DataFrame, responses: DataFrame, rates: DataFrame) -> DataFrame:
+    """F53/F54. Runs with their input breakdown, cost and currency.
+
+    `responses`: run_id, usage; `rates` per model: currency and the rates of `estimated_cost`. A run
+    without responses, or of a model without rates, has no cost.
+    """
+    parts = U.input_breakdown(responses, ["run_id"])
+    joined = runs.join(parts, "run_id", "left").join(rates, "model", "left").withColumns({
+        c: F.coalesce(c, F.lit(False)) for c in ("cache_breakdown_complete", "cache_creation_known")})
+    priced = joined.withColumn("cost", U.estimated_cost())
+    return priced.select(*runs.columns, *[c for c in parts.columns if c != "run_id"], "currency", "cost")
+
+
+def adjudicated_runs(
+    runs: DataFrame, decisions: DataFrame, humans: DataFrame, judges: tuple[str, ...],
+    packet: list[str], binding: list[str],
+) -> DataFrame:
+    """F49-F51. Evaluated runs after the judges' decisions on those whose evidence was in doubt.
+
+    `packet` is what judges see, `binding` what ties a candidate to its run; together they tell runs
+    apart. A missing, doubled or misplaced decision ends the job with the candidate's name.
+    """
+    queued = cut_lineage(
+        runs.where(V.needs_adjudication()).select("run_id", V.candidate_id(packet, binding).alias("candidate")), "queue"
+    )
+    resolved = V.resolve_adjudication(queued, decisions, humans, judges)
+    message = F.raise_error(F.concat_ws(": ", "problem", "candidate")).cast("boolean")
+    sound = resolved.where(F.when(F.col("problem").isNull(), F.lit(True)).otherwise(message))
+    accepted = queued.join(sound, "candidate").select("run_id", "sufficient")
+    return V.apply_adjudication(runs.withColumn("semantic_adjudication_required", V.needs_adjudication()), accepted)

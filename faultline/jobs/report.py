@@ -8,15 +8,46 @@ table is written.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from faultline.operators import pairing as P
 from faultline.operators import reporting as R
+from faultline.operators import usage as U
 from faultline.session import configure, cut_lineage
 from faultline.sources.sinks import write_report
 
 PAIR = ["model", "case_id", "repetition"]
 
 
+Tables = dict[str, tuple[DataFrame, list[str]]]
+
+USAGE_FIELDS = ["input_tokens", "output_tokens", "rows_returned"]
+
+
+def usage_tables(runs: DataFrame, usd_rates: DataFrame) -> Tables:
+    """Tokens, spend and cost status, each table with its order.
+
+    `runs`: model, case_id, repetition, treatment, tokens, rows_returned, cost, currency and
+    cache_breakdown_complete; `usd_rates`: currency, per_unit_usd. A run without a price has a null
+    cost, and every sum over it is null; what is known stands beside it per currency.
+    """
+    parts = runs.groupBy("model", "treatment").agg(
+        F.when(F.count("cost") == F.count(F.lit(1)), F.sum("cost")).alias("cost"),
+        F.when(F.min("currency") == F.max("currency"), F.min("currency")).alias("currency"),
+        F.bool_or(F.col("cost").isNotNull()).alias("cost_available"),
+        F.coalesce(F.bool_and("cache_breakdown_complete"), F.lit(False)).alias("breakdown_complete"),
+    ).withColumnRenamed("treatment", "cohort")
+    report = cut_lineage(U.cost_report(parts), "costs")
+    return {
+        "usage": (U.usage_totals(runs, ["model", "treatment"], USAGE_FIELDS), ["model", "treatment"]),
+        "usage_by_treatment": (U.usage_by_treatment(runs, usd_rates), ["treatment"]),
+        "spend": (U.spend_by_currency(runs), ["treatment", "currency"]),
+        "cost_status": (report, ["model"]),
+        "cost_totals": (U.cost_totals(report), ["currency"]),
+        "cost_in_usd": (U.cross_currency_total(report, usd_rates), ["usd_total"]),
+    }
+
+
 def measurement_report(
     runs: DataFrame,
     cases: DataFrame,
@@ -26,8 +57,9 @@ def measurement_report(
     family_size: int,
     path: str,
     zero_for_null: tuple[str, ...] = (),
+    usd_rates: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Writes the report tables below `path` and returns them.
+    """Writes the report tables below `path` and returns them; with `usd_rates` also usage and cost.
 
     `runs`: model, case_id, repetition, treatment, eligible, diagnosis_correct, the match
     flags of the rubric and the metrics. Missing arms are reported, not skipped silently.
@@ -58,6 +90,8 @@ def measurement_report(
             ["causal_scope", "treatment", "model"],
         ),
     }
+    if usd_rates is not None:
+        tables |= usage_tables(runs, usd_rates)
     for name, (table, order) in tables.items():
         write_report(table, f"{path}/{name}", order)
     spark = runs.sparkSession

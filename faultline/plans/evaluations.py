@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faultline.functions import windows as W
+from faultline.jobs.evaluation import adjudicated_runs
 from faultline.operators import evaluate as V
 from faultline.plans.registry import query
 
@@ -478,3 +479,23 @@ def load(t):
 def positions(t):
     counts = V.call_counts(t.calls, t.citations)
     return counts.where(F.col("first_cited").isNotNull()).select("run_id", "first_cited")
+
+
+ADJUDICATED = f""", e AS (SELECT run_id, output_tokens AS p, required_evidence_covered AS c, eligible, {QUEUED} AS queued FROM runs)
+  SELECT run_id, CASE WHEN queued AND p % 2 = 1 THEN true ELSE c END AS required_evidence_covered,
+    CASE WHEN queued AND p % 2 = 1 THEN true ELSE eligible END AS efficiency_eligible,
+    queued AND p % 2 = 0 AS semantic_adjudication_required FROM e"""
+
+
+@query("f51_adjudication_job", "runs", ADJUDICATED)
+def adjudication_job(t):
+    """Queue, unanimous decisions and overlay in one run of the job."""
+    rows = judged_runs(t)
+    rows = rows.withColumns({"efficiency_eligible": F.col("eligible"), "auditable_completion": F.col("eligible")})
+    doubted = rows.where(V.needs_adjudication())
+    decided = doubted.select(
+        V.candidate_id(PACKET, BINDING).alias("candidate"), F.explode(F.array(*[F.lit(j) for j in JUDGES])).alias("judge"),
+        (F.col("output_tokens") % 2 == 1).alias("sufficient"), F.array(F.lit(1).cast("long")).alias("ordinals"))
+    nobody = decided.select("candidate", "sufficient", "ordinals").limit(0)
+    done = adjudicated_runs(rows, decided, nobody, JUDGES, PACKET, BINDING)
+    return done.select("run_id", "required_evidence_covered", "efficiency_eligible", "semantic_adjudication_required")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faultline.functions import windows as W
+from faultline.jobs.selection import select_cases
 from faultline.operators import callgraph as G
 from faultline.operators import evidence as E
 from faultline.operators import selection as S
@@ -704,3 +705,28 @@ def eligible(t):
     return S.eligible_candidates(
         manifest(t), ["PodFailure", "CPUStress"], ["sys0", "sys1"], exclusions(t)
     ).select("name")
+
+
+# Half of the smallest stratum of the smallest table, in every stratum.
+JOB_QUOTAS = {(m, f"sys{n}"): 1 for m in ("network", "resource") for n in (0, 1)}
+JOB_KINDS = {"PodFailure": "network", "CPUStress": "resource"}
+
+
+@query(
+    "g4_selection_job",
+    "",
+    f"""WITH {EXCLUDED}, c AS (SELECT c_name AS name, 'sys' || (c_nationkey % 3) AS system,
+            CASE c_custkey % 4 WHEN 0 THEN 'network' ELSE 'resource' END AS mechanism, c_acctbal > 0 AS passed FROM customer
+          WHERE c_custkey % 4 <= 1 AND c_nationkey % 3 <= 1 AND c_custkey % 5 <> 0
+            AND c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 AND c_name NOT IN (SELECT name FROM x)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY mechanism ORDER BY sha256('seed-9:' || mechanism || ':' || name)) AS rank
+              FROM c),
+        p AS (SELECT *, row_number() OVER (PARTITION BY mechanism, system ORDER BY rank) AS position FROM r WHERE passed)
+        SELECT name, mechanism, system, rank, position, row_number() OVER (ORDER BY mechanism, rank) AS number
+        FROM p WHERE position <= 1""",
+)
+def selection_job(t):
+    audits = t.table("customer").select(F.col("c_name").alias("name"), (F.col("c_acctbal") > 0).alias("passed"))
+    known = exclusions(t).join(manifest(t).select("name"), "name", "left_semi")
+    return select_cases(manifest(t), known, audits, JOB_KINDS, ["sys0", "sys1"], JOB_QUOTAS, "seed-9").select(
+        "name", "mechanism", "system", "rank", "position", "number")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faultline.jobs.evaluation import evaluated_runs
+from faultline.jobs.report import usage_tables
 from faultline.operators import pairing as P
 from faultline.operators import reporting as R
 from faultline.operators import usage as U
@@ -1217,3 +1218,18 @@ def records_to_holm(t):
         "model", "metric", F.round("sign_test_p", 9).alias("sign_test_p"),
         F.round("holm_adjusted_p", 9).alias("holm_adjusted_p"),
     )
+
+
+@query(
+    "f58_report_job",
+    "runs",
+    """, m AS (SELECT model, CASE WHEN count(cost) = count(*) THEN sum(cost) END AS cost, min(currency) AS currency,
+                bool_or(cost IS NOT NULL) AS some FROM runs GROUP BY model)
+        SELECT model, CASE WHEN cost IS NOT NULL THEN 'available' ELSE 'not_estimable' END AS status,
+          round(cost, 4) AS estimated_cost, currency, CASE WHEN cost IS NULL THEN 'usage_not_priceable' END AS reason_code FROM m""",
+)
+def report_job(t):
+    """Cost status per model, as the report job derives it from priced runs."""
+    runs = t.runs.withColumn("cache_breakdown_complete", F.lit(True))
+    status, _ = usage_tables(runs, usd_rates(t))["cost_status"]
+    return status.withColumn("estimated_cost", F.round("estimated_cost", 4))
