@@ -13,6 +13,7 @@ empty text as id. An empty benchmark finds nothing.
 from __future__ import annotations
 
 import hashlib
+from fractions import Fraction
 from collections import defaultdict
 
 import pandas as pd
@@ -128,8 +129,9 @@ def mark_contaminated(
     """Adds a struct (n_words, n_hit, items, contaminated) to every row; other columns stay.
 
     A document is contaminated if words are hit and these are at least `share` of its words.
-    The benchmark is read in groups of about TABLE_CHARS characters, one table set each, so that
-    no task holds more than one group's tables for any benchmark size.
+    The benchmark is read in groups of about TABLE_CHARS characters, one table set each. Its items are
+    collected and shipped with the functions that search them, so driver and workers hold a benchmark
+    as a whole; it is a fixed test set and does not grow with the documents.
     """
     items = benchmark.select(
         F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"),
@@ -145,8 +147,7 @@ def mark_contaminated(
         docs = docs.withColumn(name, _search_column(F.col(text), rows, window))
         found.append(name)
 
-    every = F.lit(int(round(1 / share)))
-
+    least = Fraction(str(share))
     @F.pandas_udf("long")
     def covered(spans: pd.Series) -> pd.Series:
         # Groups overlap; merging counts a word once.
@@ -168,7 +169,7 @@ def mark_contaminated(
     return docs.withColumn(
         into,
         F.struct(n_words.alias("n_words"), n_hit.alias("n_hit"), listed.alias("items"),
-                 ((n_hit > 0) & (every * n_hit >= n_words)).alias("contaminated")),
+                 ((n_hit > 0) & (n_hit * least.denominator >= n_words * least.numerator)).alias("contaminated")),
     ).drop(*found)
 
 

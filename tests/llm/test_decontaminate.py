@@ -73,3 +73,16 @@ def test_the_share_is_of_all_words(spark):
     docs = spark.createDataFrame([(n, item + " z" * (n - 13)) for n in (13, 260, 261)], "doc_id long, text string")
     got = {r.doc_id: r.benchmark_hits.contaminated for r in decontaminate.mark_contaminated(docs, benchmark).collect()}
     assert got == {13: True, 260: True, 261: False}
+
+
+def test_any_share_is_compared_in_whole_numbers(spark):
+    """13 hit words of n: contaminated up to n = 13 / share exactly."""
+    common.prepare(spark)
+    window = " ".join(f"b{i}" for i in range(13))
+    sizes = [40, 42, 43, 44, 300, 325, 326]
+    docs = spark.createDataFrame([(n, window + " x" * (n - 13)) for n in sizes], "doc_id long, text string")
+    items = spark.createDataFrame([("i", window)], "item_id string, text string")
+    for share in (0.3, 0.04):
+        marked = decontaminate.mark_contaminated(docs, items, share=share)
+        got = {r.doc_id for r in marked.collect() if r.benchmark_hits.contaminated}
+        assert got == {n for n in sizes if 13 * 100 >= n * round(share * 100)}
