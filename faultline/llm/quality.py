@@ -91,10 +91,11 @@ class Neighbours:
         if not k:
             return out
         cosines = z @ self.vectors.T
-        if k < len(self.labels):
-            near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-        else:
-            near = np.broadcast_to(np.arange(k), (len(z), k))
+        # The k largest; of those equal to the smallest of them, the first positions.
+        last = -np.partition(-cosines, k - 1, axis=1)[:, k - 1:k]
+        above, level = cosines > last, cosines == last
+        wanted = k - above.sum(axis=1, keepdims=True)
+        near = np.nonzero(above | (level & (level.cumsum(axis=1) <= wanted)))[1].reshape(len(z), k)
         weight = np.maximum(np.take_along_axis(cosines, near, axis=1), 0) ** POWER
         total = weight.sum(axis=1)
         some = total > 0
@@ -115,15 +116,18 @@ def fit_neighbours(
     """Fits on the documents of at most `bound` label rows, those with the smallest hash.
 
     The bound is what keeps the broadcast model small; it is the only sample taken. The chosen
-    label rows are few, so they go to the documents and no text is shuffled.
+    label rows are few, so they go to the documents, and only chosen texts are shuffled. Equal rows of
+    a document count once for each of its label rows; where chosen ids have many texts, the bound holds for their rows too.
     """
     usable = labels.select(
         F.col(key).alias("labelled"), F.col(label).cast("int").alias("label"),
         F.xxhash64(F.col(key), F.col(label)).alias("place"),
     ).where(F.col("label").isin(0, 1) & F.col("labelled").isNotNull())
-    chosen = common.smallest(usable, "place", ["label"], bound)
+    chosen = common.smallest(usable, "place", ["label"], bound).withColumn("copy", F.monotonically_increasing_id())
     sample = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(
-        F.broadcast(chosen), F.col("key") == F.col("labelled")).select("text", "label", "place")
+        F.broadcast(chosen), F.col("key") == F.col("labelled")).select("text", "label", "place", F.xxhash64("text").alias("body"), "copy")
+    order = ["place", "label", "body", "copy"]
+    sample = sample.dropDuplicates(order).orderBy(*order).limit(bound).repartition(common.parts(docs.sparkSession))
     rows = common.map_batches(
         sample,
         lambda b: {

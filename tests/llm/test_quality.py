@@ -73,3 +73,27 @@ def test_nothing_labelled_and_nothing_to_score(spark):
     docs = spark.createDataFrame([(1, "text")], "doc_id long, text string")
     assert quality.score_column(docs, model).first().score == 0.5
     assert quality.score_column(docs.limit(0), model).count() == 0
+
+
+def test_ties_go_to_the_first_positions():
+    """Equal cosines beyond the k-th place are left out from the end, against sorting."""
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-1, 2, (40, 3)).astype(np.float32)
+    labels = rng.integers(0, 2, 40).astype(np.float64)
+    one = np.ones(quality.WIDTH, np.float32)
+    model = quality.Neighbours(one, one, np.zeros((quality.WIDTH, 3), np.float32), vectors, labels, 7)
+    z = rng.integers(-1, 2, (30, 3)).astype(np.float32)
+    for row, got in zip(z, model.votes(z)):
+        cosine = vectors @ row
+        near = sorted(range(40), key=lambda i: (-cosine[i], i))[:7]
+        weight = np.maximum(cosine[near], 0) ** quality.POWER
+        expected = (weight * labels[near]).sum() / weight.sum() if weight.sum() else labels.mean()
+        assert abs(got - expected) < 1e-6
+
+
+def test_repeated_rows_of_a_labelled_document_are_bounded(spark):
+    common.prepare(spark)
+    docs = spark.createDataFrame([(1, f"text {i % 50} of one id") for i in range(400)] + [(2, "other text")], "doc_id long, text string")
+    known = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, label int")
+    assert len(quality.fit_neighbours(docs, known).labels) == 51
+    assert len(quality.fit_neighbours(docs, known, bound=20).labels) == 20
