@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,6 +111,19 @@ def effect_summary(effects: DataFrame, keys: list[str], value: str = "case_media
     )
 
 
+#: Slices of p below the first even one, for each factor of e.
+SLICES_PER_E = 16
+
+
+def _slice_of(p: Column) -> Column:
+    """Slices of p that rise with it: even ones, and even ones of its logarithm below the first.
+
+    Many tests have a very small p; even slices alone would put them all into one.
+    """
+    small = F.floor((F.ln(p) + math.log(SLICES)) * SLICES_PER_E).cast("bigint") - 1
+    return F.when(p >= 1.0 / SLICES, F.floor(p * SLICES)).when(p > 0, small).otherwise(F.lit(-(1 << 40)))
+
+
 def holm(tests: DataFrame, family: list[str], p: str, size: Column | int) -> DataFrame:
     """F63/G3. Holm adjustment inside of families of a declared size.
 
@@ -121,7 +136,7 @@ def holm(tests: DataFrame, family: list[str], p: str, size: Column | int) -> Dat
     folded = tagged.where(F.col(p).isNotNull()).groupBy(*family, p).agg(
         F.count(F.lit(1)).alias("_n"), F.max("_m").alias("_m")
     )
-    sliced = folded.withColumn("_slice", F.floor(F.col(p) * SLICES))
+    sliced = folded.withColumn("_slice", _slice_of(F.col(p)))
     counted = running_sum(sliced, family, F.col("_slice"), [p], "_n", "_so_far")
     # The last test of a family sees them all, so this is where too many show.
     checked = F.when(
