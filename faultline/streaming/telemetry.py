@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from faultline.operators.callgraph import CLIENT, ERROR, SERVER
-from faultline.operators.evidence import transition_proven
 
 
 def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
@@ -126,39 +126,83 @@ def stream_period_facts(
     )
 
 
+class TransitionReporter(StatefulProcessor):
+    """K4. Counters of one identity and whether it was reported; all of it goes when its case ends."""
+
+    def __init__(self, keys: list[str], case_end: int):
+        self.keys, self.case_end = keys, case_end
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.facts = handle.getValueState("facts", "normal long, normal_high long, abnormal long, abnormal_high long, reported boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        if timerValues.getCurrentWatermarkInMs() >= self.case_end * 1000:
+            return  # the case is over and forgotten
+        known = self.facts.get() if self.facts.exists() else (0, 0, 0, 0, False)
+        counts, reported = list(known[:4]), known[4]
+        if not self.facts.exists():
+            self.handle.registerTimer(self.case_end * 1000)
+        for frame in rows:
+            normal, high = frame["normal"], frame["high"]
+            for at, flags in enumerate((normal, normal & high, ~normal, ~normal & high)):
+                counts[at] += int(flags.sum())
+        normal, normal_high, abnormal, abnormal_high = counts
+        proven = normal >= 1 and abnormal >= MINIMUM and normal_high == 0 and abnormal_high >= MINIMUM
+        self.facts.update((*counts, reported or proven))
+        if proven and not reported:
+            yield pd.DataFrame([dict(zip(self.keys, key))])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.facts.clear()
+        return iter([])
+
+
+#: Anomalous observations that prove a transition.
+MINIMUM = 2
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def detect_transitions(
     samples: DataFrame, keys: list[str], boundary: int, threshold: float, path: str,
-    case: tuple[int, int],
+    case: tuple[int, int], delay: str = "10 minutes",
 ) -> DataFrame:
     """K4. Identities of a case whose transition is proven, each reported once.
 
-    Every batch appends only identities that no earlier batch reported. A batch
-    that is run again after a failure overwrites its own folder.
+    State is one row per identity with a flag for what was reported, and a timer drops it at the end of
+    the case, so a batch costs what its rows cost, however many identities were reported before. The
+    file sink keeps a commit log: a batch that runs again replaces its own files.
     """
-    facts = stream_period_facts(samples, keys, boundary, threshold, case)
     spark = samples.sparkSession
-    reported = f"{path}/reported"
-    schema = facts.select(*keys).schema
-    with_batch = facts.select(*keys, F.lit(0).cast("long").alias("batch")).schema
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        proven = batch.where(transition_proven()).select(*keys)
-        fresh = proven
-        if batch_id > 0:
-            known = session.read.schema(with_batch).parquet(reported)
-            fresh = proven.join(known.where(F.col("batch") < batch_id), keys, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{reported}/batch={batch_id}")
-
-    query = (
-        facts.writeStream.outputMode("update")
-        .option("checkpointLocation", f"{path}/checkpoint")
-        .foreachBatch(merge)
-        .trigger(availableNow=True)
-        .start()
+    kept = spark.conf.get(STATE_PROVIDER, None)
+    spark.conf.set(STATE_PROVIDER, ROCKS)
+    seconds = F.unix_seconds("ts")
+    # The time itself stays behind, so that rows count until the watermark has passed the whole case.
+    inside = samples.withWatermark("ts", delay).where(seconds.between(case[0], case[1] - 1)).select(
+        *keys, (seconds < boundary).alias("normal"),
+        F.coalesce(F.col("value") >= F.lit(threshold), F.lit(False)).alias("high"),
     )
-    query.awaitTermination()
-    return spark.read.schema(with_batch).parquet(reported).select(*keys)
+    schema = samples.select(*keys).schema
+    found = inside.groupBy(*keys).transformWithStateInPandas(
+        TransitionReporter(keys, case[1]), schema, "Append", "EventTime")
+    try:
+        query = (
+            found.writeStream.format("parquet").outputMode("append")
+            .option("checkpointLocation", f"{path}/checkpoint")
+            .option("path", f"{path}/reported")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        if kept is None:
+            spark.conf.unset(STATE_PROVIDER)
+        else:
+            spark.conf.set(STATE_PROVIDER, kept)
+    return spark.read.schema(schema).parquet(f"{path}/reported")
 
 
 # The sliding input budget of a provider.

@@ -98,6 +98,25 @@ def test_transitions_are_reported_once(spark, tmp_path):
     assert [r.metric for r in got] == ["good"]
 
 
+def test_transitions_after_a_restart(spark, tmp_path):
+    """State and reports survive a restart; nothing is told twice, and the case's end drops what is known."""
+    boundary = int((at(100) - dt.datetime(1970, 1, 1)).total_seconds())
+    first = [[(at(1), "good", 1.0), (at(1), "slow", 1.0), (at(101), "good", 9.0), (at(101), "good", 9.0), (at(101), "slow", 9.0)]]
+    later = [[(at(105), "good", 9.0), (at(106), "slow", 9.0)], [(at(9_000), "end", 0.0)],
+             [(at(2), "late", 1.0), (at(110), "late", 9.0), (at(111), "late", 9.0)]]
+    case, out = (boundary - 100, boundary + 100), str(tmp_path / "out")
+    rows = stream(spark, tmp_path, SAMPLE, *first)
+    got = S.detect_transitions(rows, ["metric"], boundary, 5.0, out, case, "1 minute").collect()
+    assert [r.metric for r in got] == ["good"]
+    for i, batch in enumerate(later, start=1):
+        part = tmp_path / f"more-{i}"
+        spark.createDataFrame(batch, SAMPLE).coalesce(1).write.parquet(str(part))
+        (tmp_path / "stream" / f"{i:03d}.parquet").write_bytes(next(part.glob("part-*.parquet")).read_bytes())
+    got = S.detect_transitions(rows, ["metric"], boundary, 5.0, out, case, "1 minute").collect()
+    # Rows that come after the watermark has passed the case are late.
+    assert sorted(r.metric for r in got) == ["good", "slow"]
+
+
 def test_token_windows(spark, tmp_path):
     rows = stream(
         spark, tmp_path, "ts timestamp, provider string, tokens long",
