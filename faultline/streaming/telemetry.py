@@ -103,29 +103,6 @@ def stream_distinct_samples(
     return samples.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
-def stream_period_facts(
-    samples: DataFrame, keys: list[str], boundary: int, threshold: float, case: tuple[int, int],
-    delay: str = "10 minutes",
-) -> DataFrame:
-    """K4. Running threshold facts per identity within a case, for update mode.
-
-    `case` is the half-open window [start, end) in seconds. State is one row of counters per
-    identity and case, and goes when the watermark passes the end of the case; rows combine
-    map-side, so a busy identity sends one row per task and batch.
-    """
-    width = case[1] - case[0]
-    window = F.window("ts", f"{width} seconds", startTime=f"{case[0] % width} seconds")
-    normal = F.unix_seconds("ts") < F.lit(boundary)
-    high = F.col("value") >= F.lit(threshold)
-    inside = samples.withWatermark("ts", delay).where(F.unix_seconds("ts").between(case[0], case[1] - 1))
-    return inside.groupBy(window, *keys).agg(
-        F.count_if(normal).alias("normal_count"),
-        F.count_if(normal & high).alias("normal_high_count"),
-        F.count_if(~normal).alias("abnormal_count"),
-        F.count_if(~normal & high).alias("abnormal_high_count"),
-    )
-
-
 class TransitionReporter(StatefulProcessor):
     """K4. Counters of one identity and whether it was reported; all of it goes when its case ends."""
 
