@@ -7,8 +7,9 @@ only fingerprints below the same top node can link there. Below, node pairs are
 together: each level adds the differing bit of the two branches to the pair's budget, and pairs
 beyond it are dropped with everything below them.
 
-A top node may be hot. Its fingerprints are dealt by their next bits into cells of about `CELL`
-members, and each pair of cells whose own bits already fit the budget is one task. A task reports
+A top node may be hot. Its distinct fingerprints are dealt by a hash into cells of about `CELL`
+members, and each pair of cells is one task; pruning happens inside of it, so a node of m
+fingerprints is copied m / `CELL` times. A task reports
 a spanning forest of the links that it finds, never all pairs, so a group of n near copies gives
 less than n edges a task. Components are found by alternating star contractions, with every round
 written to the shared checkpoint folder.
