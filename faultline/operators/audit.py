@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from faultline.functions import normalize as N
 from faultline.functions import windows as W
 from faultline.operators.callgraph import EDGE
-from faultline.session import cut_lineage
 
 
 def table_stats(rows: DataFrame, table: str, ts: str) -> DataFrame:
@@ -260,15 +259,17 @@ def _alike(source: DataFrame, stored: DataFrame, keys: list[str]) -> tuple[DataF
 
 def _audited(
     source: DataFrame, stored: DataFrame, keys: list[str], buckets: int
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Compared buckets (written), and the records of both sides in buckets that differ."""
+) -> tuple[int, int, DataFrame, DataFrame]:
+    """Rows of both sides, and the records of both in buckets that differ.
+
+    The driver gets one row of numbers per bucket.
+    """
     left, right = _alike(source, stored, keys)
-    compared = cut_lineage(
-        compared_buckets(bucket_digests(left, keys, buckets), bucket_digests(right, keys, buckets)), "digests"
-    )
-    changed = [r[0] for r in compared.where("changed").select(BUCKET).collect()]
+    compared = compared_buckets(bucket_digests(left, keys, buckets), bucket_digests(right, keys, buckets)).collect()
+    changed = [r[BUCKET] for r in compared if r["changed"]]
     in_changed = record_bucket(keys, buckets).isin(changed)
-    return compared, left.where(in_changed), right.where(in_changed)
+    sizes = (sum(r["left_rows"] for r in compared), sum(r["right_rows"] for r in compared))
+    return *sizes, left.where(in_changed), right.where(in_changed)
 
 
 def record_copies(source: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
@@ -282,19 +283,6 @@ def record_copies(source: DataFrame, stored: DataFrame, keys: list[str]) -> Data
     )
 
 
-def _total(name: str) -> Column:
-    return F.coalesce(F.sum(name), F.lit(0)).alias(name)
-
-
-def _stacked(parts: list[DataFrame], names: list[str]) -> DataFrame:
-    """One row of sums over frames that each know some of the numbers."""
-    filled = [p.select(*[F.col(n) if n in p.columns else F.lit(0).cast("long").alias(n) for n in names]) for p in parts]
-    stack = filled[0]
-    for more in filled[1:]:
-        stack = stack.unionByName(more)
-    return stack.agg(*[_total(n) for n in names])
-
-
 def multiset_difference(
     source: DataFrame, stored: DataFrame, keys: list[str], buckets: int = RECORD_BUCKETS
 ) -> DataFrame:
@@ -302,15 +290,17 @@ def multiset_difference(
 
     Digests of hash buckets are compared first; only records in buckets that differ are shuffled.
     """
-    compared, left, right = _audited(source, stored, keys, buckets)
+    source_rows, stored_rows, left, right = _audited(source, stored, keys, buckets)
     gap = F.col("source_copies") - F.col("stored_copies")
-    found = record_copies(left, right, keys).agg(
-        F.sum(F.greatest(gap, F.lit(0))).alias("missing_rows"), F.sum(F.greatest(-gap, F.lit(0))).alias("extra_rows")
-    )
-    sizes = compared.select(F.col("left_rows").alias("source_rows"), F.col("right_rows").alias("stored_rows"))
-    names = ["source_rows", "stored_rows", "missing_rows", "extra_rows"]
-    return _stacked([sizes, found], names).withColumn(
-        "equal", (F.col("missing_rows") == 0) & (F.col("extra_rows") == 0)
+    return (
+        record_copies(left, right, keys)
+        .agg(
+            F.lit(source_rows).cast("long").alias("source_rows"),
+            F.lit(stored_rows).cast("long").alias("stored_rows"),
+            F.coalesce(F.sum(F.greatest(gap, F.lit(0))), F.lit(0)).alias("missing_rows"),
+            F.coalesce(F.sum(F.greatest(-gap, F.lit(0))), F.lit(0)).alias("extra_rows"),
+        )
+        .withColumn("equal", (F.col("missing_rows") == 0) & (F.col("extra_rows") == 0))
     )
 
 
@@ -350,7 +340,7 @@ def difference_examples(
     source: DataFrame, stored: DataFrame, keys: list[str], examples: int = 3, buckets: int = RECORD_BUCKETS
 ) -> DataFrame:
     """I2. The first missing and the first extra records, in key order, from buckets that differ."""
-    _, left, right = _audited(source, stored, keys, buckets)
+    _, _, left, right = _audited(source, stored, keys, buckets)
     copies = record_copies(left, right, keys)
     order = [F.col(k).asc() for k in keys]
 
