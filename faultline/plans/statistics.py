@@ -227,7 +227,7 @@ def holm_suppliers(t):
     tests = t.table("supplier").select(
         "s_suppkey", "s_nationkey", ((F.col("s_suppkey") % 37 + 1) / 4000.0).alias("p")
     )
-    return P.holm(tests, ["s_nationkey"], "p", 500).select(
+    return P.holm(tests, ["s_nationkey"], "p", 500, overfull=True).select(
         "s_suppkey", F.round("holm_adjusted_p", 9).alias("holm_adjusted_p")
     )
 
