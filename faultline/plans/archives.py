@@ -49,8 +49,8 @@ def by_period(archive, name, rows):
 POINT_ATTRIBUTES = ["k8s.container.name", "k8s.pod.name"]
 
 
-def gauge_rows(t):
-    return t.points.select(
+def gauge_rows(points):
+    return points.select(
         F.col("ts_ns").alias("time"), "metric", "value",
         F.when(F.col("k") % 6 > 0, F.col("service_name")).alias("service_name"),
         F.col("container").alias("attr.k8s.container.name"),
@@ -68,7 +68,7 @@ PERIOD = "CASE WHEN ts_s < 1705276800 THEN 'normal' ELSE 'abnormal' END"
           container, CASE WHEN k % 2 = 0 THEN pod END AS pod, {PERIOD} AS period FROM points""",
 )
 def numbers(t):
-    paths = by_period(Archive(t), "metrics", gauge_rows(t))
+    paths = by_period(Archive(t), "metrics", gauge_rows(t.points))
     rows = wide_archive.read_numbers(t.spark, paths, attributes=POINT_ATTRIBUTES)
     return rows.select(
         "metric", "ts_ns", "value", "service_name",
@@ -118,9 +118,7 @@ def histograms(t):
 def projected(t):
     """The whole metric projection: gauges and histograms to collapsed samples."""
     archive = Archive(t)
-    gauges = gauge_rows(t).where(F.lit(True)).join(
-        t.points.where(F.col("k") % 2 == 0).select(F.col("ts_ns").alias("time")), "time", "left_semi"
-    )
+    gauges = gauge_rows(t.points.where(F.col("k") % 2 == 0))
     numbers_ = wide_archive.point_labels(
         wide_archive.read_numbers(t.spark, by_period(archive, "metrics", gauges), attributes=POINT_ATTRIBUTES)
     )

@@ -47,3 +47,9 @@ def test_families_larger_than_declared_follow_the_formula(spark, tables):
     folder = tables(supplier=lambda s: repeated(s, 60, s_suppkey=1000).withColumn(
         "s_nationkey", F.lit(3)).withColumn("s_suppkey", F.col("s_suppkey").cast("bigint")))
     assert difference(spark, folder, "g3_holm_over_suppliers") is None
+
+
+def test_gauges_of_other_points_at_the_same_time_stay_out(spark, tables):
+    # All events of an hour share their time, so an even and an odd point meet.
+    folder = tables(events=lambda e: e.withColumn("ts", F.date_trunc("hour", F.col("ts")).cast(e.schema["ts"].dataType)))
+    assert difference(spark, folder, "a1_projected_series") is None
