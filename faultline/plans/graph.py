@@ -503,7 +503,8 @@ class StoredSpans:
 
     def __init__(self, t):
         path = work_dir(t.spans.sparkSession, "spans")
-        self.spans = sinks.write_spans(t.spans, f"spans_{uuid.uuid4().hex}", path, buckets=8)
+        buckets = sinks.span_buckets(t.spans)
+        self.spans = sinks.write_spans(t.spans, f"spans_{uuid.uuid4().hex}", path, buckets)
 
 
 # The same questions to the stored table: equal rows, no Exchange before or after the join.

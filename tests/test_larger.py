@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from faultline.plans import graph, views
+from faultline.sources import sinks
 from tests import oracle
 
 SF = "/root/testdata/sf0.001"
@@ -53,3 +55,12 @@ def test_gauges_of_other_points_at_the_same_time_stay_out(spark, tables):
     # All events of an hour share their time, so an even and an odd point meet.
     folder = tables(events=lambda e: e.withColumn("ts", F.date_trunc("hour", F.col("ts")).cast(e.schema["ts"].dataType)))
     assert difference(spark, folder, "a1_projected_series") is None
+
+
+def test_buckets_of_stored_spans_keep_their_size(spark, monkeypatch):
+    monkeypatch.setattr(sinks, "SPANS_PER_BUCKET", 200)
+    t = views.Tables(spark, SF)
+    stored = graph.StoredSpans(t).spans
+    per_bucket = stored.groupBy(F.regexp_extract(F.input_file_name(), r"_(\d{5})\.c", 1).alias("b")).count()
+    n, most = per_bucket.agg(F.count("b"), F.max("count")).first()
+    assert n >= t.spans.count() / 200 * 0.9 > 8 and most < 400
