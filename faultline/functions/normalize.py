@@ -75,27 +75,30 @@ def iso_to_nanoseconds(text: Column | str, strict: bool = True) -> Column:
     Integer arithmetic only: a double would lose the last three digits.
     """
     t = _c(text)
-    base = F.regexp_extract(t, _ISO, 1)
-    fraction = F.regexp_extract(t, _ISO, 2)
-    zone = F.regexp_extract(t, _ISO, 3)
-    digits = F.regexp_replace(zone, "[^0-9]", "")
-    offset = F.when(zone.isin("", "Z"), F.lit(0)).otherwise(
-        F.when(zone.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
-        * (
-            F.substring(digits, 1, 2).try_cast("int") * 3600
-            + F.substring(digits, 3, 2).try_cast("int") * 60
+    parts = F.array(*[F.regexp_extract(t, _ISO, group) for group in (1, 2, 3)])
+
+    def value(part: Column) -> Column:
+        base, fraction, zone = (F.get(part, F.lit(i)) for i in range(3))
+        digits = F.regexp_replace(zone, "[^0-9]", "")
+        offset = F.when(zone.isin("", "Z"), F.lit(0)).otherwise(
+            F.when(zone.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
+            * (
+                F.substring(digits, 1, 2).try_cast("int") * 3600
+                + F.substring(digits, 3, 2).try_cast("int") * 60
+            )
         )
-    )
-    local = F.unix_seconds(
-        F.try_to_timestamp(F.concat(base, F.lit("+00:00")), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX"))
-    )
-    nanos = F.rpad(fraction, 9, "0").try_cast("bigint")
-    value = (local - offset) * F.lit(NANOS_PER_SECOND) + nanos
-    parsed = F.when(t.rlike(_ISO), value)
+        local = F.unix_seconds(
+            F.try_to_timestamp(F.concat(base, F.lit("+00:00")), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX"))
+        )
+        nanos = F.rpad(fraction, 9, "0").try_cast("bigint")
+        return (local - offset) * F.lit(NANOS_PER_SECOND) + nanos
+
+    # The lambda names the parts, so that each is extracted once. No match leaves an empty date.
+    parsed = F.get(F.transform(F.array(parts), value), F.lit(0))
     if not strict:
         return parsed
     problem = F.raise_error(F.concat(F.lit("invalid ISO timestamp: "), t)).cast("bigint")
-    return F.when(t.isNull() | parsed.isNotNull(), parsed).otherwise(problem)
+    return F.coalesce(parsed, F.when(t.isNotNull(), problem))
 
 
 def iso_to_seconds(text: Column | str, strict: bool = True) -> Column:

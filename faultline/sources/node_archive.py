@@ -69,22 +69,24 @@ def read_container_logs(spark: SparkSession, path: str) -> DataFrame:
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """A12. Cluster events; the first of three times counts, an event without any ends the job."""
-    rows = spark.read.parquet(path)
     payload = F.coalesce(F.nullif("eventId", F.lit("")), F.lit("{}"))
     times = F.from_json(
-        payload,
+        "_payload",
         "lastTimestamp string, eventTime string, metadata struct<creationTimestamp:string>",
     )
     empty = F.lit("")
     at = F.coalesce(
-        F.nullif(times["lastTimestamp"], empty),
-        F.nullif(times["eventTime"], empty),
-        F.nullif(times["metadata"]["creationTimestamp"], empty),
+        F.nullif("_times.lastTimestamp", empty),
+        F.nullif("_times.eventTime", empty),
+        F.nullif("_times.metadata.creationTimestamp", empty),
     )
+    # Columns of their own, so that a payload is parsed once and not at every use of its time.
+    rows = spark.read.parquet(path).withColumn("_payload", payload)
+    rows = rows.withColumn("_times", times).withColumn("_at", at)
     missing = F.raise_error(F.lit("event has no timestamp")).cast("bigint")
     return rows.select(
-        F.coalesce(N.iso_to_nanoseconds(at), missing).alias("ts_ns"),
-        payload.alias("message"),
+        F.coalesce(N.iso_to_nanoseconds("_at"), missing).alias("ts_ns"),
+        F.col("_payload").alias("message"),
         _labels(rows, EVENT_LABELS).alias("labels"),
         F.lit("events").alias("log_table"),
     )
