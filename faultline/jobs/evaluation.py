@@ -40,19 +40,22 @@ def evaluated_runs(records: DataFrame, cases: DataFrame, max_calls: int) -> Data
     """One row per recorded run with its match flags, citation facts, eligibility and resources.
 
     `records` is `read_runs`; `cases` has case_id and the `true_` columns of `scoped_matches`. A
-    run of an unknown case ends the job.
+    run of an unknown case ends the job. The records are parsed once, into rows of calls.
     """
     configure(records.sparkSession)
-    calls = cut_lineage(case_files.run_calls(records), "calls")
+    rows = cut_lineage(case_files.call_rows(records), "calls")
+    records = rows.where(F.coalesce("at", F.lit(0)) == 0).drop("named", "at", "c")
+    calls = case_files.described_calls(rows.where("at is not null"))
+    named = case_files.described_calls(rows.where("named"))
     citations = case_files.run_citations(records)
     rejections = case_files.run_rejections(records)
-    integrity = V.citation_integrity(V.resolve_citations(citations, calls))
-    counts = V.call_counts(calls, citations, rejections)
+    integrity = V.citation_integrity(V.resolve_citations(citations, named))
+    counts = V.call_counts(calls, citations, rejections, named)
     invalid = rejections.where(F.col("reason_code") == "invalid").groupBy("run_id").agg(
         F.count(F.lit(1)).alias("invalid_calls"))
-    rows = calls.groupBy("run_id").agg(null_strict_sum("rows_returned").alias("rows_returned"))
+    returned = calls.groupBy("run_id").agg(null_strict_sum("rows_returned").alias("rows_returned"))
     runs = V.scoped_matches(R.with_context(submitted(records), cases))
-    for facts in (integrity, counts, invalid, rows):
+    for facts in (integrity, counts, invalid, returned):
         runs = runs.join(facts, "run_id", "left")
     runs = runs.withColumn("tool_calls_executed", F.coalesce("tool_calls_executed", F.lit(0)))
     runs = runs.withColumn("execution_reliability", V.execution_reliability(max_calls))

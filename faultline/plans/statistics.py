@@ -1132,30 +1132,32 @@ def contrast(t):
 
 def lineitem_records(t):
     """Recorded runs as nested documents: the lines of a supplier and line number, as calls."""
+    def call(line, at):
+        # An order may hold two equal lines; each is a call of its own.
+        k, name = line["k"], F.concat(F.lit("q"), line["k"], F.lit("-"), at)
+        return F.struct(
+            name.alias("query_id"), F.lit("execute_sql").alias("tool_name"),
+            F.create_map(F.lit("query"), F.lit("SELECT 1")).alias("input"),
+            F.struct(
+                F.when(k % 13 == 0, "other").otherwise(name).alias("query_id"),
+                (k % 11 == 0).alias("truncated"),
+            ).alias("output"),
+            F.when(k % 9 == 0, "timeout").alias("error"),
+            F.when(k % 8 > 0, F.array(F.lit("logs"))).alias("base_tables"),
+            F.struct(line["quantity"].cast("bigint").alias("rows_returned")).alias("database_load"),
+        )
+
     k = F.col("l_orderkey")
-    call = F.struct(
-        F.concat(F.lit("q"), k).alias("query_id"), F.lit("execute_sql").alias("tool_name"),
-        F.create_map(F.lit("query"), F.lit("SELECT 1")).alias("input"),
-        F.struct(
-            F.when(k % 13 == 0, "other").otherwise(F.concat(F.lit("q"), k)).alias("query_id"),
-            (k % 11 == 0).alias("truncated"),
-        ).alias("output"),
-        F.when(k % 9 == 0, "timeout").alias("error"),
-        F.when(k % 8 > 0, F.array(F.lit("logs"))).alias("base_tables"),
-        F.struct(F.col("l_quantity").cast("bigint").alias("rows_returned")).alias("database_load"),
-    )
     lines = t.table("lineitem").select(
         F.concat(F.lit("m"), F.col("l_partkey") % 4).alias("model"),
         F.col("l_suppkey").cast("string").alias("case_id"), F.col("l_linenumber").alias("repetition"),
         F.when(F.col("l_returnflag") == "A", "split").when(F.col("l_returnflag") == "N", "raw")
         .otherwise("graph").alias("visibility"),
-        k.alias("k"), call.alias("call"),
+        k.alias("k"), F.col("l_quantity").alias("quantity"),
     )
+    # Only key and number of a line are shuffled; its call is written from them.
     runs = lines.groupBy("model", "case_id", "repetition", "visibility").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("k", "call")), lambda a, b: F.signum(a["k"] - b["k"]).cast("int")),
-            lambda c: c["call"],
-        ).alias("calls"),
+        F.transform(F.sort_array(F.collect_list(F.struct("k", "quantity"))), call).alias("calls"),
         F.sum("k").alias("s"), F.min("k").alias("first"),
     )
     s = F.col("s")
@@ -1170,7 +1172,7 @@ def lineitem_records(t):
                 F.when(s % 7 > 0, "net").otherwise("cpu").alias("fault_category"),
                 F.when(s % 8 > 0, "m1").otherwise("m2").alias("mechanism_code"),
                 F.array(F.struct(
-                    F.concat(F.lit("q"), F.col("first")).alias("query_id"), F.lit("slow").alias("claim"),
+                    F.concat(F.lit("q"), F.col("first"), F.lit("-0")).alias("query_id"), F.lit("slow").alias("claim"),
                     F.array(F.lit("causal_locus")).alias("claim_types"),
                 )).alias("evidence"),
             ).alias("diagnosis"),

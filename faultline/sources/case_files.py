@@ -55,9 +55,31 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def call_rows(runs: DataFrame) -> DataFrame:
+    """A18. Runs as one row per call, so that one pass over the records serves calls and runs.
+
+    The rest of a run stands beside its first call (`at` 0) or alone, where it has none (`at` null).
+    `named` tells whether the run cites the call's id; a run id is taken to name one record.
+    """
+    rest = [c for c in runs.columns if c != "run"]
+    parts = runs.select(
+        *rest, F.col("run").dropFields("tool_calls").alias("run"),
+        F.col("run.diagnosis.evidence.query_id").alias("cited"), F.col("run.tool_calls").alias("calls"),
+    )
+    rows = parts.select(*rest, "run", "cited", F.posexplode_outer("calls").alias("at", "c"))
+    return rows.select(
+        *rest, F.when(F.coalesce("at", F.lit(0)) == 0, F.col("run")).alias("run"),
+        F.coalesce(F.array_contains("cited", F.col("c.query_id")), F.lit(False)).alias("named"), "at", "c",
+    )
+
+
 def run_calls(runs: DataFrame) -> DataFrame:
     """A18/G7. Tool calls with their ordinal; calls without recorded tables read none."""
-    calls = runs.select("run_id", "visibility", F.posexplode("run.tool_calls").alias("at", "c"))
+    return described_calls(runs.select("run_id", "visibility", F.posexplode("run.tool_calls").alias("at", "c")))
+
+
+def described_calls(calls: DataFrame) -> DataFrame:
+    """A18/G7. The columns of `run_calls` from place and record of each call."""
     return calls.select(
         "run_id",
         F.col("visibility").alias("treatment"),

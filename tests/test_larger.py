@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from faultline.jobs.evaluation import evaluated_runs
 from faultline.operators import surface
-from faultline.plans import graph, views
-from faultline.sources import sinks
+from faultline.plans import graph, statistics, views
+from faultline.sources import case_files, sinks
 from tests import oracle
 
 SF = "/root/testdata/sf0.001"
@@ -81,3 +82,24 @@ def test_words_of_a_search_are_settled_before_the_rows(spark):
     assert "translate(" not in optimized(found) and "exists(" not in optimized(found)
     with pytest.raises(ValueError):
         surface.search_catalog(found, "of the")
+
+
+def test_records_of_runs_are_parsed_once(spark, tmp_path):
+    path = str(tmp_path / "records")
+    statistics.lineitem_records(views.Tables(spark, SF)).limit(50).write.json(path)
+    runs = case_files.read_runs(spark, path)
+    cases = runs.select("case_id").distinct().select(
+        "case_id", *[F.lit(None).cast("string").alias(f"true_{c}") for c in (
+            "scope", "component", "edge_source", "edge_destination", "fault_category")],
+        *[F.array().cast("array<string>").alias(c) for c in (
+            "accepted_mechanisms", "allowed_operations", "identities")],
+    ).localCheckpoint()
+    evaluated = evaluated_runs(runs, cases, 10**6)
+    assert evaluated.count() == 50
+    assert not any(".json" in f for f in evaluated.inputFiles())
+
+
+def test_equal_lines_of_a_run_are_calls_of_their_own(spark, tables):
+    folder = tables(lineitem=lambda rows: rows.unionByName(rows))
+    assert difference(spark, folder, "a18_records_to_holm") is None
+    assert entry.queries()["a18_records_to_holm"](spark, folder).count() > 0
