@@ -22,10 +22,20 @@ RUNTIME_SETTINGS = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
+#: Bytes of one task, where the caller names none. Files and shuffles of ids and repeated names are
+#: compressed tenfold and more, and a task's hash tables and sorts hold them unpacked.
+TASK_SIZES = {
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.files.maxPartitionBytes": "32m",
+}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    for key, value in TASK_SIZES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     return spark
 
 

@@ -10,6 +10,7 @@ import __spark_entry__ as entry
 from faultline.jobs.evaluation import evaluated_runs
 from faultline.operators import surface
 from faultline.plans import graph, statistics, views
+from faultline.session import configure
 from faultline.sources import case_files, sinks
 from tests import oracle
 
@@ -103,3 +104,12 @@ def test_equal_lines_of_a_run_are_calls_of_their_own(spark, tables):
     folder = tables(lineitem=lambda rows: rows.unionByName(rows))
     assert difference(spark, folder, "a18_records_to_holm") is None
     assert entry.queries()["a18_records_to_holm"](spark, folder).count() > 0
+
+
+def test_a_task_takes_few_compressed_bytes_unless_the_caller_says_more(spark):
+    names = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes")
+    own, given = spark.newSession(), spark.newSession()
+    for name in names:
+        given.conf.set(name, "1m")
+    assert [configure(own).conf.get(n) for n in names] == ["16m", "32m"]
+    assert [configure(given).conf.get(n) for n in names] == ["1m", "1m"]
