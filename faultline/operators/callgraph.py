@@ -450,30 +450,33 @@ def causal_traces(spans: DataFrame, targets: DataFrame) -> DataFrame:
 
     `targets` has case_id, service, edge_source, edge_destination. A directed
     edge needs a client of the source and a server child of the destination in
-    one trace; otherwise any span of the service counts.
+    one trace; otherwise any span of the service counts. Traces fold per edge and service;
+    only cases that name several of them fold again.
     """
-    edges = targets.where("edge_source is not null")
+    rows = targets.select("case_id", "service", "edge_source", "edge_destination").distinct()
+    several = rows.groupBy("case_id").count().where("count > 1").select("case_id")
     pairs = (
         clients(spans)
-        .select("trace_id", LINK, F.col("service_name").alias("src"))
+        .select("trace_id", LINK, F.col("service_name").alias("edge_source"))
         .alias("c")
         .join(
             servers(spans)
-            .select("trace_id", LINK, F.col("service_name").alias("dst"))
+            .select("trace_id", LINK, F.col("service_name").alias("edge_destination"))
             .alias("s"),
             _child(),
         )
-        .select(F.col("c.trace_id").alias("trace_id"), "src", "dst")
+        .select(F.col("c.trace_id").alias("trace_id"), "edge_source", "edge_destination")
         .distinct()
     )
-    by_edge = pairs.join(
-        edges, (F.col("src") == F.col("edge_source")) & (F.col("dst") == F.col("edge_destination"))
-    ).select("case_id", "trace_id")
-    present = spans.select("trace_id", "service_name").distinct()
-    by_service = present.join(
-        targets.where("edge_source is null"), F.col("service_name") == F.col("service")
-    ).select("case_id", "trace_id")
-    return by_edge.unionByName(by_service).distinct()
+    present = spans.select("trace_id", F.col("service_name").alias("service")).distinct()
+
+    def hits(cases: DataFrame) -> DataFrame:
+        by_edge = pairs.join(cases, ["edge_source", "edge_destination"])
+        by_service = present.join(cases.where("edge_source is null"), "service")
+        return by_edge.select("case_id", "trace_id").unionByName(by_service.select("case_id", "trace_id"))
+
+    single = hits(rows.join(several, "case_id", "left_anti"))
+    return single.unionByName(hits(rows.join(several, "case_id", "left_semi")).distinct())
 
 
 def compare_topology(derived: DataFrame, reference: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from faultline.jobs.evaluation import evaluated_runs
-from faultline.operators import surface
+from faultline.operators import callgraph, surface
 from faultline.plans import graph, statistics, views
 from faultline.session import configure
 from faultline.sources import case_files, sinks
@@ -113,3 +113,21 @@ def test_a_task_takes_few_compressed_bytes_unless_the_caller_says_more(spark):
         given.conf.set(name, "1m")
     assert [configure(own).conf.get(n) for n in names] == ["16m", "32m"]
     assert [configure(given).conf.get(n) for n in names] == ["1m", "1m"]
+
+
+def test_traces_of_a_case_fold_before_they_meet_it(spark):
+    t = views.Tables(spark, SF)
+    targets = spark.createDataFrame(
+        [("a", "svc1", None, None), ("a", "svc1", None, None), ("b", "svc1", None, None), ("b", "svc2", None, None),
+         ("c", None, "svc1", "svc2"), ("d", None, "svc1", "svc2"), ("d", "svc1", None, None)],
+        "case_id string, service string, edge_source string, edge_destination string")
+    found = callgraph.causal_traces(t.spans, targets).localCheckpoint()
+    assert found.count() == found.distinct().count()
+    counts = {r[0]: r[1] for r in found.groupBy("case_id").count().collect()}
+    spans = t.spans.select("trace_id", "service_name").distinct()
+    assert counts["a"] == counts["d"] == spans.where("service_name = 'svc1'").count()
+    assert counts["b"] == spans.where("service_name in ('svc1', 'svc2')").select("trace_id").distinct().count()
+    # Cases with one target are not folded a second time.
+    single = spark.createDataFrame([("a", "svc1", None, None)], targets.schema)
+    plan = optimized(callgraph.causal_traces(t.spans, single))
+    assert plan.startswith("Union")
