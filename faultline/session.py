@@ -29,11 +29,15 @@ TASK_SIZES = {
     "spark.sql.files.maxPartitionBytes": "32m",
 }
 
+#: A second file beside each file of a checkpoint, where the caller names nothing. A join has four stores
+#: a partition, each of which waited for these in every batch; the file system's own checksums stay.
+CHECKPOINTS = {"spark.sql.streaming.checkpoint.fileChecksum.enabled": "false"}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
-    for key, value in TASK_SIZES.items():
+    for key, value in (TASK_SIZES | CHECKPOINTS).items():
         if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
     return spark

@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from faultline.session import configure
 from faultline.streaming import telemetry as S
 
 EPOCH = dt.datetime(2024, 1, 1)
@@ -72,6 +73,17 @@ def test_unmatched_clients_wait_for_the_bound(spark, tmp_path):
     assert [r.span_id for r in got] == ["b"]
 
 
+def test_a_store_writes_one_file_a_batch_unless_the_caller_says_more(spark, tmp_path):
+    name = "spark.sql.streaming.checkpoint.fileChecksum.enabled"
+    rows = stream(spark, tmp_path, SPAN, [client(10, "a"), server(11, "a")], END)
+    assert S.run_available(S.stream_call_edges(rows), str(tmp_path / "out")).count() == 1
+    state = [f.name for f in (tmp_path / "out" / "checkpoint" / "state").rglob("*.delta*") if f.name[0] != "."]
+    assert state and all(n.endswith(".delta") for n in state)
+    given = spark.newSession()
+    given.conf.set(name, "true")
+    assert configure(given).conf.get(name) == "true"
+
+
 SAMPLE = "ts timestamp, metric string, value double"
 
 
