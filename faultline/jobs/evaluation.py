@@ -14,7 +14,7 @@ from faultline.operators import evaluate as V
 from faultline.operators import reporting as R
 from faultline.operators import usage as U
 from faultline.session import configure, cut_lineage
-from faultline.sources import case_files
+from faultline.sources import case_files, sinks
 
 
 def submitted(records: DataFrame) -> DataFrame:
@@ -40,23 +40,25 @@ def evaluated_runs(records: DataFrame, cases: DataFrame, max_calls: int) -> Data
     """One row per recorded run with its match flags, citation facts, eligibility and resources.
 
     `records` is `read_runs`; `cases` has case_id and the `true_` columns of `scoped_matches`. A
-    run of an unknown case ends the job. The records are parsed once, into rows of calls.
+    run of an unknown case ends the job. The records are parsed once. What a run has
+    besides its calls is dealt by run id once; of its calls, counts alone are. Planned with
+    `session.DEALT_ONCE`, citations meet the calls they name without being dealt again.
     """
     configure(records.sparkSession)
-    rows = cut_lineage(case_files.call_rows(records), "calls")
-    records = rows.where(F.coalesce("at", F.lit(0)) == 0).drop("named", "at", "c")
-    calls = case_files.described_calls(rows.where("at is not null"))
-    named = case_files.described_calls(rows.where("named"))
+    parts = cut_lineage(case_files.parted_runs(records), "calls")
+    records = sinks.write_runs(parts.drop("calls"))
+    calls, named = case_files.counted_calls(parts), case_files.named_calls(records)
     citations = case_files.run_citations(records)
     rejections = case_files.run_rejections(records)
     integrity = V.citation_integrity(V.resolve_citations(citations, named))
-    counts = V.call_counts(calls, citations, rejections, named)
+    counts = V.call_counts(
+        calls, citations, rejections, named, {"rows_returned": null_strict_sum("rows_returned")})
     invalid = rejections.where(F.col("reason_code") == "invalid").groupBy("run_id").agg(
         F.count(F.lit(1)).alias("invalid_calls"))
-    returned = calls.groupBy("run_id").agg(null_strict_sum("rows_returned").alias("rows_returned"))
-    runs = V.scoped_matches(R.with_context(submitted(records), cases))
-    for facts in (integrity, counts, invalid, returned):
+    runs = submitted(records)
+    for facts in (integrity, counts, invalid):
         runs = runs.join(facts, "run_id", "left")
+    runs = V.scoped_matches(R.with_context(runs, cases))
     runs = runs.withColumn("tool_calls_executed", F.coalesce("tool_calls_executed", F.lit(0)))
     runs = runs.withColumn("execution_reliability", V.execution_reliability(max_calls))
     flags = V.eligibility()

@@ -10,7 +10,7 @@ from faultline.operators import pairing as P
 from faultline.operators import reporting as R
 from faultline.operators import usage as U
 from faultline.plans.registry import query
-from faultline.session import cut_lineage, work_dir
+from faultline.session import DEALT_ONCE, SHUFFLES_GO, cut_lineage, settings, work_dir
 from faultline.sources import case_files
 
 KEYS = ["model", "case_id", "repetition"]
@@ -1147,19 +1147,22 @@ def lineitem_records(t):
             F.struct(line["quantity"].cast("bigint").alias("rows_returned")).alias("database_load"),
         )
 
-    k = F.col("l_orderkey")
+    k, arms = F.col("l_orderkey"), F.array(F.lit("split"), F.lit("raw"), F.lit("graph"))
     lines = t.table("lineitem").select(
-        F.concat(F.lit("m"), F.col("l_partkey") % 4).alias("model"),
-        F.col("l_suppkey").cast("string").alias("case_id"), F.col("l_linenumber").alias("repetition"),
-        F.when(F.col("l_returnflag") == "A", "split").when(F.col("l_returnflag") == "N", "raw")
-        .otherwise("graph").alias("visibility"),
+        (F.col("l_partkey") % 4).alias("part"), F.col("l_suppkey").alias("supplier"),
+        F.col("l_linenumber").alias("repetition"),
+        F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2).alias("arm"),
         k.alias("k"), F.col("l_quantity").alias("quantity"),
     )
-    # Only key and number of a line are shuffled; its call is written from them.
-    runs = lines.groupBy("model", "case_id", "repetition", "visibility").agg(
+    # Lines are shuffled as numbers, and before they fold: a run has few, and a fold of one is longer than it.
+    keys = ["part", "supplier", "repetition", "arm"]
+    runs = lines.repartition(*keys).groupBy(*keys).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("k", "quantity"))), call).alias("calls"),
         F.sum("k").alias("s"), F.min("k").alias("first"),
-    )
+    ).withColumns({
+        "model": F.concat(F.lit("m"), "part"), "case_id": F.col("supplier").cast("string"),
+        "visibility": F.get(arms, F.col("arm")),
+    })
     s = F.col("s")
     return runs.select(
         F.xxhash64("model", "case_id", "repetition", "visibility").alias("cell_index"),
@@ -1199,7 +1202,10 @@ def lineitem_records(t):
 def records_to_holm(t):
     """The chain from nested records over citations, flags and pairs to adjusted values."""
     path = work_dir(t.spark, "records")
-    lineitem_records(t).write.json(path)
+    # Calls repeat their names: the text is eleven times its bytes in gzip.
+    gzip = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
+    with settings(t.spark, SHUFFLES_GO):
+        lineitem_records(t).write.options(**gzip).json(path)
     none = F.lit(None).cast("string")
     cases = t.table("supplier").select(
         F.col("s_suppkey").cast("string").alias("case_id"), F.lit("component").alias("true_scope"),
@@ -1209,7 +1215,8 @@ def records_to_holm(t):
         F.array().cast("array<string>").alias("allowed_operations"),
         F.array().cast("array<string>").alias("identities"),
     )
-    runs = cut_lineage(evaluated_runs(case_files.read_runs(t.spark, path), cases, 10**6), "evaluated")
+    with settings(t.spark, SHUFFLES_GO | DEALT_ONCE):
+        runs = cut_lineage(evaluated_runs(case_files.read_runs(t.spark, path), cases, 10**6), "evaluated")
     metrics = ["rows_returned", "tool_calls"]
     paired = P.arm_pairs(runs, KEYS, "treatment", "split", "raw", [*metrics, "eligible"])
     found = P.pair_deltas(paired, KEYS, metrics, "eligible", "split", "raw")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +57,25 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+#: What is written leaves no shuffle files, which else stay until the driver collects its garbage.
+SHUFFLES_GO = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: Rows that lie together by some keys of a join are not dealt again by all of them.
+DEALT_ONCE = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """What is planned and run inside has these settings; the caller's come back."""
+    kept = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in kept.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def cut_lineage(df: DataFrame, purpose: str = "stage") -> DataFrame:
     """Writes an intermediate result once so that several consumers do not recompute it."""
     path = work_dir(df.sparkSession, purpose)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOPOLOGY = (
@@ -55,24 +55,44 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def call_rows(runs: DataFrame) -> DataFrame:
-    """A18. Runs as one row per call, so that one pass over the records serves calls and runs.
+def parted_runs(runs: DataFrame) -> DataFrame:
+    """A18. Runs with two lists for their calls, so that one pass over the records serves calls and runs.
 
-    The rest of a run stands beside its first call (`at` 0) or alone, where it has none (`at` null).
-    `named` tells whether the run cites the call's id; a run id is taken to name one record.
+    `calls` has what counts ask of every call; `named` has place and whole record of those whose id the
+    run cites, as only these can be evidence. A run id is taken to name one record.
     """
-    rest = [c for c in runs.columns if c != "run"]
-    parts = runs.select(
-        *rest, F.col("run").dropFields("tool_calls").alias("run"),
-        F.col("run.diagnosis.evidence.query_id").alias("cited"), F.col("run.tool_calls").alias("calls"),
-    )
-    rows = parts.select(*rest, "run", "cited", F.posexplode_outer("calls").alias("at", "c"))
-    return rows.select(
-        *rest, F.when(F.coalesce("at", F.lit(0)) == 0, F.col("run")).alias("run"),
-        F.coalesce(F.array_contains("cited", F.col("c.query_id")), F.lit(False)).alias("named"), "at", "c",
+    calls, cited = F.col("run.tool_calls"), F.col("run.diagnosis.evidence.query_id")
+    placed = F.transform(calls, lambda c, at: F.struct(at.alias("at"), c.alias("c")))
+    return runs.select(
+        *[c for c in runs.columns if c != "run"], F.col("run").dropFields("tool_calls").alias("run"),
+        F.transform(calls, lambda c: F.struct(*[v.alias(n) for n, v in counted_facts(c).items()])).alias("calls"),
+        F.filter(placed, lambda p: F.array_contains(cited, p["c"]["query_id"])).alias("named"),
     )
 
 
+def counted_facts(call: Column) -> dict[str, Column]:
+    """A18/G7. What counts ask of the record of a call."""
+    return {
+        "tool_name": call["tool_name"],
+        "failed": call["error"].isNotNull(),
+        "sql_text": F.coalesce(call["input"]["query"], call["input"]["sql"]),
+        # Null when no load was recorded, which is not zero rows.
+        "rows_returned": call["database_load"]["rows_returned"],
+    }
+
+
+def counted_calls(runs: DataFrame) -> DataFrame:
+    """A18/G7. Every call of `parted_runs` with its ordinal and what counts ask of it."""
+    calls = runs.select("run_id", F.posexplode("calls").alias("at", "c"))
+    return calls.select("run_id", (F.col("at") + 1).alias("ordinal"), "c.*")
+
+
+def named_calls(runs: DataFrame) -> DataFrame:
+    """A18/G7. The columns of `run_calls` for those calls of `parted_runs` that their run cites."""
+    return described_calls(runs.select("run_id", "visibility", F.explode("named").alias("n")).select(
+        "run_id", "visibility", "n.at", "n.c"))
+
+
 def run_calls(runs: DataFrame) -> DataFrame:
     """A18/G7. Tool calls with their ordinal; calls without recorded tables read none."""
     return described_calls(runs.select("run_id", "visibility", F.posexplode("run.tool_calls").alias("at", "c")))
@@ -80,6 +100,7 @@ def run_calls(runs: DataFrame) -> DataFrame:
 
 def described_calls(calls: DataFrame) -> DataFrame:
     """A18/G7. The columns of `run_calls` from place and record of each call."""
+    facts = counted_facts(F.col("c"))
     return calls.select(
         "run_id",
         F.col("visibility").alias("treatment"),
@@ -87,14 +108,13 @@ def described_calls(calls: DataFrame) -> DataFrame:
         "c.query_id",
         "c.tool_name",
         F.coalesce("c.output.operation", F.col("c.input")["operation"]).alias("operation"),
-        F.col("c.error").isNotNull().alias("failed"),
+        facts["failed"].alias("failed"),
         F.col("c.output.query_id").alias("result_query_id"),
         F.col("c.output.truncated").alias("truncated"),
-        F.coalesce(F.col("c.input")["query"], F.col("c.input")["sql"]).alias("sql_text"),
+        facts["sql_text"].alias("sql_text"),
         F.coalesce("c.base_tables", F.array().cast("array<string>")).alias("base_tables"),
         F.to_json(F.array_sort(F.map_entries("c.input"))).alias("arguments"),
-        # Null when no load was recorded, which is not zero rows.
-        F.col("c.database_load.rows_returned").alias("rows_returned"),
+        facts["rows_returned"].alias("rows_returned"),
     )
 
 

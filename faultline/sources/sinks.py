@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from faultline.operators.audit import (
     record_bucket,
 )
 from faultline.operators.callgraph import LINK, link_id
+from faultline.session import work_dir
 
 _V1_SOURCES = "spark.sql.sources.useV1SourceList"
 
@@ -115,6 +117,21 @@ def open_spans(spark, table: str, path: str, schema: str, buckets: int) -> DataF
     return spark.table(table)
 
 
+def write_runs(rows: DataFrame) -> DataFrame:
+    """A18. Rows as a table in which all of a run lies in one bucket, of which there are as many as a
+    shuffle has partitions. Facts of runs are then grouped and joined by run id without a shuffle."""
+    spark = rows.sparkSession
+    buckets, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"runs_{uuid.uuid4().hex}"
+    (
+        rows.repartition(buckets, "run_id")
+        .write.bucketBy(buckets, "run_id")
+        .option("compression", "zstd")
+        .option("path", work_dir(spark, "runs"))
+        .saveAsTable(table)
+    )
+    return spark.table(table)
+
+
 def write_records(rows: DataFrame, path: str, keys: list[str], buckets: int = RECORD_BUCKETS) -> DataFrame:
     """A23 for audited copies: records by hash bucket, with a table of the buckets' digests beside.
 

@@ -1,6 +1,8 @@
 """Queries on tables that are larger than, or lie otherwise than, the driver's."""
 
+import json
 import os
+import re
 import shutil
 
 import pytest
@@ -10,7 +12,7 @@ import __spark_entry__ as entry
 from faultline.jobs.evaluation import evaluated_runs
 from faultline.operators import callgraph, surface
 from faultline.plans import graph, statistics, views
-from faultline.session import configure
+from faultline.session import DEALT_ONCE, SHUFFLES_GO, configure, cut_lineage, settings
 from faultline.sources import case_files, sinks
 from tests import oracle
 
@@ -106,6 +108,41 @@ def test_equal_lines_of_a_run_are_calls_of_their_own(spark, tables):
     assert entry.queries()["a18_records_to_holm"](spark, folder).count() > 0
 
 
+def test_runs_are_parted_from_their_calls(spark, tmp_path):
+    call = {"query_id": "a", "tool_name": "execute_sql", "input": {"sql": "SELECT 1"}, "output": {"query_id": "a"},
+            "base_tables": ["logs"], "database_load": {"rows_returned": 3}}
+    cited = {"evidence": [{"query_id": "a", "claim": "slow"}, {"query_id": None}]}
+    runs = [
+        {"tool_calls": [call, call | {"query_id": "b", "error": "timeout"}, {"query_id": None}, call], "diagnosis": cited},
+        {"tool_calls": [], "diagnosis": cited}, {"tool_calls": [call]}, {"diagnosis": cited}, {},
+    ]
+    lines = [json.dumps({"cell_index": i, "visibility": "raw", "run": run}) for i, run in enumerate(runs)]
+    (tmp_path / "runs.json").write_text("\n".join(lines))
+    records = case_files.read_runs(spark, str(tmp_path / "runs.json"))
+    parts, calls = case_files.parted_runs(records), case_files.run_calls(records)
+    assert parts.count() == len(runs) and parts.schema["calls"].dataType.elementType.names == [
+        "tool_name", "failed", "sql_text", "rows_returned"]
+    counted, named = case_files.counted_calls(parts), case_files.named_calls(parts)
+    assert sorted(counted.collect(), key=str) == sorted(calls.select(*counted.columns).collect(), key=str)
+    assert sorted(named.collect(), key=str) == sorted(calls.where("run_id = 0 and query_id = 'a'").collect(), key=str)
+    assert named.count() == 2
+
+
+def test_records_of_runs_are_packed_and_dealt_once(spark, tmp_path, monkeypatch):
+    plans = []
+    monkeypatch.setattr(statistics, "cut_lineage", lambda df, purpose: plans.append(
+        df._jdf.queryExecution().executedPlan().toString()) or cut_lineage(df, purpose))
+    monkeypatch.setattr(statistics, "work_dir", lambda _, purpose: str(tmp_path / purpose))
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        assert entry.queries()["a18_records_to_holm"](spark, SF).count() > 0
+        assert spark.conf.get(next(iter(SHUFFLES_GO))) == "false" and spark.conf.get(next(iter(DEALT_ONCE))) == "true"
+    names = [f.name for f in (tmp_path / "records").glob("part-*")]
+    assert names and all(n.endswith(".json.gz") for n in names)
+    # Runs and their cases by case, counts by run, and nothing by run and query id.
+    assert 0 < plans[0].count("Exchange hashpartitioning") <= 5 and "hashpartitioning(run_id#" in plans[0]
+    assert not re.search(r"Exchange hashpartitioning\(run_id#\d+, ", re.sub(r", \d+\), ENSURE", "), ENSURE", plans[0]))
+
+
 def test_a_task_takes_few_compressed_bytes_unless_the_caller_says_more(spark):
     names = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes")
     own, given = spark.newSession(), spark.newSession()
